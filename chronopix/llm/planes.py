@@ -136,7 +136,7 @@ def write_store(
     vocab = path or vocabulary()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     total = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = max(6, -(-total // bytes_per_bucket))
+    buckets = min(1024, max(6, -(-total // bytes_per_bucket)))
     cuts = source.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
     cuts = sorted({int(c) for c in cuts})
     # the bucket: how many cuts are <= doc_id, found by halving in a sorted array

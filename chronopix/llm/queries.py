@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, planes, topk, warc
+from . import chat, jaccard, packing, planes, topk, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = planes.write_store(table(spark, sf_dir, "documents"))
     return planes.read_store(store, with_ids=False)
@@ -37,6 +41,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
         "op7_bit_planes": op7_bit_planes,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_warc": op9_warc,
@@ -45,7 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": TOP_K_SQL, "op9_warc": WARC_SQL, "op10_chat": chat.ORACLE_SQL}
+    return {"op5_ngram_jaccard": jaccard.ORACLE_SQL, "op8_exact_top_k": TOP_K_SQL, "op9_warc": WARC_SQL, "op10_chat": chat.ORACLE_SQL}
 
 
 TOP_K_SQL = """
