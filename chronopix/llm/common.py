@@ -144,5 +144,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def marked(df: DataFrame, wanted: DataFrame, key: Column, bits: int = 22) -> DataFrame:
+    """Rows of df whose key may be in wanted: a filter that lets some others through too.
+
+    A bitmap of 2**bits bits over the wanted keys' hashes, 2**(bits - 6) rows whatever their number, is broadcast.
+    """
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    marks = wanted.select(hashed.alias("_h")).groupBy(F.shiftright("_h", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_h & 63 as int))")).alias("_mask")
+    )
+    own = df.withColumn("_h", hashed).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(marks), "_word")
+    return own.filter(F.expr("shiftright(_mask, cast(_h & 63 as int)) & 1") == 1).drop("_h", "_word", "_mask")
+
+
 def crc32_of(column: Column) -> Column:
     return F.crc32(column).cast(T.LongType())

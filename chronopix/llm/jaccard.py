@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, release, save, utf8
+from .common import components, lookup, marked, save, utf8
 from .shingles import WORDS, binary_column, shingle_sets, slices, word_hashes
 
 SKETCH, CHUNKS = 22, 64
@@ -386,10 +386,7 @@ def _gather(rows: DataFrame) -> DataFrame:
 def _filtered_sets(table: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, tokens) of wanted classes, once each. A bitmap of 2**22 bits over all wanted ones, whatever their number, is
     broadcast (65536 rows at most) and keeps other sets out of the shuffle."""
-    word = lambda: F.pmod(F.xxhash64("sig"), F.lit(1 << 22))
-    marks = wanted.select(word().alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("mask"))
-    own = table.filter("tokens IS NOT NULL AND chunk IS NULL").select("sig", "tokens").withColumn("h", word()).withColumn("word", F.shiftright("h", 6))
-    own = own.join(F.broadcast(marks), "word").filter(F.expr("shiftright(mask, cast(h & 63 as int)) & 1") == 1).select("sig", "tokens")
+    own = marked(table.filter("tokens IS NOT NULL AND chunk IS NULL").select("sig", "tokens"), wanted, F.col("sig"))
     return own.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
 
 

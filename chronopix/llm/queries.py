@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, packing, planes, topk, warc
+from . import chat, decontaminate, jaccard, packing, planes, topk, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = planes.write_store(table(spark, sf_dir, "documents"))
     return planes.read_store(store, with_ids=False)
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op6_decontamination": op6_decontamination,
         "op7_bit_planes": op7_bit_planes,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_warc": op9_warc,
