@@ -144,17 +144,32 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def marked(df: DataFrame, wanted: DataFrame, key: Column, bits: int = 22) -> DataFrame:
-    """Rows of df whose key may be in wanted: a filter that lets some others through too.
+def marked(df: DataFrame, wanted: DataFrame, key: Column, bits: int = 22, others: bool = False) -> DataFrame:
+    """Rows of df whose key may be in wanted, a filter that lets some others through too; or, with others, the other rows.
 
     A bitmap of 2**bits bits over the wanted keys' hashes, 2**(bits - 6) rows whatever their number, is broadcast.
+    wanted has the key as its only column, or names it as df does.
     """
     hashed = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     marks = wanted.select(hashed.alias("_h")).groupBy(F.shiftright("_h", 6).alias("_word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(_h & 63 as int))")).alias("_mask")
     )
-    own = df.withColumn("_h", hashed).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(marks), "_word")
-    return own.filter(F.expr("shiftright(_mask, cast(_h & 63 as int)) & 1") == 1).drop("_h", "_word", "_mask")
+    own = df.withColumn("_h", hashed).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(marks), "_word", "left")
+    on = F.coalesce(F.expr("shiftright(_mask, cast(_h & 63 as int)) & 1"), F.lit(0)) == 1
+    return own.filter(~on if others else on).drop("_h", "_word", "_mask")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is not among the ids of gone, with all columns; rows without an id stay.
+
+    Only rows that a bitmap over the ids (2**27 bits at most) can't clear are shuffled for the exact anti-join.
+    """
+    ids = save(gone.select(F.col(id_col).alias(id_col)).filter(F.col(id_col).isNotNull()).distinct(), "gone")
+    bits = min(27, max(16, (16 * ids.count()).bit_length()))
+    key = F.col(id_col)
+    near = marked(docs, ids, key, bits, others=True)
+    far = marked(docs, ids, key, bits).join(ids, id_col, "left_anti")
+    return near.unionByName(far.select(*docs.columns))
 
 
 def crc32_of(column: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, save
+from .common import marked, save, without
 
 WINDOW, STRIDE, COVER, RUN = 5, 5, 0.8, 13
 #: Windows of items are broadcast up to this many rows, and shuffled beyond.
@@ -137,7 +137,6 @@ def find_leaks(
     )
 
 
-def drop_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def drop_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """Documents without a leak, with all their columns; rows without an id are kept, as a leak can't name them."""
-    gone = leaks.select(F.col("doc_id").alias("_gone")).filter("_gone IS NOT NULL").distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, leaks.select("doc_id"))

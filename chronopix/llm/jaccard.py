@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, marked, save, utf8
+from .common import components, lookup, marked, save, utf8, without
 from .shingles import WORDS, binary_column, shingle_sets, slices, word_hashes
 
 SKETCH, CHUNKS = 22, 64
@@ -453,6 +453,19 @@ def _rest(held: DataFrame, links: DataFrame) -> DataFrame:
     return verified(_gather(left.select(*keep).unionByName(right.select(*keep))))
 
 
+def keep_one(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of docs for each component, that with the smallest doc_id, with all its columns.
+
+    Of rows that repeat such a doc_id and its text one stays; rows without an id are kept.
+    """
+    rest = without(docs, named.filter("component_id <> doc_id").select("doc_id"))
+    repeated = named.filter("n_shingles > 0 AND component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return rest
+    again = marked(rest, repeated, F.col("doc_id")).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(rest, repeated).unionByName(again.select(*rest.columns))
+
+
 # In SQL: exact sets, links by counting common shingles, components by transitive closure.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, save, utf8
+from .common import lookup, save, utf8, without
 from .shingles import binary_column, slices
 
 GRAM_BITS, MOST_LANGUAGES = 16, 64
@@ -180,7 +180,6 @@ def identify(
     )
 
 
-def keep_identified(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_identified(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """Rows of docs that identify() keeps; rows without an id can't be named and are kept."""
-    gone = judged.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, judged.filter(~F.col("kept")).select("doc_id"))

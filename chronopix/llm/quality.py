@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, utf8
+from .common import save, utf8, without
 from .shingles import binary_column, slices, word_hashes
 
 FEATURES = ("length", "words", "word_length", "upper", "digit", "punctuation", "marks", "lines", "distinct", "distinct_pairs", "top_word", "short", "stops")
@@ -154,3 +154,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     scored = stats.mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, scored: DataFrame) -> DataFrame:
+    """Rows of docs with a predicted quality of 1, with all their columns; rows without an id are kept."""
+    return without(docs, scored.filter("predicted = 0").select("doc_id"))
