@@ -11,7 +11,7 @@ from ..operators import dataflow as D
 from ..operators import evaluation as E
 from ..operators import metrics as M
 from ..operators import models, sampling
-from .registry import BANDS, daily, day, event_series, observations, query, readings, rounded, series, table
+from .registry import daily, event_series, observations, query, readings, rounded, series, table
 from .relational import DAILY, GAPS, INDEX_BANDS
 
 #: Prices reach 105 000 and quantities 50, so the lineitem bands are normalised by their own median and MAD.
@@ -261,3 +261,56 @@ def full_scene(spark: SparkSession, sf: str) -> DataFrame:
     pred = models.predict(train, ["l_suppkey"], "hants", HantsConfig(nof=1, fet=1e12, dod=0)).select("l_suppkey", F.element_at("pred", 1).alias("pred"))
     e = M.prediction_errors(pred, truth, ["l_suppkey"])
     return rounded(e.agg(*M.error_aggregates("error")).drop("mse"), 5)
+
+
+@query("a1_mean_median", "SELECT user_id, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median FROM (SELECT user_id, CASE WHEN value > 5 AND value < 60 THEN value END AS v FROM events) GROUP BY 1")
+def mean_median(spark: SparkSession, sf: str) -> DataFrame:
+    m = D.mask_values(readings(spark, sf), "value", 5, 60)
+    return rounded(m.groupBy("user_id").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median")))
+
+
+@query("a16_reflectance_sums", "WITH m AS (SELECT l_suppkey, avg(l_extendedprice) AS mu FROM lineitem GROUP BY 1), e AS (SELECT s_nationkey AS site, (l_extendedprice - mu) / 10000 AS e FROM lineitem JOIN m USING (l_suppkey) JOIN supplier ON s_suppkey = l_suppkey) SELECT site, count(*) AS n, round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM e GROUP BY 1")
+def reflectance_sums(spark: SparkSession, sf: str) -> DataFrame:
+    o = observations(spark, sf).select("l_suppkey", "l_extendedprice")
+    m = o.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("mu"))
+    site = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("site"))
+    e = o.join(m, "l_suppkey").join(site, "l_suppkey").withColumn("e", (F.col("l_extendedprice") - F.col("mu")) / 10_000)
+    return rounded(e.groupBy("site").agg(*M.error_aggregates("e")).drop("bias"))
+
+
+@query("f7_prediction_names", "SELECT s_suppkey, 'm' || (s_suppkey % 3) AS method, s_name AS stem FROM supplier")
+def prediction_names(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.lit("[m"), (F.col("s_suppkey") % 3).cast("string"), F.lit("]_"), F.col("s_name"), F.lit("_prediction.tif"))
+    return table(spark, sf, "supplier").select("s_suppkey", C.prediction_name(name).alias("p")).select("s_suppkey", "p.*")
+
+
+@query("x9_clamped_evi", "WITH b AS (SELECT l_returnflag, " + ", ".join(f"({e}) / 10000 AS {k}" for k, e in INDEX_BANDS.items()) + " FROM lineitem), e AS (SELECT l_returnflag, CASE WHEN abs(B8 + 6 * B4 - 7.5 * B2 + 1) > 1e-6 THEN 2.5 * (B8 - B4) / (B8 + 6 * B4 - 7.5 * B2 + 1) END AS evi FROM b) SELECT l_returnflag, count(CASE WHEN evi BETWEEN -1 AND 1 THEN 1 END) AS n, round(avg(CASE WHEN evi BETWEEN -1 AND 1 THEN evi END), 6) AS mean FROM e GROUP BY 1")
+def clamped_evi(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_returnflag", *[F.expr(e).alias(k) for k, e in INDEX_BANDS.items()])
+    evi = li.select("l_returnflag", C.spectral_indices(clamp=True)["evi"].alias("evi"))
+    return rounded(evi.groupBy("l_returnflag").agg(F.count("evi").alias("n"), F.avg("evi").alias("mean")))
+
+
+@query("w9_prediction_rows", f"WITH {DAILY}, r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM daily) SELECT l_suppkey, round(l_quantity, 6) AS truth_0, round(l_discount, 6) AS truth_1 FROM r WHERE i = n // 2 AND n > 12")
+def prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.tables import prediction_rows as wide
+
+    e = E.holdout_errors(series(spark, sf, ["l_quantity", "l_discount"]), ["l_suppkey"], "hants", HantsConfig(fet=1e12))
+    return rounded(wide(e, ["l_suppkey"], [0, 1]).select("l_suppkey", "truth_0", "truth_1"))
+
+
+@query("w14_index_manifest", "WITH i AS (SELECT l_returnflag, " + f"({B8} - {B4}) / ({B8} + {B4}) AS v FROM lineitem) SELECT l_returnflag, count(v) AS valid_pixels, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM i GROUP BY 1")
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.tables import index_manifest
+
+    return rounded(index_manifest(_index_pair(spark, sf), ["l_returnflag"], "truth"))
+
+
+@query("a19_median_power", """WITH x AS (SELECT user_id, event_type, epoch(ts) / 86400 AS t, value FROM events), sp AS (SELECT user_id, event_type, min(t) AS a, max(t) - min(t) AS w FROM x GROUP BY 1, 2),
+f AS (SELECT user_id, event_type, k, 2 * pi() * (t - a) / w - pi() AS p, value AS y FROM x JOIN sp USING (user_id, event_type), generate_series(0, 7) g(k) WHERE w > 0),
+pw AS (SELECT user_id, event_type, CAST(k AS INTEGER) AS k, pow(sum(y * cos(k * p)), 2) + pow(sum(y * sin(k * p)), 2) AS power FROM f GROUP BY 1, 2, 3) SELECT user_id, k, round(median(power), 3) AS power FROM pw WHERE k > 0 GROUP BY 1, 2""")
+def median_power(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import windows as W
+
+    p = W.direct_spectrum(readings(spark, sf).withColumn("d", F.col("t") / 86400.0), ["user_id", "event_type"], "d", "value", 16)
+    return rounded(p.filter("k > 0").groupBy("user_id", "k").agg(F.median("power").alias("power")), 3)
