@@ -4,8 +4,8 @@ Linked documents (those of one hub; here equal texts) are moved towards each oth
 
 * Every document starts in a shard by hash. The state is a table of cells (hub, shard, number of documents), a few rows
   per hub, so copies of one text never meet as pairs.
-* In each round a hub's targets are its fullest shards, as many as it needs at a shard's capacity (one for all but very
-  large hubs). Its documents elsewhere ask to move there. For each pair of shards a quota admits as many as move the other
+* In each round a hub's targets are its fullest shards with room for the rest of it, as many as it needs at a shard's
+  capacity (one for all but very large hubs). Its documents elsewhere ask to move there. For each pair of shards a quota admits as many as move the other
   way, plus a share of the room left in the target; askers are admitted by falling gain (links won by the move), which
   running sums over (gain, salt) parts decide without sorting all askers of a pair in one task.
 * What is linked to nothing fills the shards up, so that sizes are exactly even (law `rows`: at most one apart).
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import lookup, ranked, save, utf8
 
-SHARDS, ROUNDS, SALTS = 8, 8, 64
+SHARDS, ROUNDS, SALTS = 8, 10, 64
 
 
 def text_hubs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,42 +40,48 @@ def _before(*order) -> Window:
     return Window.partitionBy("shard", "target").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _asks(cells: DataFrame, capacity: int, shards: int) -> DataFrame:
-    """(hub, shard, target, n, gain): documents that ask to move, from the hub's own shares (at most `shards` rows each).
+def _asks(cells: DataFrame, capacity: int, rooms: list[int], turn: int) -> DataFrame:
+    """(hub, shard, target, n, gain): documents that ask to move, from the hub's own shares (one per shard at most).
 
-    A hub's shares are sorted by number; the first ceil(all / capacity) shards are its targets. Each other share goes to
+    A hub wants ceil(all / capacity) targets. Shards where the rest of the hub fits come first, then its fullest ones, then
+    a hash of hub and turn; the roomiest shard is a choice even if the hub has nothing there. Each other share goes to
     the target whose running demand its own running number falls into, in pieces where it spans two.
     """
-    hubs = cells.groupBy("hub").agg(F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("n", (-F.col("shard")).alias("back"))), asc=False).alias("shares"))
-    hubs = hubs.filter(F.size("shares") > 1).withColumn("need", F.ceil(F.col("all") / F.lit(capacity)).cast("int"))
-    hubs = hubs.filter(F.size("shares") > F.col("need"))
-    targets = F.expr(f"transform(slice(shares, 1, need), x -> named_struct('target', -x.back, 'have', x.n, 'wants', greatest({capacity} - x.n, 0L)))")
-    rest = F.expr("slice(shares, need + 1, size(shares))")
-    running = lambda a, value: (  # noqa: E731  each element with the sum of what stands before it
-        f"aggregate({a}, named_struct('s', 0L, 'o', cast(array() as array<struct<x:{{kind}},low:bigint,high:bigint>>)), "
+    spare = max(range(len(rooms)), key=lambda s: rooms[s])
+    hubs = cells.groupBy("hub").agg(F.sum("n").alias("all"), F.collect_list(F.struct("n", "shard")).alias("shares"))
+    hubs = hubs.withColumn("need", F.ceil(F.col("all") / F.lit(capacity)).cast("int")).filter(F.size("shares") > F.col("need"))
+    room = f"element_at(array({','.join(f'{r}L' for r in rooms)}), x.shard + 1)"
+    more = f"concat(shares, filter(array(named_struct('n', 0L, 'shard', {spare})), y -> NOT exists(shares, z -> z.shard = y.shard)))"
+    rated = f"transform({more}, x -> named_struct('fits', {room} >= least(all - x.n, {capacity}L), 'n', x.n, 'tie', pmod(xxhash64(hub, x.shard, {turn}), 65536), 'shard', x.shard, 'room', {room}))"
+    hubs = hubs.withColumn("rated", F.sort_array(F.expr(rated), asc=False))
+    targets = F.expr(f"transform(slice(rated, 1, need), x -> named_struct('target', x.shard, 'have', x.n, 'wants', greatest(least({capacity} - x.n, x.room), 0L)))")
+    rest = F.expr("filter(slice(rated, need + 1, size(rated)), x -> x.n > 0)")
+    running = lambda a, value, kind: F.expr(  # noqa: E731  each element with the sum of what stands before it
+        f"aggregate({a}, named_struct('s', 0L, 'o', cast(array() as array<struct<x:{kind},low:bigint,high:bigint>>)), "
         f"(s, x) -> named_struct('s', s.s + x.{value}, 'o', concat(s.o, array(named_struct('x', x, 'low', s.s, 'high', s.s + x.{value}))))).o"
     )
     hubs = hubs.withColumn("targets", targets).withColumn("rest", rest)
-    hubs = hubs.withColumn("t", F.expr(running("targets", "wants").replace("{kind}", "struct<target:int,have:bigint,wants:bigint>")))
-    hubs = hubs.withColumn("r", F.expr(running("rest", "n").replace("{kind}", "struct<n:bigint,back:int>")))
+    hubs = hubs.withColumn("t", running("targets", "wants", "struct<target:int,have:bigint,wants:bigint>"))
+    hubs = hubs.withColumn("r", running("rest", "n", "struct<fits:boolean,n:bigint,tie:bigint,shard:int,room:bigint>"))
     met = hubs.select("hub", F.explode("r").alias("r"), "t").select("hub", "r", F.explode("t").alias("t"))
     n = F.least("r.high", "t.high") - F.greatest("r.low", "t.low")
-    return met.select("hub", (-F.col("r.x.back")).alias("shard"), F.col("t.x.target").alias("target"), n.alias("n"), (F.col("t.x.have") - F.col("r.x.n") + 1).alias("gain")).filter("n > 0")
+    return met.select("hub", F.col("r.x.shard").alias("shard"), F.col("t.x.target").alias("target"), n.alias("n"), (F.col("t.x.have") - F.col("r.x.n") + 1).alias("gain")).filter("n > 0")
 
 
 def propagate(cells: DataFrame, capacity: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Cells (hub, shard, n) after balanced label propagation; no shard gets more linked documents than capacity, or than
     it had."""
     spark = cells.sparkSession
-    for _ in range(rounds):
-        asks = save(_asks(cells, capacity, shards), "shard-asks")
+    for turn in range(rounds):
         loads = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # `shards` rows
+        rooms = [max(0, capacity - loads.get(t, 0)) for t in range(shards)]
+        asks = save(_asks(cells, capacity, rooms, turn), "shard-asks")
         flows = {(r.shard, r.target): r.n for r in asks.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
         if not flows:
             break
         quotas = {k: min(n, flows.get(k[::-1], 0)) for k, n in flows.items()}
         for t in range(shards):
-            room = max(0, capacity - loads.get(t, 0))
+            room = rooms[t]
             for k in sorted((k for k in flows if k[1] == t), key=lambda k: -flows[k]):
                 more = min(room, flows[k] - quotas[k])
                 quotas[k] += more

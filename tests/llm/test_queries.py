@@ -1,0 +1,39 @@
+import pytest
+from compare import same_rows
+
+from chronopix.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, name):
+    same_rows(spark, queries.queries()[name], queries.oracle_sql()[name], SF)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    names = [n for n, _ in p.STAGES]
+    assert names == ["language", "quality", "near_duplicates", "decontamination", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = docs.count()
+    for name, stage in p.STAGES[:-1]:
+        after = p.save(stage(spark, docs, SF), f"test-{name}")
+        assert after.columns == docs.columns and 0 < after.count() <= seen
+        docs, seen = after, after.count()
+    kept = {r.doc_id for r in docs.collect()}
+    packed = p.packing_stage(spark, docs, SF)
+    assert {r.doc_id for r in packed.collect()} == kept
+
+
+def test_stages_do_their_work(spark):
+    import corpus_pipeline as p
+    from chronopix.llm import jaccard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = p.save(p.near_duplicate_stage(spark, docs, SF), "test-one")
+    again = jaccard.similar_components(one)
+    assert again.filter("component_id <> doc_id").count() == 0 and one.count() < docs.count()
+    clean = p.save(p.decontamination_stage(spark, docs, SF), "test-clean")
+    assert p.decontamination_stage(spark, clean, SF).count() == clean.count() < docs.count()
