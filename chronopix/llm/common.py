@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,12 @@ from pyspark.sql import Window
 #: A key is heavy when it holds at least this share of all rows, so there are at most 1 / HEAVY_SHARE such keys.
 HEAVY_SHARE = 0.001
 
+#: Edges that one task joins in a forest: some 50 MB.
+SMALL_EDGES = 300_000
+
+#: Rows of an Arrow batch: whole texts are long, and batches are held in the JVM and in Python at once.
+ROWS = 500
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -48,12 +58,29 @@ def _clean() -> None:
             return
 
 
-def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and lost executors lose nothing."""
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Meanwhile, Arrow batches hold so many rows at most: Python workers then hold little at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def save(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = ROWS) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and lost executors lose nothing.
+
+    rows bounds the Arrow batches of Python stages in df.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/chronopix-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.option("compression", compression).parquet(path)
+    with batch_rows(spark, rows):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._chronopix_path = path
     return out
@@ -109,39 +136,58 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str, salts:
     )
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL_EDGES, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the smallest node; nodes without edges are absent.
 
-    Alternates the large-star and small-star steps until the edges form stars. Every round is written to the shared
-    folder; nothing but one count of changed edges comes to the driver.
+    Alternates the large-star and small-star steps until the edges form stars; every round is written to the shared folder,
+    and only its number of edges and a checksum come to the driver. Once there are `small` edges or fewer, one task joins
+    them in a forest instead.
     """
-    now = save(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges"
-    )
+    now = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    mark = _mark(now)
     for _ in range(rounds):
+        if mark[0] <= small:
+            return save(_in_one_task(now), "roots")
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = (
-            both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        ).distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(down, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.*")
-            .filter("a <> b")
-            .distinct()
-        )
-        after = save(small, "edges")
-        changed = after.join(now, ["a", "b"], "left_anti").limit(1).count() or now.join(after, ["a", "b"], "left_anti").limit(1).count()
+        pairs = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        after = save(large.join(down, "a").select(pairs.alias("e")).select("e.*").filter("a <> b").distinct(), "edges")
+        before, mark = mark, _mark(after)
         release(now)
         now = after
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+        if mark == before:
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and a checksum that does not depend on their order."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 33))).first())
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = [b[["a", "b"]].to_numpy(dtype=np.int64) for b in batches]
+        pairs = np.concatenate(ends) if ends else np.empty((0, 2), dtype=np.int64)
+        nodes, at = np.unique(pairs, return_inverse=True)
+        up = list(range(len(nodes)))
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for a, b in at.reshape(-1, 2).tolist():
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        yield pd.DataFrame({"node": nodes, "root": nodes[np.array([find(i) for i in range(len(nodes))], dtype=np.int64)]})
+
+    return edges.coalesce(1).mapInPandas(run, "node long, root long")
 
 
 def marked(df: DataFrame, wanted: DataFrame, key: Column, bits: int = 22, others: bool = False) -> DataFrame:
@@ -151,12 +197,11 @@ def marked(df: DataFrame, wanted: DataFrame, key: Column, bits: int = 22, others
     wanted has the key as its only column, or names it as df does.
     """
     hashed = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    marks = wanted.select(hashed.alias("_h")).groupBy(F.shiftright("_h", 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_h & 63 as int))")).alias("_mask")
-    )
-    own = df.withColumn("_h", hashed).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(marks), "_word", "left")
-    on = F.coalesce(F.expr("shiftright(_mask, cast(_h & 63 as int)) & 1"), F.lit(0)) == 1
-    return own.filter(~on if others else on).drop("_h", "_word", "_mask")
+    h, word, mask = (f"_{x}_{uuid.uuid4().hex}" for x in ("hash", "word", "mask"))  # no column of df has such a name
+    marks = wanted.select(hashed.alias(h)).groupBy(F.shiftright(h, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({h} & 63 as int))")).alias(mask))
+    own = df.withColumn(h, hashed).withColumn(word, F.shiftright(h, 6)).join(F.broadcast(marks), word, "left")
+    on = F.coalesce(F.expr(f"shiftright({mask}, cast({h} & 63 as int)) & 1"), F.lit(0)) == 1
+    return own.filter(~on if others else on).drop(h, word, mask)
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -3,11 +3,13 @@
 Documents whose sets of 5-word shingles have a Jaccard similarity of 80/100 or more are linked; the result names each
 document's component. The steps:
 
-1. `sets` reads every text once: sorted shingle hashes, a signature of the set, a token bitmap, and a count sketch of all
+1. `sets` reads every text: sorted shingle hashes, a signature of the set, a token bitmap, and a count sketch of all
    shingles (2**SKETCH counters whatever the input's size). Documents of equal sets form a class; a class goes on as one.
+   Sets are eight times as large as texts compress to, so they are never stored; steps 2 and 4 make them anew from texts.
 2. `runs`: a class is sent under the shingles of its prefix. Two sets linked share one of the first
    n - ceil(0.8 n) + 1 shingles of any fixed order; the order puts shingles of larger sketch counts later, so a passage
-   that many documents share brings only those together which consist of little else. Equal runs are kept once. Runs of
+   that many documents share brings only those together which consist of little else. Of a run, classes
+   stay that have a partner there whose size and position allow a link; equal runs are kept once. Runs of
    more than BIG classes become candidates as a star.
 3. `tree_edges`: within a run a signature tree is traversed against itself. Its nodes hold OR-combined bitmaps, the range
    of set sizes, and the largest excess of a set over its bits; a node pair is left out when its largest possible overlap,
@@ -43,8 +45,7 @@ BIG, CLUSTER, BLOCK = 1024, 512, 256
 BUCKET = 300_000
 HOT = 1 << 20
 ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-SET_SCHEMA = "doc_id long, sig long, n long, bits binary, tokens binary, chunk int"
-
+SET_SCHEMA = "doc_id long, sig long, n long, bits binary, chunk int"
 
 def least_overlap(a, b):
     """Smallest overlap with 100 * overlap >= 80 * union for sets of sizes a and b: ceil(4 (a + b) / 9)."""
@@ -59,56 +60,67 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(on).tobytes()
 
 
-def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """A row per document (tokens and bits only where the set is new to the task), and sketch rows (chunk not null)."""
+def signature(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+class Seen:
+    """Signatures met in a task; beyond the limit repeated sets only travel more than once."""
+
+    def __init__(self, limit: int = 1_000_000):
+        self.met: set[int] = set()
+        self.limit = limit
+
+    def new(self, k: int) -> bool:
+        if k in self.met:
+            return False
+        if len(self.met) < self.limit:
+            self.met.add(k)
+        return True
+
+
+def batch_sets(column, words: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, last row, sets) over slices of an Arrow column of texts."""
+    data, bounds = binary_column(column)
+    for i, j in slices(bounds):
+        hashes, at = word_hashes(data, bounds[i : j + 1])
+        yield i, j, list(shingle_sets(hashes, at, words))
+
+
+def sets(source: DataFrame, words: int = WORDS) -> DataFrame:
+    """A row per document of source (doc_id, body), with bits only where the set is new to the task, and sketch rows
+    (chunk not null, counters in bits)."""
     import pyarrow as pa
 
     def run(batches) -> Iterator:
-        schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("tokens", pa.binary()), ("chunk", pa.int32())])
-        seen: set[int] = set()
+        schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32())])
+        seen = Seen()
         counts = np.zeros(1 << SKETCH, dtype=np.uint32)
         held: list[np.ndarray] = []
         size = 0
-
-        def count() -> None:
-            nonlocal size
-            if held:
-                counts[:] += np.bincount((np.concatenate(held) & np.uint64((1 << SKETCH) - 1)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
-            held.clear()
-            size = 0
-
         for batch in batches:
-            ids = batch.column(0)
-            data, bounds = binary_column(batch.column(1))
-            for i, j in slices(bounds):
-                hashes, at = word_hashes(data, bounds[i : j + 1])
-                sig, ns, bits, tokens = [], [], [], []
-                for s in shingle_sets(hashes, at, words):
-                    ns.append(len(s))
-                    if not len(s):
-                        sig.append(None), bits.append(None), tokens.append(None)
-                        continue
-                    held.append(s)
+            for i, j, found in batch_sets(batch.column(1), words):
+                sig, bits = [], []
+                for s in found:
+                    k = signature(s.tobytes()) if len(s) else None
+                    sig.append(k)
+                    bits.append(bitmap(s) if k is not None and seen.new(k) else None)
+                    held.append((s & np.uint64((1 << SKETCH) - 1)).astype(np.uint32))
                     size += len(s)
-                    raw = s.tobytes()
-                    k = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                    new = k not in seen
-                    if new and len(seen) < 1_000_000:  # beyond, repeated sets only travel more than once
-                        seen.add(k)
-                    sig.append(k), bits.append(bitmap(s) if new else None), tokens.append(raw if new else None)
-                if size > 2_000_000:
-                    count()
+                if size > 1_000_000:
+                    np.add.at(counts, np.concatenate(held), np.uint32(1))
+                    held.clear()
+                    size = 0
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(sig, pa.int64()), pa.array(ns, pa.int64()), pa.array(bits, pa.binary()), pa.array(tokens, pa.binary()), pa.nulls(j - i, pa.int32())],
-                    schema=schema,
+                    [batch.column(0).slice(i, j - i), pa.array(sig, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(bits, pa.binary()), pa.nulls(j - i, pa.int32())], schema=schema
                 )
-        count()
+        if size:
+            np.add.at(counts, np.concatenate(held), np.uint32(1))
         if counts.any():
             parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(CHUNKS, pa.binary()), pa.array(parts, pa.binary()), pa.array(range(CHUNKS), pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.binary()), pa.array(range(CHUNKS), pa.int32())], schema=schema)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col).cast("string")).alias("body"))
     return source.mapInArrow(run, SET_SCHEMA)
 
 
@@ -120,57 +132,63 @@ def sketch_classes(table: DataFrame) -> tuple[np.ndarray, int]:
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << SKETCH) // CHUNKS, dtype=np.uint64)
-        for blob in frame["tokens"]:
+        for blob in frame["bits"]:
             total += np.frombuffer(zlib.decompress(bytes(blob)), dtype=np.uint32)
         return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "total": [int(total.sum())], "logs": [np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()]})
 
-    rows = table.filter("chunk IS NOT NULL").select("chunk", "tokens").groupBy("chunk").applyInPandas(add, "chunk int, total long, logs binary").collect()
+    rows = table.filter("chunk IS NOT NULL").select("chunk", "bits").groupBy("chunk").applyInPandas(add, "chunk int, total long, logs binary").collect()
     if not rows:
         return np.zeros(1 << SKETCH, dtype=np.uint8), 0
     logs = np.concatenate([np.frombuffer(bytes(r.logs), dtype=np.uint8) for r in sorted(rows, key=lambda r: r.chunk)])
-    usual = int(np.log2(max(1, sum(r.total for r in rows) >> SKETCH))) + 2
+    usual = int(np.log2(max(1, sum(r.total for r in rows) >> SKETCH)))
     return np.maximum(logs, usual) - np.uint8(usual), usual
 
 
-def _prefix_entries(table: DataFrame, order, buckets: int) -> DataFrame:
+def _prefix_entries(source: DataFrame, order, buckets: int, words: int) -> DataFrame:
     """(bucket, entries): blobs of ENTRY, the prefix shingles of each set."""
+    import pyarrow as pa
+
     spread = np.uint64(0x9E3779B97F4A7C15)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches) -> Iterator:
         logs, usual = order.value
+        seen = Seen()
         held: list[np.ndarray] = []
         size = 0
 
-        def flush() -> pd.DataFrame:
+        def flush():
             e = np.concatenate(held)
             held.clear()
             # a shingle that may stand in over HOT classes is dealt over several buckets by class
             salts = np.maximum(1, (np.uint64(1) << np.minimum((e["key"] >> np.uint64(58)) + np.uint64(usual), np.uint64(60))) // np.uint64(HOT))
             h = (e["key"] * spread) ^ (((e["sig"].astype(np.uint64) * spread) >> np.uint64(20)) % salts) * spread
-            bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             e, bucket = e[by], bucket[by]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
-            firsts = np.concatenate(([0], cuts))
-            return pd.DataFrame({"bucket": bucket[firsts].astype(np.int32), "entries": [x.tobytes() for x in np.split(e, cuts)]})
+            blobs = [x.tobytes() for x in np.split(e, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate(([0], cuts))], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
-        for b in batches:
-            for sig, n, blob in zip(b["sig"], b["n"], b["tokens"], strict=True):
-                t = np.frombuffer(blob, dtype=np.uint64)
-                keys = (logs[(t & np.uint64((1 << SKETCH) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (t >> np.uint64(6))
-                p = n + (-8 * n // 10) + 1
-                e = np.empty(p, dtype=ENTRY)
-                e["key"] = np.sort(np.partition(keys, p - 1)[:p]) if p < n else np.sort(keys)
-                e["sig"], e["n"], e["pos"] = sig, n, np.arange(p)
-                held.append(e)
-                size += p
-                if size > 500_000:
+        for batch in batches:
+            for _, _, found in batch_sets(batch.column(0), words):
+                for t in found:
+                    n = len(t)
+                    if not n or not seen.new(sig := signature(t.tobytes())):
+                        continue
+                    keys = (logs[(t & np.uint64((1 << SKETCH) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (t >> np.uint64(6))
+                    p = n + (-8 * n // 10) + 1
+                    e = np.empty(p, dtype=ENTRY)
+                    e["key"] = np.sort(np.partition(keys, p - 1)[:p]) if p < n else np.sort(keys)
+                    e["sig"], e["n"], e["pos"] = sig, n, np.arange(p)
+                    held.append(e)
+                    size += p
+                if size > 300_000:
                     yield flush()
                     size = 0
         if held:
             yield flush()
 
-    return table.filter("tokens IS NOT NULL AND chunk IS NULL").select("sig", "n", "tokens").mapInPandas(run, "bucket int, entries binary")
+    return source.select("body").mapInArrow(run, "bucket int, entries binary")
 
 
 def _runs(entries: DataFrame, buckets: int, usual: int) -> DataFrame:
@@ -190,20 +208,23 @@ def _runs(entries: DataFrame, buckets: int, usual: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
             ends = np.append(starts[1:], len(e))
             hot = (e["key"][starts] >> np.uint64(58)) + np.uint64(usual) >= np.uint64(HOT.bit_length())
+            rest, n = (e["n"] - e["pos"]).astype(np.int64), e["n"].astype(np.int64)
+            many = ends - starts
+            two = np.flatnonzero((many == 2) & ~hot)
+            i = starts[two]
+            apart = np.minimum(rest[i], rest[i + 1]) < least_overlap(n[i], n[i + 1])
+            take = (many > 1) | hot
+            take[two[apart]] = False
             out: dict[int, tuple] = {}
-            for s, t, h in zip(starts[(ends - starts > 1) | hot], ends[(ends - starts > 1) | hot], hot[(ends - starts > 1) | hot], strict=True):
+            for s, t, h in zip(starts[take], ends[take], hot[take], strict=True):
                 m = e[s:t]
-                if not h:
-                    if len(m) == 2:
-                        (a, b) = m
-                        o = least_overlap(int(a["n"]), int(b["n"]))
-                        if min(int(a["n"]) - int(a["pos"]), int(b["n"]) - int(b["pos"])) < o:
-                            continue
-                    else:
-                        # a partner of at least 0.8 n shingles, of which this one and those after it are shared
-                        m = m[m["n"] - m["pos"] >= least_overlap(m["n"].astype(np.int64), -(-8 * m["n"].astype(np.int64) // 10))]
-                        if len(m) < 2:
-                            continue
+                if not h and 2 < len(m) <= BIG:
+                    # of two sets, the shared shingle and what comes after it in either must reach the least overlap
+                    fits = np.minimum(rest[s:t, None], rest[None, s:t]) >= least_overlap(n[s:t, None], n[None, s:t])
+                    np.fill_diagonal(fits, False)
+                    m = m[fits.any(1)]
+                    if not len(m):
+                        continue
                 sigs = m["sig"]
                 name = int.from_bytes(hashlib.blake2b(sigs.tobytes(), digest_size=8).digest(), "little", signed=True)
                 out[name] = (name, int(e["key"][s] >> np.uint64(1)) if h else None, sigs.tolist())
@@ -383,23 +404,53 @@ def _gather(rows: DataFrame) -> DataFrame:
     return rows.groupBy("root", "i", "j").agg(F.collect_list(F.struct("sig", "tokens", "part", "label")).alias("members"))
 
 
-def _filtered_sets(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, tokens) of wanted classes, once each. A bitmap of 2**22 bits over all wanted ones, whatever their number, is
-    broadcast (65536 rows at most) and keeps other sets out of the shuffle."""
-    own = marked(table.filter("tokens IS NOT NULL AND chunk IS NULL").select("sig", "tokens"), wanted, F.col("sig"))
+def _member_sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(sig, tokens) of wanted classes, once each, made anew from the texts.
+
+    A bitmap over the wanted signatures, 2**27 bits at most, goes to the tasks and keeps other sets from being sent.
+    """
+    import pyarrow as pa
+
+    spark = source.sparkSession
+    width = min(27, max(16, (16 * wanted.count()).bit_length()))
+    place = F.col("sig").bitwiseAND((1 << width) - 1)
+    marks = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+    on = np.zeros(1 << (width - 6), dtype=np.int64)
+    for r in marks.collect():  # 2**21 words at most
+        on[r.word] = r.mask
+    table = spark.sparkContext.broadcast(on)
+
+    def run(batches) -> Iterator:
+        masks, seen = table.value, Seen()
+        for batch in batches:
+            for _, _, found in batch_sets(batch.column(0), words):
+                sigs, blobs = [], []
+                for t in found:
+                    if not len(t):
+                        continue
+                    raw = t.tobytes()
+                    k = signature(raw)
+                    at = k & ((1 << width) - 1)
+                    if int(masks[at >> 6]) >> (at & 63) & 1 and seen.new(k):
+                        sigs.append(k), blobs.append(raw)
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(blobs, pa.binary())], names=["sig", "tokens"])
+
+    own = source.select("body").mapInArrow(run, "sig long, tokens binary")
     return own.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
-    table = save(sets(docs, id_col, text_col, words), "jaccard-sets", "lz4")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col).cast("string")).alias("body"))
+    table = save(sets(source, words), "jaccard-sets")
     rows = table.filter("chunk IS NULL").select("doc_id", "sig", "n")
     total, shingles = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
     classes = sketch_classes(table)
     order = spark.sparkContext.broadcast(classes)
     buckets = max(12, -(-(shingles or 0) // 5 // BUCKET))
-    found = save(_runs(_prefix_entries(table, order, buckets), buckets, classes[1]), "jaccard-runs")
+    found = save(_runs(_prefix_entries(source, order, buckets, words), buckets, classes[1]), "jaccard-runs")
 
     def star(x: DataFrame) -> DataFrame:
         return x.select(F.array_min("sigs").alias("a"), F.explode("sigs").alias("b")).filter("a <> b")
@@ -408,7 +459,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     big = found.filter((F.size("sigs") > BIG) | F.col("key").isNotNull())
     hubs = big.filter("key IS NOT NULL").select("key", F.array_min("sigs").alias("a"))
     hub_edges = hubs.join(hubs.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b").filter("a <> b")
-    bits = table.filter("bits IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    bits = table.filter("bits IS NOT NULL AND chunk IS NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     members = small.dropDuplicates(["run"]).select("run", F.explode("sigs").alias("sig")).join(bits, "sig")
     grouped = members.groupBy("run").agg(F.collect_list(F.struct("sig", "n", "bits")).alias("members"))
     candidates = save(tree_edges(grouped).unionByName(star(big)).unionByName(hub_edges).distinct(), "jaccard-candidates")
@@ -417,14 +468,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clusters = save(clusters.join(sizes, "root"), "jaccard-clusters")
     blocks = F.when(F.col("m") <= CLUSTER, F.lit(1)).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
     held = save(
-        clusters.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")).join(_filtered_sets(table, clusters), "sig"),
+        clusters.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")).join(_member_sets(source, clusters, words), "sig"),
         "jaccard-held", "lz4",
     )
     partner = F.when(F.col("nb") == 1, F.array(F.lit(0))).when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1), F.greatest(F.col("nb") - 1, F.lit(1))))
     plain = held.withColumn("part", F.lit(1)).withColumn("label", F.lit(None).cast("long"))
-    links = save(verified(_gather(plain.withColumn("i", F.lit(0)).withColumn("j", F.explode(partner)))), "jaccard-links")
+    links = save(verified(_gather(plain.withColumn("i", F.lit(0)).withColumn("j", F.explode(partner)))), "jaccard-links", rows=20)
     if clusters.filter(F.col("m") > CLUSTER).limit(1).count():
-        links = save(links.unionByName(_rest(held, links)), "jaccard-links")
+        links = save(links.unionByName(_rest(held, links)), "jaccard-links", rows=20)
     linked = components(links)
     first = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     rooted = first.join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -466,17 +517,18 @@ def keep_one(docs: DataFrame, named: DataFrame) -> DataFrame:
     return without(rest, repeated).unionByName(again.select(*rest.columns))
 
 
-# In SQL: exact sets, links by counting common shingles, components by transitive closure.
+# In SQL: exact sets (64-bit hashes of shingles), links by counting common shingles, components by transitive closure.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
-s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
-e AS (SELECT doc_id, unnest(sh) AS g FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * c >= 80 * (len(x.sh) + len(y.sh) - c)),
+s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [hash(array_to_string(ws, ' '))]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: hash(array_to_string(ws[i:i + 4], ' '))) END) AS sh FROM w),
+e AS MATERIALIZED (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * c >= 80 * (len(x.sh) + len(y.sh) - c)),
+l AS MATERIALIZED (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = s.doc_id
 """
