@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, save, utf8, without
+from .common import ROWS, batch_rows, lookup, save, utf8, without
 from .shingles import binary_column, slices
 
 GRAM_BITS, MOST_LANGUAGES = 16, 64
@@ -97,7 +97,9 @@ def gram_tables(source: DataFrame, languages: list[str]) -> np.ndarray:
 
     own = source.filter(F.col("declared").isin(languages)).select("declared", "body").mapInArrow(run, "k int, counts binary")
     total = np.zeros((len(languages), 1 << GRAM_BITS))
-    for r in own.groupBy("k").applyInPandas(add, "k int, counts binary").collect():
+    with batch_rows(source.sparkSession, ROWS):
+        rows = own.groupBy("k").applyInPandas(add, "k int, counts binary").collect()
+    for r in rows:
         total[r.k] = np.frombuffer(bytes(r.counts), dtype="<i8")
     return np.log((total + 0.5) / (total + 0.5).sum(1, keepdims=True)).astype(np.float32)
 
