@@ -11,7 +11,12 @@ bounded. Trigrams of one text are not independent: its likelihood counts as that
 
 Of documents, `lang` is the declared language and `source` the host; page_evidence() takes them from web pages.
 
-A document is kept if it has a letter and its posterior reaches `least`.
+The posterior only compares the corpus's languages, so a second test is absolute: the mean log-likelihood of a text's
+trigrams must reach what texts of its language have (absolute_limits, fitted over all documents), less an allowance for short texts.
+Gibberish and languages that nothing declares fail it.
+
+A document is kept if it has a letter, its posterior reaches `least` and it passes the absolute test. A text without a
+trigram can't fail the latter.
 
 Defined cases: a null or empty text gives no text evidence, gets the language that the rest says, and is not kept; null or
 blank declarations and hosts are unknown and give no evidence; without any declared language, language is null and the
@@ -35,6 +40,8 @@ from .shingles import binary_column, slices
 GRAM_BITS, MOST_LANGUAGES = 16, 64
 EVIDENCE, SMOOTHING = 200.0, 20.0
 LEAST = 0.5
+#: The absolute test: deviations allowed, least trigrams of a text that limits are fitted to, bins per unit of log-likelihood.
+DEVIATIONS, FIT_LEAST, BINS = 3.0, 50, 20
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -104,13 +111,33 @@ def gram_tables(source: DataFrame, languages: list[str]) -> np.ndarray:
     return np.log((total + 0.5) / (total + 0.5).sum(1, keepdims=True)).astype(np.float32)
 
 
+def absolute_limits(log: np.ndarray, fitted: dict[int, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(least mean log-likelihood, deviation of a single trigram) of each language.
+
+    fitted: median and 16th percentile of its texts' means. The limit lies below the median by DEVIATIONS of the two's gap, or
+    by half the way to the nearest other language or to uniform trigrams if that is more; never below uniform trigrams.
+    """
+    uniform = -GRAM_BITS * np.log(2)
+    cross = np.exp(log.astype(np.float64)) @ log.T.astype(np.float64)
+    own = np.diag(cross)
+    spread = np.sqrt(np.maximum(0, (np.exp(log) * log.astype(np.float64) ** 2).sum(1) - own**2))
+    # how texts of other languages look under this one: the nearest of them, or uniform trigrams
+    others = np.where(np.eye(len(log), dtype=bool), -np.inf, cross)
+    nearest = np.maximum(others.max(0, initial=-np.inf), uniform)
+    least = np.empty(len(log))
+    for k in range(len(log)):
+        median, low = fitted.get(k, (own[k], own[k]))
+        least[k] = max(uniform, median - max(DEVIATIONS * (median - low), (median - nearest[k]) / 2))
+    return least, spread
+
+
 def _likelihoods(source: DataFrame, tables) -> DataFrame:
-    """(doc_id, declared, host, suffix, letters, ll): log-likelihood of each text under each language, tempered."""
+    """(doc_id, declared, host, suffix, letters, grams, ll): log-likelihood of each text under each language, tempered."""
     import pyarrow as pa
 
     def run(batches) -> Iterator:
         log = tables.value
-        schema = pa.schema([("doc_id", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("letters", pa.int64()), ("ll", pa.list_(pa.float64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("letters", pa.int64()), ("grams", pa.int64()), ("ll", pa.list_(pa.float64()))])
         for batch in batches:
             data, bounds = binary_column(batch.column(3))
             for i, j in slices(bounds):
@@ -124,9 +151,9 @@ def _likelihoods(source: DataFrame, tables) -> DataFrame:
                     for k in range(len(log)):
                         ll[full, k] = np.add.reduceat(np.where(weight, log[k][grams], np.float32(0)).astype(np.float64), at[full])
                 ll *= (np.minimum(EVIDENCE, many) / np.maximum(many, 1))[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(letters), pa.array(list(ll), pa.list_(pa.float64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(letters), pa.array(many.astype(np.int64)), pa.array(list(ll), pa.list_(pa.float64()))], schema=schema)
 
-    rows = source.select("doc_id", "declared", "host", "body").mapInArrow(run, "doc_id long, declared string, host string, letters long, ll array<double>")
+    rows = source.select("doc_id", "declared", "host", "body").mapInArrow(run, "doc_id long, declared string, host string, letters long, grams long, ll array<double>")
     return rows.withColumn("suffix", F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([^.]+)$", 1))
 
 
@@ -141,7 +168,8 @@ def identify(
     )
     seen = source.filter("declared <> ''").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES)
     languages = sorted(r.declared for r in seen.collect())
-    tables = spark.sparkContext.broadcast(gram_tables(source, languages) if languages else np.zeros((0, 1 << GRAM_BITS), dtype=np.float32))
+    log = gram_tables(source, languages) if languages else np.zeros((0, 1 << GRAM_BITS), dtype=np.float32)
+    tables = spark.sparkContext.broadcast(log)
     rows = _likelihoods(source, tables)
     names = F.array(*[F.lit(x) for x in languages]) if languages else F.array().cast("array<string>")
     best = F.when((F.array_max("ll") > F.array_min("ll")) & (F.col("letters") > 0), F.array_position("ll", F.array_max("ll")).cast("int"))
@@ -149,6 +177,11 @@ def identify(
     if not languages:
         return rows.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), "declared", F.lit(False).alias("kept"))
     k = len(languages)
+    # mean log-likelihood a trigram, in bins, by language: what the absolute test is fitted to
+    mean = F.col("ll")[F.col("best") - 1] / F.least(F.lit(EVIDENCE), F.col("grams"))
+    bins = rows.filter((F.col("grams") >= FIT_LEAST) & F.col("best").isNotNull()).groupBy("best", F.round(mean * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    fitted = bins.groupBy("best").agg(F.percentile("bin", [0.5, 0.16], F.col("n")).alias("p")).collect()
+    limit, spread = absolute_limits(log, {r.best - 1: (r.p[0] / BINS, r.p[1] / BINS) for r in fitted})
     counts = [F.sum(F.when(F.col("best") == i + 1, 1).otherwise(0)).alias(f"c{i}") for i in range(k)]
     total = F.array(*[F.col(f"c{i}").cast("double") for i in range(k)])
     smooth = lambda own, up: F.zip_with(own, up, lambda a, b: a + SMOOTHING * b)
@@ -175,10 +208,14 @@ def identify(
     joint = F.zip_with(F.zip_with("ll", F.coalesce(claimed, none), lambda a, b: a + b), prior, lambda a, b: a + b)
     fused = with_host.withColumn("joint", joint).withColumn("top", F.array_max("joint"))
     mass = F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    fused = fused.withColumn("posterior", 1 / mass)
+    fused = fused.withColumn("posterior", 1 / mass).withColumn("at", F.array_position("joint", F.col("top")).cast("int"))
+    # neighbouring trigrams share letters: three of them count as one
+    floats = lambda a: F.array(*[F.lit(float(x)) for x in a])
+    allowed = F.element_at(floats(limit), F.col("at")) - DEVIATIONS * F.element_at(floats(spread), F.col("at")) * F.sqrt(3 / F.greatest(F.lit(1), F.col("grams")))
+    known = (F.col("grams") == 0) | (F.element_at("ll", F.col("at")) / F.greatest(F.lit(1.0), F.least(F.lit(EVIDENCE), F.col("grams"))) >= allowed)
     return fused.select(
-        "doc_id", F.element_at(names, F.array_position("joint", F.col("top")).cast("int")).alias("language"), "posterior", F.when(F.col("best").isNotNull(), F.element_at(names, F.coalesce("best", F.lit(1)))).alias("text_language"),
-        F.nullif("declared", F.lit("")).alias("declared"), ((F.col("letters") > 0) & (F.col("posterior") >= least)).alias("kept"),
+        "doc_id", F.element_at(names, F.col("at")).alias("language"), "posterior", F.when(F.col("best").isNotNull(), F.element_at(names, F.coalesce("best", F.lit(1)))).alias("text_language"),
+        F.nullif("declared", F.lit("")).alias("declared"), ((F.col("letters") > 0) & (F.col("posterior") >= least) & known).alias("kept"),
     )
 
 

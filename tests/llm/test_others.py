@@ -199,6 +199,22 @@ def test_language_hard_cases(spark):
     assert {r.language for r in none.collect()} == {None}
 
 
+def test_language_rejects_unknown_text(spark):
+    """Random and foreign texts, declared or not, in a corpus of en, de, fr and es."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = random.Random(5)
+    words = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(40))
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450)))
+    foreign = [words(latin) for _ in range(30)] + [words(cyrillic) for _ in range(30)] + [base64.b64encode(rng.randbytes(200)).decode() for _ in range(30)] + [
+        "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(60)), "Questa mattina siamo andati al mercato e abbiamo comprato verdure fresche e pane per tutta la famiglia, poi siamo tornati a casa.",
+        "Vanochtend gingen we naar de markt en kochten we verse groenten en brood voor het hele gezin, daarna zijn we weer naar huis gegaan.",
+    ]
+    rows = [(10**9 + i, t, [None, "en"][i % 2], "src0") for i, t in enumerate(foreign)]
+    judged = language.identify(docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect()
+    assert sum(r.kept for r in judged if r.doc_id >= 10**9) == 0
+    assert np.mean([r.kept for r in judged if r.doc_id < 10**9]) > 0.995
+
+
 def test_page_evidence(spark):
     p = spark.createDataFrame([(1, "https://News.Example.fr:80/x", '<html lang="FR"><script>var a</script><p>le chat</p></html>'), (2, None, None)], "page_id long, url string, html string")
     r = {x.doc_id: x for x in language.page_evidence(p).collect()}
