@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Texts become template tokens: lower-case words, and typed placeholders for numbers, units after numbers, and names
-(capitalised words after a lower-case word, a comma or a semicolon). Windows of WINDOW template tokens are hash-joined: of
-items all windows, of documents those at every STRIDE-th token, so that any common run of WINDOW + STRIDE - 1 = 9 tokens
-meets. Items of 3 to 8 tokens get shorter windows and strides, with which the whole item meets; items of fewer tokens
-can't be told from chance and are not searched.
+(capitalised words after a lower-case word, a comma or a semicolon). Windows of template tokens, at every token of items and
+documents, are hash-joined. An item of n tokens may differ in m = n - ceil(cover n) of them; windows of floor(n / (m + 1))
+tokens, WINDOW at most, are short enough that m changes can't hit all of them: at least n - width + 1 - m width agree, and
+run - width + 1 where a run decides. An alignment with fewer agreeing windows can't be a leak and is not checked, so no leak
+depends on its offset. Items of fewer than LEAST_WORDS tokens can't be told from chance and are not searched.
 
 Each meeting is checked at its alignment against the whole item. It is a leak if at least COVER of the item's tokens
 agree or RUN successive ones do, and its slots are consistent: equal values in the item are equal in the document. A leak
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import marked, save, without
 
-WINDOW, STRIDE, COVER, RUN = 5, 5, 0.8, 13
+WINDOW, LEAST_WORDS, COVER, RUN = 5, 3, 0.8, 13
 #: Windows of items are broadcast up to this many rows, and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,22 +54,18 @@ def _literal(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.when(x < F.lit("\u0005"), F.substring(x, 1, 1)).otherwise(x))
 
 
-def _windows(tokens: Column, width: int, stride: int) -> Column:
-    """Hashes of windows with a word in them, as (pos from 0, hash)."""
-    at = F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - width + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(tokens, i, F.lit(width))).alias("hash")))
+def _starts(hashes: Column, width: int) -> Column:
+    return F.when(F.size(hashes) >= width, F.sequence(F.lit(0), F.size(hashes) - width)).otherwise(F.array().cast("array<int>"))
 
 
-def _plans(lengths: list[int]) -> dict[tuple[int, int], tuple[int, int]]:
-    """(width, stride) to the item lengths that it serves, from least to most."""
-    out = {}
-    for n in lengths:
-        if n >= WINDOW + STRIDE - 1:
-            out[WINDOW, STRIDE] = (WINDOW + STRIDE - 1, 2**31 - 1)
-        elif n >= 3:
-            width = -(-n // 2)
-            out[width, n - width + 1] = (n, n)
-    return out
+def _windows(hashes: Column, width: int, at: Column | None = None) -> Column:
+    """Hashes of windows of tokens' hashes, as (pos from 0, hash)."""
+    joint = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(width)])
+    return F.transform(_starts(hashes, width) if at is None else at, lambda i: F.struct(i.alias("pos"), joint(i).alias("hash")))
+
+
+def _hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
 def find_leaks(
@@ -80,21 +77,32 @@ def find_leaks(
         benchmark.select(F.col(item_col).cast("long").alias("item_id"), template_tokens(F.col(item_text), True).alias("item")).withColumn("words", F.size("item")),
         "leak-items",
     )
-    # the lengths below 9 and one for all others: nine rows at most
-    lengths = [r[0] for r in items.select(F.least("words", F.lit(WINDOW + STRIDE - 1))).distinct().collect()]
+    items = items.filter(F.col("words") >= LEAST_WORDS)
+    spare = F.col("words") - F.ceil(F.lit(cover) * F.col("words"))
+    width = F.greatest(F.lit(1), F.least(F.lit(min(WINDOW, run)), F.floor(F.col("words") / (spare + 1)))).cast("int")
+    sized = items.withColumn("width", width).withColumn("need", F.least(F.col("words") - F.col("width") + 1 - spare * F.col("width"), F.lit(run + 1) - F.col("width")))
+    widths = sorted(r[0] for r in sized.select("width").distinct().collect())
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     key = source.select("doc_id", F.xxhash64("body").alias("body_hash"), template_tokens(F.col("body")).alias("tokens"))
-    hits = None
-    for (width, stride), (least, most) in sorted(_plans(lengths).items()):
-        own = items.filter(F.col("words").between(least, most)).select("item_id", F.explode(_windows(_literal(F.col("item")), width, 1)).alias("w"), F.col("item"))
-        blank = F.forall(F.slice("item", F.col("w.pos") + 1, F.lit(width)), lambda x: x < F.lit("\u0005"))
-        own = save(own.filter(~blank).select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash")), "leak-windows")
+    if widths:
+        own = None
+        for w in widths:
+            blank = lambda i: F.forall(F.slice("item", i + 1, F.lit(w)), lambda x: x < F.lit("\u0005"))  # noqa: B023, E731
+            some = sized.filter(F.col("width") == w).withColumn("hashes", _hashed(_literal(F.col("item"))))
+            # windows without a word meet everywhere: they are left out
+            some = some.withColumn("at", F.filter(_starts(F.col("hashes"), w), lambda i: ~blank(i)))
+            left_out = F.size(_starts(F.col("hashes"), w)) - F.size("at")
+            some = some.select("item_id", F.greatest(F.lit(1), F.col("need") - left_out).alias("need"), F.explode(_windows(F.col("hashes"), w, F.col("at"))).alias("w"))
+            own = some if own is None else own.unionByName(some)
+        own = save(own.select("item_id", "need", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash")), "leak-windows")
         many = own.count()
-        theirs = key.select("doc_id", "body_hash", F.explode(_windows(F.col("tokens"), width, stride)).alias("w"))
+        theirs = key.select("doc_id", "body_hash", _hashed(F.col("tokens")).alias("hashes"))
+        theirs = theirs.select("doc_id", "body_hash", F.explode(F.concat(*[_windows(F.col("hashes"), w) for w in widths])).alias("w"))
         theirs = theirs.select("doc_id", "body_hash", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
-        met = theirs.join(F.broadcast(own) if many <= BROADCAST_ROWS else own, "hash").select("doc_id", "body_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("first"))
-        hits = met if hits is None else hits.unionByName(met)
-    if hits is None:
+        met = theirs.join(F.broadcast(own) if many <= BROADCAST_ROWS else own, "hash")
+        met = met.groupBy("doc_id", "body_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("first"), "need").agg(F.count(F.lit(1)).alias("n"))
+        hits = met.filter("n >= need").select("doc_id", "body_hash", "item_id", "first")
+    else:
         hits = key.filter("false").select("doc_id", "body_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("first"))
     hits = save(hits.distinct(), "leak-hits")
     wanted = hits.select("doc_id", "body_hash").distinct()

@@ -146,6 +146,24 @@ def test_any_common_run_meets(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, d // 100) for d, _ in rows}
 
 
+def test_changed_items_meet_at_any_offset(spark):
+    """As many words changed as COVER allows, spread so that common runs are short."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, rows = [], []
+    for i, n in enumerate([5, 7, 10, 15, 20, 29, 40]):
+        words = [word() for _ in range(n)]
+        items.append((i, " ".join(words)))
+        spare = n - -(-4 * n // 5)
+        for k in range(6):
+            changed = list(words)
+            for j in range(spare):
+                changed[(j + 1) * n // (spare + 1)] = word()
+            rows.append((100 * i + k, " ".join([word() for _ in range(k)] + changed + [word() for _ in range(3)])))
+    found = decontaminate.find_leaks(brute.documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, d // 100) for d, _ in rows}
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = quality.score_documents(docs, labels).join(labels, "doc_id").filter("held_out").collect()
