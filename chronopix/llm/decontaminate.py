@@ -7,9 +7,15 @@ tokens, WINDOW at most, are short enough that m changes can't hit all of them: a
 run - width + 1 where a run decides. An alignment with fewer agreeing windows can't be a leak and is not checked, so no leak
 depends on its offset. Items of fewer than LEAST_WORDS tokens can't be told from chance and are not searched.
 
-Each meeting is checked at its alignment against the whole item. It is a leak if at least COVER of the item's tokens
-agree or RUN successive ones do, and its slots are consistent: equal values in the item are equal in the document. A leak
-is `exact` if all slots have the item's values, else `reparameterised`.
+Windows of placeholders alone meet often and are left out where an item has enough others to be found by.
+
+Whether a name is recognised depends on letter case and on the word before, which an item's first word lacks. So texts have
+two readings, and windows of both are joined: in one names are placeholders, and an item's first word may also be a name in the
+document if it is the same word; in the other names are their words.
+
+Each meeting is checked at its alignment against the whole item, by either reading. It is a leak if at least COVER of the
+item's tokens agree or RUN successive ones do, and its slots are consistent: equal values in the item are equal in the
+document. Placeholders alone, without a word that agrees, are a leak only with the item's values. A leak is `exact` if all slots have the item's values, else `reparameterised`.
 
 Defined cases: null and empty texts have no tokens and no leaks; a null doc_id comes back as null; rows that repeat a
 doc_id are checked one by one and give one row per item, the best; an empty table gives an empty result; other columns,
@@ -54,6 +60,12 @@ def _literal(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.when(x < F.lit("\u0005"), F.substring(x, 1, 1)).otherwise(x))
 
 
+def _plain(tokens: Column) -> Column:
+    """Tokens without the values of placeholders, but with names as their words."""
+    name = lambda x: x.startswith(NAME)
+    return F.transform(tokens, lambda x: F.when(name(x), F.substring(x, 2, 2**31 - 1)).when(x < F.lit("\u0005"), F.substring(x, 1, 1)).otherwise(x))
+
+
 def _starts(hashes: Column, width: int) -> Column:
     return F.when(F.size(hashes) >= width, F.sequence(F.lit(0), F.size(hashes) - width)).otherwise(F.array().cast("array<int>"))
 
@@ -64,6 +76,13 @@ def _windows(hashes: Column, width: int, at: Column | None = None) -> Column:
     return F.transform(_starts(hashes, width) if at is None else at, lambda i: F.struct(i.alias("pos"), joint(i).alias("hash")))
 
 
+def _differing(a: Column, b: Column, width: int, at: Column | None = None) -> Column:
+    """Windows of b whose tokens are not those of a."""
+    other = lambda i: F.greatest(*[F.get(a, i + j) != F.get(b, i + j) for j in range(width)], F.lit(False))
+    none = F.array().cast("array<int>")
+    return _windows(b, width, F.when(a == b, none).otherwise(F.filter(_starts(b, width) if at is None else at, other)))
+
+
 def _hashed(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.xxhash64(x))
 
@@ -83,21 +102,27 @@ def find_leaks(
     sized = items.withColumn("width", width).withColumn("need", F.least(F.col("words") - F.col("width") + 1 - spare * F.col("width"), F.lit(run + 1) - F.col("width")))
     widths = sorted(r[0] for r in sized.select("width").distinct().collect())
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    key = source.select("doc_id", F.xxhash64("body").alias("body_hash"), template_tokens(F.col("body")).alias("tokens"))
+    key = source.select("doc_id", F.xxhash64("body").alias("body_hash"), template_tokens(F.col("body"), True).alias("tokens"))
     if widths:
         own = None
         for w in widths:
             blank = lambda i: F.forall(F.slice("item", i + 1, F.lit(w)), lambda x: x < F.lit("\u0005"))  # noqa: B023, E731
-            some = sized.filter(F.col("width") == w).withColumn("hashes", _hashed(_literal(F.col("item"))))
-            # windows without a word meet everywhere: they are left out
-            some = some.withColumn("at", F.filter(_starts(F.col("hashes"), w), lambda i: ~blank(i)))
-            left_out = F.size(_starts(F.col("hashes"), w)) - F.size("at")
-            some = some.select("item_id", F.greatest(F.lit(1), F.col("need") - left_out).alias("need"), F.explode(_windows(F.col("hashes"), w, F.col("at"))).alias("w"))
+            some = sized.filter(F.col("width") == w).withColumn("hashes", _hashed(_literal(F.col("item")))).withColumn("plain", _hashed(_plain(F.col("item"))))
+            # the item with its first word as a name
+            some = some.withColumn("named", F.concat(F.array(F.xxhash64(F.lit(NAME))), F.slice("hashes", 2, F.size("hashes"))))
+            # windows without a word meet often: they are left out if a leak must have another
+            some = some.withColumn("every", _starts(F.col("hashes"), w)).withColumn("worded", F.filter("every", lambda i: ~blank(i)))
+            left = F.col("need") - F.size("every") + F.size("worded")
+            some = some.withColumn("at", F.when(left >= 1, F.col("worded")).otherwise(F.col("every"))).withColumn("need", F.when(left >= 1, left).otherwise(F.col("need")))
+            first = F.filter("at", lambda i: i == 0)
+            forms = F.concat(_windows(F.col("hashes"), w, F.col("at")), _differing(F.col("hashes"), F.col("plain"), w, F.col("at")), _differing(F.col("hashes"), F.col("named"), w, first))
+            some = some.select("item_id", "need", F.explode(F.array_distinct(forms)).alias("w"))
             own = some if own is None else own.unionByName(some)
         own = save(own.select("item_id", "need", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash")), "leak-windows")
         many = own.count()
-        theirs = key.select("doc_id", "body_hash", _hashed(F.col("tokens")).alias("hashes"))
-        theirs = theirs.select("doc_id", "body_hash", F.explode(F.concat(*[_windows(F.col("hashes"), w) for w in widths])).alias("w"))
+        theirs = key.select("doc_id", "body_hash", _hashed(_literal(F.col("tokens"))).alias("hashes"), _hashed(_plain(F.col("tokens"))).alias("plain"))
+        both = [x for w in widths for x in (_windows(F.col("hashes"), w), _differing(F.col("hashes"), F.col("plain"), w))]
+        theirs = theirs.select("doc_id", "body_hash", F.explode(F.concat(*both)).alias("w"))
         theirs = theirs.select("doc_id", "body_hash", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
         met = theirs.join(F.broadcast(own) if many <= BROADCAST_ROWS else own, "hash")
         met = met.groupBy("doc_id", "body_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("first"), "need").agg(F.count(F.lit(1)).alias("n"))
@@ -123,21 +148,29 @@ def find_leaks(
         .select("h.doc_id", "item_id", "first", "words", F.arrays_zip(part.alias("d"), F.col("item").alias("i")).alias("z"))
     )
     kind = lambda x: F.when(x < F.lit("\u0005"), F.substring(x, 1, 1)).otherwise(x)
-    agree = F.transform("z", lambda p: F.coalesce(kind(p["d"]) == kind(p["i"]), F.lit(False)))
+    word = lambda x: F.when(x.startswith(NAME), F.substring(x, 2, 2**31 - 1)).otherwise(kind(x))
+    first_name = lambda p, i: (i == 0) & p["d"].startswith(NAME) & (F.substring(p["d"], 2, 2**31 - 1) == p["i"])
+    by_kind = F.transform("z", lambda p, i: F.coalesce((kind(p["d"]) == kind(p["i"])) | first_name(p, i), F.lit(False)))
+    by_word = F.transform("z", lambda p: F.coalesce(word(p["d"]) == word(p["i"]), F.lit(False)))
     runs = F.aggregate(
         "agree",
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
         lambda s, x: F.struct(F.when(x, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(x, s["now"] + 1).otherwise(0)).alias("most")),
     )
-    slots = F.filter("z", lambda p: (p["i"] < F.lit("\u0005")) & (kind(p["d"]) == kind(p["i"])))
-    checked = pairs.withColumn("agree", agree).select(
-        "doc_id", "item_id", "first", "words", runs["most"].alias("longest"), F.size(F.filter("agree", lambda x: x)).alias("matched"), F.array_distinct(slots).alias("slots")
-    )
+    read = pairs.withColumn("readings", F.array_distinct(F.array(by_kind, by_word))).select("doc_id", "item_id", "first", "words", "z", F.explode("readings").alias("agree"))
+    # filled slots of the item: placeholders that agree in the reading
+    agreed = F.filter(F.arrays_zip("z", "agree"), lambda q: q["agree"] & (q["z"]["i"] < F.lit("\u0005")) & (kind(q["z"]["d"]) == kind(q["z"]["i"])))
+    checked = read.select(
+        "doc_id", "item_id", "first", "words", runs["most"].alias("longest"), F.size(F.filter("agree", lambda x: x)).alias("matched"),
+        F.array_distinct(F.transform(agreed, lambda q: q["z"])).alias("slots"), F.exists(F.arrays_zip("z", "agree"), lambda q: q["agree"] & (q["z"]["i"] >= F.lit("\u0005"))).alias("worded"),
+    )
     consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots")
     exact = F.forall("slots", lambda p: p["d"] == p["i"])
-    leaks = checked.filter(((F.col("matched") >= F.ceil(F.lit(cover) * F.col("words"))) | (F.col("longest") >= run)) & consistent)
+    leaks = checked.filter(((F.col("matched") >= F.ceil(F.lit(cover) * F.col("words"))) | (F.col("longest") >= run)) & consistent & (F.col("worded") | exact))
+    # of an alignment's readings the one with more tokens, of alignments an exact one
+    leaks = leaks.groupBy("doc_id", "item_id", "first", "words").agg(F.max(F.struct("matched", exact.alias("exact"), "longest")).alias("r")).select("doc_id", "item_id", "first", "words", "r.*")
     best = leaks.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct(exact.alias("exact"), "matched", "longest", (-F.col("first")).alias("earlier"), "words")).alias("b")
+        F.max(F.struct("exact", "matched", "longest", (-F.col("first")).alias("earlier"), "words")).alias("b")
     )
     return best.select(
         "doc_id", "item_id", F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"), (-F.col("b.earlier")).cast("long").alias("first_word"),

@@ -164,6 +164,18 @@ def test_changed_items_meet_at_any_offset(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, d // 100) for d, _ in rows}
 
 
+def test_placeholders_and_first_words_meet_at_any_offset(spark):
+    """Items nearly all of numbers, and exact copies whose first word or other names only the document shows as names, or only the item."""
+    items = [(0, "what is 4 5 6"), (1, "compute 7 8 9 10"), (2, "add 1 2 3 4 5 6 7 8 to get it"), (3, "What costs seven"), (4, "Which of them is seven"), (5, "Tell me whether Anna or Berta will be there at noon")]
+    texts = [t for _, t in items[:5]] + [items[5][1].lower()]
+    rows = [(100 * i + k, "so " * k + ("nobody knows " if i > 2 else "") + t + " or not so") for i, t in enumerate(texts) for k in range(6)]
+    rows.append((1000, "nobody knows Tell me whether Carla or Doris will be there at noon"))
+    found = decontaminate.find_leaks(brute.documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.kind for r in found.collect()}
+    assert {k for k in got if k[0] < 1000} == {(d, d // 100) for d, _ in rows[:-1]}
+    assert set(v for k, v in got.items() if k[0] < 1000) == {"exact"} and got[1000, 5] == "reparameterised"
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = quality.score_documents(docs, labels).join(labels, "doc_id").filter("held_out").collect()
