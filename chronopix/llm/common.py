@@ -24,6 +24,9 @@ SMALL_EDGES = 300_000
 #: Rows of an Arrow batch: whole texts are long, and batches are held in the JVM and in Python at once.
 ROWS = 500
 
+#: Narrow tables of so many rows at most are broadcast: some 10 MB.
+BROADCAST_ROWS = 100_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -217,5 +220,10 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
     return near.unionByName(far.select(*docs.columns))
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a hint to broadcast it if it has `most` rows or fewer, which are narrow here, and to shuffle it otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def crc32_of(column: Column) -> Column:
     return F.crc32(column).cast(T.LongType())

@@ -43,7 +43,7 @@ def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -76,6 +78,39 @@ def test_top_k_of_few(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def exact_top(rows, every, k):
+    """By Python integers: Fractions hold every finite component."""
+    whole = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows]
+    out = set()
+    for qi, q in whole:
+        if qi % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in whole if i != qi and len(v) == len(q))[:k]
+            out |= {(qi, r + 1, i, str(-s)) for r, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("size", [1e6, 65535.99, 1e12, 1e160, 1.7e308])
+def test_top_k_is_exact_for_any_finite_components(spark, size):
+    rng = np.random.default_rng(8)
+    rows = [(i, (size * (1 - 1e-9 * rng.random(33)) * rng.choice([1, 1, 1, -1], 33)).tolist()) for i in range(60)]
+    rows += [(100 + i, [size * (1 - 2**-40 * i)] * 33) for i in range(6)] + [(200 + i, [0.5 * i] * 33) for i in range(4)] + [(300, [0.0] * 33)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), query_every=20, pivots=8, page=16).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.exact) for r in got} == exact_top(rows, 20, 5)
+    assert all(r.score == min(2**63 - 1, max(-(2**63), int(r.exact))) for r in got)
+
+
+def test_order_keys_follow_integers():
+    numbers = sorted([0, 1, -1, 9, 10, -9, -10, 99, -99, -100, 2**53, -(2**53), 10**400, -(10**400), 10**400 + 1])
+    assert sorted(numbers, key=topk.order_key) == numbers and [topk.from_key(topk.order_key(x)) for x in numbers] == numbers
+
+
+def test_top_k_of_a_vector_that_repeats(spark):
+    """One row, thousands of times: it fills pages evenly, and ties go to the smallest ids."""
+    rows = [(7, [1.0, 2.0])] * 3000 + [(i, [1.0, 2.0]) for i in range(10, 500)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), query_every=100, page=64).collect()
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(100 * q, r, 7) for q in range(1, 5) for r in range(1, 6)}
+
+
 def test_tree_visits_few_vectors():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16)) * 100
@@ -88,8 +123,9 @@ def test_tree_visits_few_vectors():
             seen.append(len(self))
             return np.asarray(self) @ np.asarray(q)
 
-    tree.vecs = x.view(Count)
-    got = tree.search(-1, x[5], 5, -np.inf)
+    tree = topk.MTree.load(tree.dump())
+    tree.vecs = tree.vecs.view(Count)
+    got = tree.search(-1, x[5], 5, None)
     want = sorted(((-int(s), i) for i, s in enumerate(x @ x[5])))[:5]
     assert sorted((-s, i) for s, i in got) == want and sum(seen) < 3000
 
