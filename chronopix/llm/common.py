@@ -110,14 +110,18 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, total
     """Left join to at most one row of right per key; right.count says how many rows of left have the key.
 
     Keys with a HEAVY_SHARE of all rows (1 / HEAVY_SHARE keys at most) are broadcast, so that no task gets all rows of such
-    a key; the others go through a shuffle join.
+    a key; the others go through a shuffle join. Rows of left with a null key match nothing and aren't shuffled.
     """
+    whole = left
+    null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    left = whole.filter(~null)
     least = max(1000, int(total * HEAVY_SHARE))
     heavy = right.filter(F.col(count) >= least).drop(count)
     light = right.filter(F.col(count) < least).drop(count)
     near = left.join(F.broadcast(heavy), keys, "inner")
     far = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, "left")
-    return near.unionByName(far)
+    none = whole.filter(null).select(*whole.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in (*keys, count)])
+    return near.unionByName(far).unionByName(none)
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str, salts: int, salt: Column) -> DataFrame:
@@ -207,17 +211,26 @@ def marked(df: DataFrame, wanted: DataFrame, key: Column, bits: int = 22, others
     return own.filter(~on if others else on).drop(h, word, mask)
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is not among the ids of gone, with all columns; rows without an id stay.
+def row_key(*columns: str | Column) -> Column:
+    """128 bits that stand for a row's values, nulls included: rows without an id, or that repeat one, can be told apart."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
+    parts = [x for c in parts for x in (c.isNull(), c)]
+    return F.concat(F.hex(F.xxhash64(*parts)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), *parts)))
 
-    Only rows that a bitmap over the ids (2**27 bits at most) can't clear are shuffled for the exact anti-join.
+
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """Rows of docs, with all columns, whose row key is not among the row_key of gone.
+
+    Only rows that a bitmap over the keys (2**27 bits at most) can't clear are shuffled for the exact anti-join.
     """
-    ids = save(gone.select(F.col(id_col).alias(id_col)).filter(F.col(id_col).isNotNull()).distinct(), "gone")
-    bits = min(27, max(16, (16 * ids.count()).bit_length()))
-    key = F.col(id_col)
-    near = marked(docs, ids, key, bits, others=True)
-    far = marked(docs, ids, key, bits).join(ids, id_col, "left_anti")
-    return near.unionByName(far.select(*docs.columns))
+    keys = save(gone.select("row_key").filter("row_key IS NOT NULL").distinct(), "gone")
+    bits = min(27, max(16, (16 * keys.count()).bit_length()))
+    name = f"_key_{uuid.uuid4().hex}"  # no column of docs has such a name
+    wanted = keys.withColumnRenamed("row_key", name)
+    own = docs.withColumn(name, key)
+    near = marked(own, wanted, F.col(name), bits, others=True)
+    far = marked(own, wanted, F.col(name), bits).join(wanted, name, "left_anti")
+    return near.select(*docs.columns).unionByName(far.select(*docs.columns))
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -29,6 +29,7 @@ or two different sets share one with a probability of about n^2 / 2^65.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, marked, save, utf8, without
+from .common import components, lookup, marked, row_key, save, utf8, without
 from .shingles import WORDS, binary_column, shingle_sets, slices, word_hashes
 
 SKETCH, CHUNKS = 22, 64
@@ -45,7 +46,7 @@ BIG, CLUSTER, BLOCK = 1024, 512, 256
 BUCKET = 300_000
 HOT = 1 << 20
 ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-SET_SCHEMA = "doc_id long, sig long, n long, bits binary, chunk int"
+SET_SCHEMA = "doc_id long, row_key string, sig long, n long, bits binary, chunk int"
 
 def least_overlap(a, b):
     """Smallest overlap with 100 * overlap >= 80 * union for sets of sizes a and b: ceil(4 (a + b) / 9)."""
@@ -88,18 +89,18 @@ def batch_sets(column, words: int) -> Iterator[tuple[int, int, list[np.ndarray]]
 
 
 def sets(source: DataFrame, words: int = WORDS) -> DataFrame:
-    """A row per document of source (doc_id, body), with bits only where the set is new to the task, and sketch rows
+    """A row per document of source (doc_id, row_key, body), with bits only where the set is new to the task, and sketch rows
     (chunk not null, counters in bits)."""
     import pyarrow as pa
 
     def run(batches) -> Iterator:
-        schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32())])
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("sig", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32())])
         seen = Seen()
         counts = np.zeros(1 << SKETCH, dtype=np.uint32)
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for i, j, found in batch_sets(batch.column(1), words):
+            for i, j, found in batch_sets(batch.column(2), words):
                 sig, bits = [], []
                 for s in found:
                     k = signature(s.tobytes()) if len(s) else None
@@ -112,14 +113,14 @@ def sets(source: DataFrame, words: int = WORDS) -> DataFrame:
                     held.clear()
                     size = 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sig, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(bits, pa.binary()), pa.nulls(j - i, pa.int32())], schema=schema
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sig, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(bits, pa.binary()), pa.nulls(j - i, pa.int32())], schema=schema
                 )
         if size:
             np.add.at(counts, np.concatenate(held), np.uint32(1))
         if counts.any():
             parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.binary()), pa.array(range(CHUNKS), pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(CHUNKS, pa.string()), none, none, pa.array(parts, pa.binary()), pa.array(range(CHUNKS), pa.int32())], schema=schema)
 
     return source.mapInArrow(run, SET_SCHEMA)
 
@@ -441,11 +442,12 @@ def _member_sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+    """doc_id, n_shingles, component_id, row_key, keep_key of every row of docs; keep_key is the row key of the component's row
+    with the smallest doc_id."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col).cast("string")).alias("body"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), utf8(F.col(text_col).cast("string")).alias("body"))
     table = save(sets(source, words), "jaccard-sets")
-    rows = table.filter("chunk IS NULL").select("doc_id", "sig", "n")
+    rows = table.filter("chunk IS NULL").select("doc_id", "row_key", "sig", "n")
     total, shingles = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
     classes = sketch_classes(table)
     order = spark.sparkContext.broadcast(classes)
@@ -477,13 +479,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if clusters.filter(F.col("m") > CLUSTER).limit(1).count():
         links = save(links.unionByName(_rest(held, links)), "jaccard-links", rows=20)
     linked = components(links)
-    first = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    first = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"), F.count(F.lit(1)).alias("copies"))
     rooted = first.join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("held"))
-    by_class = lookup(rooted, names, ["root"], "held", total).select("sig", "component_id", "copies")
+    names = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("held"))
+    by_class = lookup(rooted, names, ["root"], "held", total).select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("keep_key"), "copies")
     named = lookup(rows.filter("sig IS NOT NULL"), by_class, ["sig"], "copies", total)
-    out = named.unionByName(rows.filter("sig IS NULL").withColumn("component_id", F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = named.unionByName(rows.filter("sig IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("keep_key", F.col("row_key")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_key", "keep_key")
 
 
 def _rest(held: DataFrame, links: DataFrame) -> DataFrame:
@@ -504,17 +506,20 @@ def _rest(held: DataFrame, links: DataFrame) -> DataFrame:
     return verified(_gather(left.select(*keep).unionByName(right.select(*keep))))
 
 
-def keep_one(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """One row of docs for each component, that with the smallest doc_id, with all its columns.
+def keep_one(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component, with all its columns: that with the smallest doc_id, null last.
 
-    Of rows that repeat such a doc_id and its text one stays; rows without an id are kept.
+    Of rows that repeat such a doc_id and its text one stays. Rows without words are in no component and stay.
     """
-    rest = without(docs, named.filter("component_id <> doc_id").select("doc_id"))
-    repeated = named.filter("n_shingles > 0 AND component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    key = row_key(id_col, text_col)
+    rest = without(docs, named.filter("n_shingles > 0 AND keep_key <> row_key"), key)
+    repeated = named.filter("n_shingles > 0 AND keep_key = row_key").groupBy("row_key").count().filter("count > 1").select("row_key")
     if not repeated.limit(1).count():
         return rest
-    again = marked(rest, repeated, F.col("doc_id")).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(rest, repeated).unionByName(again.select(*rest.columns))
+    name = f"_key_{uuid.uuid4().hex}"
+    again = marked(rest.withColumn(name, key), repeated.select(F.col("row_key").alias(name)), F.col(name))
+    again = again.join(repeated.select(F.col("row_key").alias(name)), name, "left_semi").dropDuplicates([name])
+    return without(rest, repeated, key).unionByName(again.select(*docs.columns))
 
 
 # In SQL: exact sets (64-bit hashes of shingles), links by counting common shingles, components by transitive closure.

@@ -3,13 +3,18 @@
 The posterior of a language is proportional to
   text likelihood (byte trigrams) x P(declared language | language) x prior(language | host),
 where the host's prior is smoothed towards its address suffix's, and that towards the corpus's. Trigram tables, the
-confusion of declared against text language, and the priors are counts over all documents, by grouped aggregation.
+confusion of declared against text language, and the priors are counts over all documents, by grouped aggregation. A
+document's own counts are taken out of all of them before it is judged, so no declaration confirms itself; only the tables of
+a language that nothing else declares keep them.
 
-Every text is read twice: for the counts of trigrams by declared language, and for its likelihoods. The tables have
-2**GRAM_BITS entries per language, at most MOST_LANGUAGES languages (the most frequent declared ones), so they are
-bounded. Trigrams of one text are not independent: its likelihood counts as that of EVIDENCE trigrams at most.
+Every text is read twice: for the counts of trigrams by declared language, and for its likelihoods. Tables have
+2**GRAM_BITS entries per language and are made and sent out in blocks of BLOCK languages; with more languages, texts are
+read twice for each block, and a document's likelihoods under all blocks are put together by its row key. Trigrams of one
+text are not independent: its likelihood counts as that of EVIDENCE trigrams at most.
 
-Of documents, `lang` is the declared language and `source` the host; page_evidence() takes them from web pages.
+Of documents, `lang` is the declared language and `source` the host; page_evidence() takes them from web pages: the
+html element's language and the url's host, whose address suffix is the level above it. identify() may count further
+tables as evidence: documents and pages then share their trigrams, suffixes, confusion and corpus prior.
 
 The posterior only compares the corpus's languages, so a second test is absolute: the mean log-likelihood of a text's
 trigrams must reach what texts of its language have (absolute_limits, fitted over all documents), less an allowance for short texts.
@@ -20,8 +25,9 @@ trigram can't fail the latter.
 
 Defined cases: a null or empty text gives no text evidence, gets the language that the rest says, and is not kept; null or
 blank declarations and hosts are unknown and give no evidence; without any declared language, language is null and the
-posterior 0; rows that repeat a doc_id are judged one by one; an empty table gives an empty result; extra columns are not
-read by identify() and kept by keep_identified().
+posterior 0; a very long text is read whole; of equally likely languages the first by name is taken; rows that repeat a doc_id,
+also a null one, are judged one by one; an empty table gives an empty result; extra columns are not read by identify() and
+kept by keep_identified().
 """
 
 from __future__ import annotations
@@ -34,10 +40,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, batch_rows, lookup, save, utf8, without
+from .common import ROWS, batch_rows, lookup, row_key, save, small, utf8, without
 from .shingles import binary_column, slices
 
-GRAM_BITS, MOST_LANGUAGES = 16, 64
+GRAM_BITS, BLOCK = 16, 64
 EVIDENCE, SMOOTHING = 200.0, 20.0
 LEAST = 0.5
 #: The absolute test: deviations allowed, least trigrams of a text that limits are fitted to, bins per unit of log-likelihood.
@@ -82,8 +88,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     )
 
 
-def gram_tables(source: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log-probabilities (language, trigram) from all texts that declare one of the languages."""
+def gram_counts(source: DataFrame, languages: list[str]) -> np.ndarray:
+    """Counts (language, trigram) over all texts that declare one of the languages."""
     import pyarrow as pa
 
     def run(batches) -> Iterator:
@@ -105,17 +111,22 @@ def gram_tables(source: DataFrame, languages: list[str]) -> np.ndarray:
     own = source.filter(F.col("declared").isin(languages)).select("declared", "body").mapInArrow(run, "k int, counts binary")
     total = np.zeros((len(languages), 1 << GRAM_BITS))
     with batch_rows(source.sparkSession, ROWS):
-        rows = own.groupBy("k").applyInPandas(add, "k int, counts binary").collect()
+        rows = own.groupBy("k").applyInPandas(add, "k int, counts binary").collect()  # a row per language of the block
     for r in rows:
         total[r.k] = np.frombuffer(bytes(r.counts), dtype="<i8")
-    return np.log((total + 0.5) / (total + 0.5).sum(1, keepdims=True)).astype(np.float32)
+    return total
+
+
+def log_tables(counts: np.ndarray) -> np.ndarray:
+    """Log-probabilities of trigrams."""
+    return np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1]))
 
 
 def absolute_limits(log: np.ndarray, fitted: dict[int, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
     """(least mean log-likelihood, deviation of a single trigram) of each language.
 
-    fitted: median and 16th percentile of its texts' means. The limit lies below the median by DEVIATIONS of the two's gap, or
-    by half the way to the nearest other language or to uniform trigrams if that is more; never below uniform trigrams.
+    fitted: median and 84th percentile of its texts' means; junk, which every language attracts, only stretches the lower side. The
+    limit lies below the median by DEVIATIONS of the two's gap, or by half the way to the nearest other language or to uniform trigrams if that is more; never below uniform trigrams.
     """
     uniform = -GRAM_BITS * np.log(2)
     cross = np.exp(log.astype(np.float64)) @ log.T.astype(np.float64)
@@ -126,99 +137,167 @@ def absolute_limits(log: np.ndarray, fitted: dict[int, tuple[float, float]]) ->
     nearest = np.maximum(others.max(0, initial=-np.inf), uniform)
     least = np.empty(len(log))
     for k in range(len(log)):
-        median, low = fitted.get(k, (own[k], own[k]))
-        least[k] = max(uniform, median - max(DEVIATIONS * (median - low), (median - nearest[k]) / 2))
+        median, high = fitted.get(k, (own[k], own[k]))
+        least[k] = max(uniform, median - max(DEVIATIONS * (high - median), (median - nearest[k]) / 2))
     return least, spread
 
 
-def _likelihoods(source: DataFrame, tables) -> DataFrame:
-    """(doc_id, declared, host, suffix, letters, grams, ll): log-likelihood of each text under each language, tempered."""
+def text_likelihoods(grams: np.ndarray, weight: np.ndarray, of: np.ndarray, rows: int, counts: np.ndarray, log: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihoods (row, language), trigrams of each row): of says which row a byte belongs to, own the language that the row
+    is counted under in the tables, or -1; there the row's own trigrams are taken out first, unless the language has no others."""
+    totals = counts.sum(1)
+    keys, many = np.unique(of[weight].astype(np.uint64) << np.uint64(GRAM_BITS) | grams[weight].astype(np.uint64), return_counts=True)
+    row, gram = (keys >> np.uint64(GRAM_BITS)).astype(np.int64), (keys & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int64)
+    size = np.bincount(row, many, minlength=rows)
+    ll = np.column_stack([np.bincount(row, many * t[gram], minlength=rows).astype(np.float64) for t in log])
+    own = np.where((own >= 0) & (totals[own] > size), own, -1) if len(totals) else own
+    at = np.flatnonzero(own[row] >= 0)
+    rest = np.maximum(0, counts[own[row[at]], gram[at]] - many[at])
+    mine = np.bincount(row[at], many[at] * np.log(rest + 0.5), minlength=rows)
+    r = np.flatnonzero(own >= 0)
+    ll[r, own[r]] = mine[r] - size[r] * np.log(totals[own[r]] - size[r] + 0.5 * (1 << GRAM_BITS))
+    return ll, size
+
+
+def _likelihoods(source: DataFrame, languages: list[str], tables) -> DataFrame:
+    """source without its texts, with letters, grams and ll: log-likelihood of each text under each language, tempered."""
     import pyarrow as pa
 
     def run(batches) -> Iterator:
-        log = tables.value
-        schema = pa.schema([("doc_id", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("letters", pa.int64()), ("grams", pa.int64()), ("ll", pa.list_(pa.float64()))])
+        counts = tables.value.astype(np.float64)
+        log = log_tables(counts)
         for batch in batches:
-            data, bounds = binary_column(batch.column(3))
+            data, bounds = binary_column(batch.column(0))
+            rest = batch.columns[1:]
+            names = [*batch.schema.names[1:], "letters", "grams", "ll"]
+            declared = batch.column(batch.schema.names.index("declared")).to_pylist()
+            which = np.array([languages.index(x) if x in languages else -1 for x in declared], dtype=np.int64)
             for i, j in slices(bounds):
                 grams, weight, letters = trigrams(data, bounds[i : j + 1])
-                at = bounds[i:j] - bounds[i]
-                full = np.flatnonzero(np.diff(bounds[i : j + 1]))
-                ll = np.zeros((j - i, len(log)))
-                many = np.zeros(j - i)
-                if len(full) and len(log):
-                    many[full] = np.add.reduceat(weight.astype(np.int32), at[full])
-                    for k in range(len(log)):
-                        ll[full, k] = np.add.reduceat(np.where(weight, log[k][grams], np.float32(0)).astype(np.float64), at[full])
+                of = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
+                ll, many = text_likelihoods(grams, weight, of, j - i, counts, log, which[i:j])
                 ll *= (np.minimum(EVIDENCE, many) / np.maximum(many, 1))[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(letters), pa.array(many.astype(np.int64)), pa.array(list(ll), pa.list_(pa.float64()))], schema=schema)
-
-    rows = source.select("doc_id", "declared", "host", "body").mapInArrow(run, "doc_id long, declared string, host string, letters long, grams long, ll array<double>")
-    return rows.withColumn("suffix", F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([^.]+)$", 1))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in rest), pa.array(letters), pa.array(many.astype(np.int64)), pa.array(list(ll), pa.list_(pa.float64()))], names=names)
+
+    rest = [c for c in source.columns if c != "body"]
+    kinds = ", ".join(f"{c} {t}" for c, t in source.dtypes if c != "body")
+    return source.select("body", *rest).mapInArrow(run, f"{kinds}, letters long, grams long, ll array<double>")
+
+
+def _all_likelihoods(source: DataFrame, languages: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """(rows with ll over all languages, log tables): a block of languages at a time."""
+    spark = source.sparkSession
+    logs, made = [], []
+    for i in range(0, len(languages), BLOCK):
+        block = languages[i : i + BLOCK]
+        counts = gram_counts(source, block)
+        logs.append(log_tables(counts).astype(np.float32))
+        made.append(_likelihoods(source, block, spark.sparkContext.broadcast(counts.astype(np.float32))))
+    if len(made) == 1:
+        return made[0], logs[0]
+    # equal rows have equal likelihoods: one of each is enough
+    parts = [m.dropDuplicates(["row_key"]).select("row_key", F.lit(i).alias("part"), "ll") for i, m in enumerate(made)]
+    union = parts[0]
+    for m in parts[1:]:
+        union = union.unionByName(m)
+    whole = union.groupBy("row_key").agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", "ll")))["ll"]).alias("ll"), F.lit(1).alias("here"))
+    rows = source.select(*[c for c in source.columns if c != "body"], *_text_counts(F.col("body")))
+    total = source.count()
+    return lookup(rows, whole, ["row_key"], "here", total), np.concatenate(logs)
+
+
+def _text_counts(body) -> list:
+    """letters and grams of a text, as trigrams() counts them."""
+    return [
+        F.length(F.regexp_replace(F.decode(body, "ISO-8859-1"), r"[\x00-\x40\x5B-\x60\x7B-\x7F]", "")).cast("long").alias("letters"),
+        F.greatest(F.octet_length(body) - 2, F.lit(0)).cast("long").alias("grams"),
+    ]
+
+
+def counted(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, own, here): how often each of k text languages is best among rows of each key, as an array, and their number."""
+    many = rows.groupBy(*keys, "best").agg(F.count(F.lit(1)).alias("n"))
+    named = F.map_from_entries(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", "n"))))
+    held = many.groupBy(*keys).agg(named.alias("m"), F.sum("n").alias("here"))
+    own = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
+    return held.select(*keys, own.alias("own"), "here")
+
+
+def evidence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
+    """(doc_id, declared, host, suffix, row_key, body) of every row of docs."""
+    clean = lambda c: F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+    declared = F.nullif(F.regexp_extract(clean(declared_col), "^[^-_]+", 0), F.lit(""))
+    suffix = F.regexp_extract(F.coalesce(clean(host_col), F.lit("")), r"\.([^.]+)$", 1)
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), declared.alias("declared"), clean(host_col).alias("host"), suffix.alias("suffix"),
+        row_key(id_col, text_col, declared_col, host_col).alias("row_key"), utf8(F.col(text_col).cast("string")).alias("body"),
+    )
 
 
 def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", least: float = LEAST
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", least: float = LEAST, evidence: DataFrame | None = None
 ) -> DataFrame:
-    """doc_id, language, posterior, text_language, declared, kept of every row of docs."""
-    spark = docs.sparkSession
-    clean = lambda c: F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.regexp_extract(clean(declared_col), "^[^-_]+", 0).alias("declared"), clean(host_col).alias("host"), utf8(F.col(text_col).cast("string")).alias("body")
-    )
-    seen = source.filter("declared <> ''").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES)
-    languages = sorted(r.declared for r in seen.collect())
-    log = gram_tables(source, languages) if languages else np.zeros((0, 1 << GRAM_BITS), dtype=np.float32)
-    tables = spark.sparkContext.broadcast(log)
-    rows = _likelihoods(source, tables)
-    names = F.array(*[F.lit(x) for x in languages]) if languages else F.array().cast("array<string>")
-    best = F.when((F.array_max("ll") > F.array_min("ll")) & (F.col("letters") > 0), F.array_position("ll", F.array_max("ll")).cast("int"))
-    rows = save(rows.withColumn("best", best), "language-likelihoods")
+    """doc_id, language, posterior, text_language, declared, kept, row_key of every row of docs.
+
+    evidence: further rows as of evidence_rows(), which are counted but not returned.
+    """
+    source = evidence_rows(docs, id_col, text_col, declared_col, host_col).withColumn("asked", F.lit(True))
+    if evidence is not None:
+        source = source.unionByName(evidence.withColumn("asked", F.lit(False)))
+    seen = source.filter("declared IS NOT NULL").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
+    languages = [r.declared for r in seen.orderBy("declared").select("declared").collect()]  # a row per language
     if not languages:
-        return rows.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), "declared", F.lit(False).alias("kept"))
+        none = F.lit(None).cast("string")
+        return source.filter("asked").select("doc_id", none.alias("language"), F.lit(0.0).alias("posterior"), none.alias("text_language"), "declared", F.lit(False).alias("kept"), "row_key")
     k = len(languages)
+    rows, log = _all_likelihoods(source, languages)
+    best = F.when((F.array_max("ll") > F.array_min("ll")) & (F.col("letters") > 0), F.array_position("ll", F.array_max("ll")).cast("int"))
+    if k == 1:
+        best = F.when(F.col("letters") > 0, F.lit(1))
+    rows = save(rows.withColumn("best", best), "language-likelihoods")
     # mean log-likelihood a trigram, in bins, by language: what the absolute test is fitted to
-    mean = F.col("ll")[F.col("best") - 1] / F.least(F.lit(EVIDENCE), F.col("grams"))
+    mean = F.get("ll", F.col("best") - 1) / F.least(F.lit(EVIDENCE), F.col("grams"))
     bins = rows.filter((F.col("grams") >= FIT_LEAST) & F.col("best").isNotNull()).groupBy("best", F.round(mean * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    fitted = bins.groupBy("best").agg(F.percentile("bin", [0.5, 0.16], F.col("n")).alias("p")).collect()
+    fitted = bins.groupBy("best").agg(F.percentile("bin", [0.5, 0.84], F.col("n")).alias("p")).collect()  # a row per language
     limit, spread = absolute_limits(log, {r.best - 1: (r.p[0] / BINS, r.p[1] / BINS) for r in fitted})
-    counts = [F.sum(F.when(F.col("best") == i + 1, 1).otherwise(0)).alias(f"c{i}") for i in range(k)]
-    total = F.array(*[F.col(f"c{i}").cast("double") for i in range(k)])
-    smooth = lambda own, up: F.zip_with(own, up, lambda a, b: a + SMOOTHING * b)
-    share = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y))
-    # the corpus, the suffixes, the hosts: each level is smoothed towards the one above
-    corpus = rows.agg(*counts, F.count(F.lit(1)).alias("all")).first()
-    base = [(corpus[f"c{i}"] or 0) + 1.0 for i in range(k)]
-    base = [x / sum(base) for x in base]
-    by_host = rows.filter("host IS NOT NULL").groupBy("suffix", "host").agg(*counts, F.count(F.lit(1)).alias("here"))
-    by_host = save(by_host.select("suffix", "host", total.alias("own"), "here"), "language-hosts")
-    by_suffix = by_host.groupBy("suffix").agg(*[F.sum(F.element_at("own", i + 1)).alias(f"c{i}") for i in range(k)])
-    by_suffix = by_suffix.select("suffix", share(smooth(total, F.array(*[F.lit(x) for x in base]))).alias("above"))
-    hosts = by_host.join(by_suffix, "suffix").select("host", share(smooth(F.col("own"), F.col("above"))).alias("prior"), "here")
-    # P(declared | language), from the text's language; at most MOST_LANGUAGES + 1 rows and so broadcast
-    confusion = rows.groupBy(F.when(F.col("declared").isin(languages), F.col("declared")).alias("claimed")).agg(*counts).collect()
-    claims = {r.claimed: [r[f"c{i}"] for i in range(k)] for r in confusion if r.claimed is not None}
-    sums = [sum(c[i] for c in claims.values()) + k for i in range(k)]
-    claimed = F.lit(None).cast("array<double>")
-    for name, c in claims.items():
-        claimed = F.when(F.col("declared") == name, F.array(*[F.lit(float(np.log((c[i] + 1.0) / sums[i]))) for i in range(k)])).otherwise(claimed)
-    with_host = lookup(rows, hosts, ["host"], "here", corpus["all"])
-    none = F.array_repeat(F.lit(0.0), k)
-    prior = F.transform(F.coalesce("prior", F.array(*[F.lit(x) for x in base])), lambda x: F.log(x))
-    joint = F.zip_with(F.zip_with("ll", F.coalesce(claimed, none), lambda a, b: a + b), prior, lambda a, b: a + b)
-    fused = with_host.withColumn("joint", joint).withColumn("top", F.array_max("joint"))
+    # counts of the hosts, the suffixes above them, the corpus above these, and of declarations
+    by_host = save(counted(rows.filter("host IS NOT NULL"), ["suffix", "host"], k), "language-hosts")
+    together = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get("own", i))
+    by_suffix = by_host.select("suffix", F.posexplode(together).alias("i", "n")).groupBy("suffix", "i").agg(F.sum("n").alias("n"))
+    by_suffix = by_suffix.groupBy("suffix").agg(F.array_sort(F.collect_list(F.struct("i", "n")))["n"].alias("above"))
+    hosts = by_host.join(by_suffix, "suffix").select("host", F.col("own").alias("by_host"), F.col("above").alias("by_suffix"), "here")
+    claims = save(counted(rows.filter("declared IS NOT NULL"), ["declared"], k), "language-claims")
+    corpus = counted(rows, [], k).first()
+    base = [float(x) for x in corpus.own] if corpus else [0.0] * k
+    spoken = dict.fromkeys(range(k), 0.0) | {r.i: r.n for r in claims.select(F.posexplode("own").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    floats = lambda a: F.array(*[F.lit(float(x)) for x in a])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    fused = lookup(rows, hosts, ["host"], "here", corpus.here if corpus else 0)
+    fused = fused.join(small(claims.select("declared", F.col("own").alias("claim"))), "declared", "left")
+    fused = fused.withColumn("mine", F.when(F.col("best").isNull(), 0.0).otherwise(1.0))
+    fused = fused.withColumn("host_sum", total("by_host") - F.col("mine")).withColumn("suffix_sum", total("by_suffix") - F.col("mine"))
+
+    def joint(ll, i):
+        own = F.when(F.col("best") == i + 1, 1.0).otherwise(0.0)
+        claim = F.log((F.get("claim", i) - own + 1) / (F.get(floats(spoken[j] + k for j in range(k)), i) - own))
+        prior = (F.get(floats(base), i) - own + 1) / (F.lit(sum(base) + k) - F.col("mine"))
+        above = (F.get("by_suffix", i) - own + SMOOTHING * prior) / (F.col("suffix_sum") + SMOOTHING)
+        below = (F.get("by_host", i) - own + SMOOTHING * above) / (F.col("host_sum") + SMOOTHING)
+        return ll + F.coalesce(claim, F.lit(0.0)) + F.log(F.coalesce(below, prior))
+
+    fused = fused.withColumn("joint", F.transform("ll", joint)).withColumn("top", F.array_max("joint"))
     mass = F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     fused = fused.withColumn("posterior", 1 / mass).withColumn("at", F.array_position("joint", F.col("top")).cast("int"))
     # neighbouring trigrams share letters: three of them count as one
-    floats = lambda a: F.array(*[F.lit(float(x)) for x in a])
     allowed = F.element_at(floats(limit), F.col("at")) - DEVIATIONS * F.element_at(floats(spread), F.col("at")) * F.sqrt(3 / F.greatest(F.lit(1), F.col("grams")))
     known = (F.col("grams") == 0) | (F.element_at("ll", F.col("at")) / F.greatest(F.lit(1.0), F.least(F.lit(EVIDENCE), F.col("grams"))) >= allowed)
-    return fused.select(
+    names = F.array(*[F.lit(x) for x in languages])
+    return fused.filter("asked").select(
         "doc_id", F.element_at(names, F.col("at")).alias("language"), "posterior", F.when(F.col("best").isNotNull(), F.element_at(names, F.coalesce("best", F.lit(1)))).alias("text_language"),
-        F.nullif("declared", F.lit("")).alias("declared"), ((F.col("letters") > 0) & (F.col("posterior") >= least) & known).alias("kept"),
+        "declared", ((F.col("letters") > 0) & (F.col("posterior") >= least) & known).alias("kept"), "row_key",
     )
 
 
-def keep_identified(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of docs that identify() keeps; rows without an id can't be named and are kept."""
-    return without(docs, judged.filter(~F.col("kept")).select("doc_id"))
+def keep_identified(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
+    """Rows of docs that identify() keeps, with all their columns; rows without an id are told apart by their row keys."""
+    return without(docs, judged.filter(~F.col("kept")), row_key(id_col, text_col, declared_col, host_col))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, utf8, without
+from .common import row_key, save, utf8, without
 from .shingles import binary_column, slices, word_hashes
 
 FEATURES = ("length", "words", "word_length", "upper", "digit", "punctuation", "marks", "lines", "distinct", "distinct_pairs", "top_word", "short", "stops")
@@ -79,21 +79,21 @@ def statistics(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x0, x1, ...) for every row."""
+    """(doc_id, row_key, x0, x1, ...) for every row."""
     import pyarrow as pa
 
     names = [f"x{i}" for i in range(len(FEATURES))]
 
     def run(batches) -> Iterator:
-        schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.float64()) for n in names])
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string())] + [(n, pa.float64()) for n in names])
         for batch in batches:
-            data, bounds = binary_column(batch.column(1))
+            data, bounds = binary_column(batch.column(2))
             for i, j in slices(bounds):
                 x = statistics(data, bounds[i : j + 1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x[:, k]) for k in range(x.shape[1]))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array(x[:, k]) for k in range(x.shape[1]))], schema=schema)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col).cast("string")).alias("body"))
-    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), utf8(F.col(text_col).cast("string")).alias("body"))
+    return source.mapInArrow(run, "doc_id long, row_key string, " + ", ".join(f"{n} double" for n in names))
 
 
 class Discriminant:
@@ -141,7 +141,7 @@ def held_out(column: str):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs."""
+    """doc_id, held_out, score, predicted, row_key of every row of docs."""
     stats = save(document_statistics(docs, id_col, text_col), "quality-stats")
     model = fit(stats, labels, label)
     names = [f"x{i}" for i in range(len(FEATURES))]
@@ -150,12 +150,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for b in batches:
             x = b[names].to_numpy(dtype=np.float64)
             s = model.score(x) if model else np.full(len(b), 0.5)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "row_key": b["row_key"], "score": s})
 
-    scored = stats.mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = stats.mapInPandas(run, "doc_id long, row_key string, score double")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "row_key")
 
 
-def keep_good(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    """Rows of docs with a predicted quality of 1, with all their columns; rows without an id are kept."""
-    return without(docs, scored.filter("predicted = 0").select("doc_id"))
+def keep_good(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs with a predicted quality of 1, with all their columns; rows without an id are told apart by their row keys."""
+    return without(docs, scored.filter("predicted = 0"), row_key(id_col, text_col))
