@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard, language, packing, planes, quality, sharding, topk, warc
 from .common import table
@@ -17,7 +17,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,15 +27,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents"))
+    """Documents, with the trigrams, suffixes, confusion and priors of web pages as further evidence."""
+    pages = language.evidence_rows(language.page_evidence(table(spark, sf_dir, "pages")), declared_col="declared", host_col="host")
+    judged = language.identify(table(spark, sf_dir, "documents"), evidence=pages)
+    return judged.select("doc_id", "language", "posterior", "text_language", "declared", "kept")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages: languages from the text, the markup's declaration, and host and suffix of the address."""
+    pages = language.page_evidence(table(spark, sf_dir, "pages"))
+    judged = language.identify(pages, declared_col="declared", host_col="host", evidence=language.evidence_rows(table(spark, sf_dir, "documents")))
+    return judged.select(F.col("doc_id").alias("page_id"), "language", "posterior", "text_language", "declared", "kept")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+    return jaccard.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_items", "kind", "first_word", "n_words", "n_matched", "longest_run")
 
 
 def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_warc": op9_warc,
         "op10_chat": op10_chat,
-        "pipeline": corpus_pipeline.run,
+        "page_languages": page_languages,
     }
 
 
