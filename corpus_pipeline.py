@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first four return the columns of
 documents; the last returns packed pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+Defined cases: rows are judged and removed one by one, by a key over their values, so rows with a null doc_id, or that repeat one
+with other texts, go or stay like any others. A null or empty text has no letters and goes in the first stage. Of equal rows
+one stays, as of near copies. Without labels of both classes the second stage keeps all; without benchmark items the fourth does.
+An empty table gives an empty result. Further columns of docs, whatever their names, are kept by the first four stages.
 """
 
 from __future__ import annotations
@@ -9,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronopix.llm import decontaminate, jaccard, language, packing, quality
-from chronopix.llm.common import save, table
+from chronopix.llm.common import release, save, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the fused evidence settles."""
+    """Keeps documents whose language the fused evidence settles; without any declared language none is."""
     return language.keep_identified(docs, language.identify(docs))
 
 
@@ -23,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
+    """Keeps the document with the smallest doc_id of each group of near copies; a null one only if there is no other."""
     return jaccard.keep_one(docs, save(jaccard.similar_components(docs), "pipeline-components"))
 
 
@@ -52,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return docs
