@@ -48,9 +48,35 @@ def test_a_third_of_all_rows(spark):
     assert sum(len(c) > 1 for c in groups.values()) <= 4
 
 
-def test_nothing_but_groups(spark):
-    docs = brute.documents(spark, [(i, "the same") for i in range(100)] + [(1000 + i, f"pair {i // 2}") for i in range(200)])
-    check(sharding.shard_documents(docs, 8).collect(), docs, 8)
+FULL = {
+    "pairs": [(i, f"pair {i // 2}") for i in range(2000)],
+    "triples": [(i, f"triple {i // 3}") for i in range(2970)] + [(5000 + i, f"alone {i}") for i in range(30)],
+    "mix": [(i, "the same") for i in range(300)] + [(1000 + i, f"pair {i // 2}") for i in range(400)] + [(3000 + i, f"seven {i // 7}") for i in range(700)],
+}
+
+
+@pytest.mark.parametrize("kind", FULL)
+def test_groups_that_fill_the_shards(spark, kind):
+    """At most a group for each border of two shards is cut, and the session's partitions do not matter."""
+    docs = brute.documents(spark, FULL[kind])
+    rows = sharding.shard_documents(docs, 8).collect()
+    groups = check(rows, docs, 8)
+    assert sum(len(c) > 1 for c in groups.values()) <= 8
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = sharding.shard_documents(docs.repartition(5), 8).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    place = lambda rows: sorted((r.doc_id, r.shard, r.slot) for r in rows)
+    assert place(rows) == place(again)
+
+
+@pytest.mark.parametrize("share", [0.6, 0.9])
+def test_room_to_move(spark, share):
+    n = int(1000 * share) // 2 * 2
+    docs = brute.documents(spark, [(i, f"pair {i // 2}") for i in range(n)] + [(5000 + i, f"alone {i}") for i in range(1000 - n)])
+    assert sum(len(c) > 1 for c in check(sharding.shard_documents(docs, 8).collect(), docs, 8).values()) == 0
 
 
 @pytest.mark.parametrize("n", [0, 3])
