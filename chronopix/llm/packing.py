@@ -118,28 +118,28 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     if taken != histogram:
         raise AssertionError("the patterns do not cover the histogram")
     # intervals: as many as patterns have places, which the number of lengths bounds, not the number of pieces
-    slots = spark.createDataFrame(rows, "length long, low long, high long, first_sequence long, offset long")
-    slots = slots.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first_sequence", "offset"))).alias("slots"))
-    placed = pieces.join(firsts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("seen")).join(F.broadcast(slots), "length")
+    table: dict[int, np.ndarray] = {n: np.array(sorted(x[1:] for x in rows if x[0] == n), dtype=np.int64).T for n in histogram}
+    slots = spark.sparkContext.broadcast(table)
+    placed = pieces.join(firsts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("seen"))
 
     columns = [c for c in pieces.columns if c not in ("part", "seen")]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sequence_id, offset = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-            for _, g in b.groupby("length"):
-                s = g["slots"].iloc[0]
-                low = np.array([x["low"] for x in s], dtype=np.int64)
-                at = np.searchsorted(low, g["rank"].to_numpy(), side="right") - 1
+            for length, g in b.groupby("length"):
+                low, _, first, offsets = slots.value[length]
+                rank = g["rank"].to_numpy()
+                at = np.searchsorted(low, rank, side="right") - 1
                 where = b.index.get_indexer(g.index)
-                sequence_id[where] = np.array([x["first_sequence"] for x in s], dtype=np.int64)[at] + g["rank"].to_numpy() - low[at]
-                offset[where] = np.array([x["offset"] for x in s], dtype=np.int64)[at]
+                sequence_id[where] = first[at] + rank - low[at]
+                offset[where] = offsets[at]
             out = b[columns].copy()
             out["sequence_id"], out["offset"] = sequence_id, offset
             yield out
 
     kinds = ", ".join(f"{c} {t}" for c, t in pieces.dtypes if c in columns)
-    return placed.select(*columns, "rank", "slots").mapInPandas(find, f"{kinds}, sequence_id long, offset long".replace("bigint", "long"))
+    return placed.select(*columns, "rank").mapInPandas(find, f"{kinds}, sequence_id long, offset long".replace("bigint", "long"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, limit: int = LIMIT, engine: str = "tiktoken", with_ids: bool = True) -> DataFrame:

@@ -12,8 +12,8 @@ are zero); then the chunk index, u64 offset of each block's first plane; then th
 i64 doc_ids and u32 lengths, after its u32 size; then the planes. In a block, plane j holds byte j of each id. With
 bits=True each byte plane is further transposed to eight bit planes, which stand one after the other in it.
 
-Defined cases: a null text is a document of just the end id; rows that repeat a doc_id follow each other, ordered by
-text; null doc_ids come first and come back as null; an empty table gives a store without documents; other columns are not read.
+Defined cases: a null text is a document of just the end id; rows that repeat a doc_id follow each other, equal texts
+together; null doc_ids come first and come back as null; a text of any length is read whole; an empty table gives a store without documents; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small
 from .tokens import document_ids, encoder, vocabulary
 
 MAGIC = b"BPS1"
-BLOCK, FILE_IDS = 65536, 1 << 20
+BLOCK, FILE_IDS, STRETCH = 65536, 1 << 20, 4096
 NULL_ID = -(2**63)
 
 
@@ -130,20 +130,16 @@ def write_store(
 ) -> PlaneStore:
     """Tokenizes documents and writes them in ascending doc_id order.
 
-    Buckets are ranges of doc_id, from approximate quantiles of the id column alone; texts are shuffled once. A task sorts
-    its bucket (Spark spills) and holds the ids of one file at a time.
+    Buckets are ranges of (doc_id, text hash, row), as many as the texts have bytes_per_bucket, so a doc_id that many rows
+    repeat spans buckets; texts are shuffled once. A task sorts its bucket (Spark spills) and holds the ids of one file at a time.
     """
     vocab = path or vocabulary()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     total = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = min(1024, max(6, -(-total // bytes_per_bucket)))
-    cuts = source.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    # the bucket: how many cuts are <= doc_id, found by halving in a sorted array
-    bucket = F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), 0).otherwise(
-        F.expr(f"aggregate(filter(array({','.join(map(str, cuts))}), c -> c <= doc_id), 0, (a, c) -> a + 1)")
-    )
-    dealt = source.withColumn("bucket", bucket.cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "body")
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("uid")]
+    keyed = source.withColumn("hash", F.xxhash64("body")).withColumn("uid", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange(max(6, -(-total // bytes_per_bucket)), *order).sortWithinPartitions(*order)
+    dealt = dealt.select("doc_id", "body", F.spark_partition_id().alias("bucket"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocab, engine)
@@ -174,12 +170,17 @@ def write_store(
 
     files = save(dealt.mapInPandas(write, "bucket int, seq int, n_ids long, n_docs int, content binary"), "planes", "uncompressed")
     sizes = files.select("bucket", "seq", "n_ids", "n_docs")
-    # files of a bucket, then buckets: neither window sees more rows than there are files in a bucket or buckets
-    inside = Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    local = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-    across = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("n")).select("bucket", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("base"))
-    index = local.join(bases, "bucket").select("bucket", "seq", (F.col("base") + F.col("inside")).alias("first_id"), "n_ids", "n_docs")
+    # files of a bucket, buckets of a stretch, stretches: no window sees more rows than one of these has
+    def running(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+
+    sizes = sizes.withColumn("stretch", F.floor(F.col("bucket") / F.lit(STRETCH)))
+    buckets = sizes.groupBy("stretch", "bucket").agg(F.sum("n_ids").alias("n_ids"))
+    stretches = running(buckets.groupBy("stretch").agg(F.sum("n_ids").alias("n_ids")), [], "stretch", "far").drop("n_ids")
+    bases = running(buckets, ["stretch"], "bucket", "near").drop("n_ids").join(small(stretches), "stretch").drop("stretch")
+    local = running(sizes, ["bucket"], "seq", "inside").join(bases, "bucket")
+    index = local.select("bucket", "seq", (F.col("far") + F.col("near") + F.col("inside")).alias("first_id"), "n_ids", "n_docs")
     return PlaneStore(files, save(index, "planes-index"))
 
 

@@ -1,3 +1,5 @@
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -28,6 +30,18 @@ def test_engines_agree_on_any_text(text):
     assert list(tokens.encoder(VOCAB)(text)) == list(tokens.encoder(VOCAB, "tokenizers")(text))
 
 
+def test_engines_agree_on_every_code_point():
+    fast, slow = tokens.encoder(VOCAB), tokens.encoder(VOCAB, "tokenizers")
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(1)
+    for i in range(0, len(points), 512):
+        text = " a".join(points[i : i + 512])
+        assert list(fast(text)) == slow(text)
+    for _ in range(3000):
+        text = "".join(rng.choice([rng.choice(points), rng.choice(" \n\ta1'.")]) for _ in range(rng.randint(1, 40)))
+        assert list(fast(text)) == slow(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), min_size=1))
 def test_patterns_cover_the_histogram(histogram):
@@ -111,3 +125,14 @@ def test_store_hard_cases(spark, reference):
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in sorted(rows, key=lambda r: r.start)] == want
     assert all(brute.crc(np.frombuffer(bytes(r.ids), dtype="<u4")) == r.ids_crc32 for r in rows)
     assert planes.read_store(planes.write_store(brute.empty_documents(spark))).collect() == []
+
+
+def test_store_of_one_repeated_id(spark, reference):
+    """Rows without an id, and of one id, span buckets."""
+    docs = brute.documents(spark, [(None, f"some words {i % 3}") for i in range(200)] + [(7, "hot") for _ in range(300)] + [(8, "last")])
+    store = planes.write_store(docs, bytes_per_bucket=100, file_ids=50, block=128)
+    assert store.files.select("bucket").distinct().count() > 20
+    rows = sorted(planes.read_store(store).collect(), key=lambda r: r.start)
+    ends = [r.start + r.n_tokens for r in rows]
+    assert [r.start for r in rows] == [0, *ends[:-1]] and [r.doc_id for r in rows] == [None] * 200 + [7] * 300 + [8]
+    assert {r.ids_crc32 for r in rows[200:500]} == {brute.crc(reference("hot"))}
