@@ -81,9 +81,9 @@ def _starts(hashes: Column, width: int) -> Column:
     return F.when(F.size(hashes) >= width, F.sequence(F.lit(0), F.size(hashes) - width)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(hashes: Column, width: int, at: Column | None = None) -> Column:
-    """Hashes of windows of tokens' hashes, as (pos from 0, hash)."""
-    joint = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(width)])
+def _windows(hashes: Column, width: int, at: Column | None = None, literal: bool = False) -> Column:
+    """Hashes of windows of tokens' hashes, as (pos from 0, hash); those of exact tokens have hashes of their own."""
+    joint = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(width)], *([F.lit("exact")] if literal else []))
     return F.transform(_starts(hashes, width) if at is None else at, lambda i: F.struct(i.alias("pos"), joint(i).alias("hash")))
 
 
@@ -131,7 +131,7 @@ def _item_windows(items: DataFrame, cover: float, run: int) -> tuple[DataFrame,
     for w, literal in sorted(widths):
         some = sized.filter((F.col("width") == w) & (F.col("literal") == literal))
         if literal:
-            forms = _windows(_hashed(_valued(F.col("item"))), w)
+            forms = _windows(_hashed(_valued(F.col("item"))), w, literal=True)
         else:
             some = some.withColumn("hashes", _hashed(_literal(F.col("item")))).withColumn("plain", _hashed(_plain(F.col("item"))))
             # the item with its first word as a name
@@ -158,19 +158,18 @@ def _item_windows(items: DataFrame, cover: float, run: int) -> tuple[DataFrame,
 
 
 def _hits(key: DataFrame, own: DataFrame, widths: list[int], exact: list[int]) -> DataFrame:
-    """(row_key, template, first): alignments at which enough windows of a template meet a document's; of items that are
-    searched by their exact tokens the first one."""
+    """(spot, template, first): alignments at which enough windows of a template meet a document's; of items that are
+    searched by their exact tokens the first one. Documents that share a spot, a hash of the row, are all checked."""
     columns = [("hashes", _literal(F.col("tokens"))), ("plain", _plain(F.col("tokens")))] if widths else []
     columns += [("valued", _valued(F.col("tokens")))] if exact else []
-    theirs = key.select("row_key", *[_hashed(c).alias(n) for n, c in columns])
-    mark = lambda a, literal: F.transform(a, lambda w: F.struct(w["pos"].alias("pos"), w["hash"].alias("hash"), F.lit(literal).alias("literal")))
-    both = [mark(x, False) for w in widths for x in (_windows(F.col("hashes"), w), _differing(F.col("hashes"), F.col("plain"), w))]
-    both += [mark(_windows(F.col("valued"), w), True) for w in exact]
-    theirs = theirs.select("row_key", F.explode(F.concat(*both)).alias("w")).select("row_key", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.literal").alias("literal"))
-    met = theirs.join(F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own, ["hash", "literal"])
-    met = met.groupBy("row_key", "template", "literal", (F.col("pos") - F.col("item_pos")).alias("first"), "need").agg(F.count(F.lit(1)).alias("n"))
-    met = met.filter("n >= need").groupBy("row_key", "template", F.when(F.col("literal"), -1).otherwise(F.col("first")).alias("at")).agg(F.min("first").alias("first"))
-    return save(met.select("row_key", "template", "first"), "leak-hits")
+    theirs = key.select("spot", *[_hashed(c).alias(n) for n, c in columns])
+    both = [x for w in widths for x in (_windows(F.col("hashes"), w), _differing(F.col("hashes"), F.col("plain"), w))]
+    both += [_windows(F.col("valued"), w, literal=True) for w in exact]
+    theirs = theirs.select("spot", F.explode(F.concat(*both)).alias("w")).select("spot", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
+    met = theirs.join(F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own, "hash")
+    met = met.groupBy("spot", "template", "literal", (F.col("pos") - F.col("item_pos")).alias("first"), "need").agg(F.count(F.lit(1)).alias("n"))
+    met = met.filter("n >= need").groupBy("spot", "template", F.when(F.col("literal"), -1).otherwise(F.col("first")).alias("at")).agg(F.min("first").alias("first"))
+    return save(met.select("spot", "template", "first"), "leak-hits")
 
 
 def find_leaks(
@@ -195,22 +194,23 @@ def find_leaks(
     else:
         windows, widths, exact = _item_windows(items, cover, run)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("body"))
-    key = source.select("row_key", template_tokens(F.col("body"), True).alias("tokens"))
+    source = source.withColumn("spot", F.xxhash64("row_key"))
+    key = source.select("spot", template_tokens(F.col("body"), True).alias("tokens"))
     if windows is not None:
         hits = _hits(key, windows, widths, exact)
     else:
-        hits = save(key.filter("false").select("row_key", F.lit("").alias("template"), F.lit(0).alias("first")), "leak-hits")
-    wanted = hits.select("row_key").distinct()
-    texts = marked(source, wanted, F.col("row_key")).join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
-    texts = texts.select("doc_id", "row_key", template_tokens(F.col("body"), True).alias("tokens"))
+        hits = save(key.filter("false").select("spot", F.lit("").alias("template"), F.lit(0).alias("first")), "leak-hits")
+    wanted = hits.select("spot").distinct()
+    texts = marked(source, wanted, F.col("spot")).join(wanted, "spot", "left_semi").dropDuplicates(["row_key"])
+    texts = texts.select("spot", "doc_id", "row_key", template_tokens(F.col("body"), True).alias("tokens"))
     held = F.broadcast(templates) if size <= BROADCAST_BYTES else templates
-    asked = hits.join(held.select("template", "words"), "template").groupBy("row_key", F.floor(F.col("first") / F.lit(1 << 16)).alias("stretch")).agg(F.collect_list(F.struct("template", "first", "words")).alias("hits"))
+    asked = hits.join(held.select("template", "words"), "template").groupBy("spot", F.floor(F.col("first") / F.lit(1 << 16)).alias("stretch")).agg(F.collect_list(F.struct("template", "first", "words")).alias("hits"))
     # the part of the document that the item would cover; positions outside of it are empty tokens
     part = lambda h: F.concat(
         F.array_repeat(F.lit(""), F.greatest(F.lit(0), -h["first"])),
         F.slice("tokens", F.greatest(F.lit(1), h["first"] + 1), F.greatest(F.lit(0), h["words"] + F.least(F.lit(0), h["first"]))),
     )
-    cut = asked.join(texts, "row_key").select("doc_id", "row_key", F.explode(F.transform("hits", lambda h: F.struct(h["template"].alias("template"), h["first"].alias("first"), part(h).alias("d")))).alias("h"))
+    cut = asked.join(texts, "spot").select("doc_id", "row_key", F.explode(F.transform("hits", lambda h: F.struct(h["template"].alias("template"), h["first"].alias("first"), part(h).alias("d")))).alias("h"))
     pairs = cut.select("doc_id", "row_key", "h.*").withColumn("values", F.xxhash64(_valued(F.col("d"))))
     pairs = pairs.join(F.broadcast(members) if size <= BROADCAST_BYTES else members, ["template", "values"], "left").join(held, "template")
     pairs = pairs.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumn("z", F.arrays_zip("d", F.col("form").alias("i")))
