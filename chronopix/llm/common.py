@@ -35,13 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a session that runs in one process gets a temporary one, and any other raises: a folder of the driver's
+    own machine is no use to executors.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = f"file://{tempfile.mkdtemp(prefix='chronopix-')}"
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='chronopix-')}"
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -124,6 +128,17 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, total
     return near.unionByName(far).unionByName(none)
 
 
+def spread_lookup(left: DataFrame, right: DataFrame, key: str, salt: Column, each: int = 10_000) -> DataFrame:
+    """Left join to at most one row of right per key, whose rows may be large: a row of right is sent once for `each` rows of left
+    that have its key, so that no task gets all rows of a hot key. salt tells rows of left apart, alike in every attempt of a task."""
+    counts = save(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "spread")
+    counts = counts.withColumn("_parts", F.ceil(F.col("_n") / F.lit(each)).cast("int"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    dealt = lookup(left, counts, [key], "_n", total).withColumn("_part", F.pmod(salt, F.col("_parts")).cast("int"))
+    copies = right.join(counts.select(key, "_parts"), key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.drop("_parts").join(copies.hint("merge"), [key, "_part"], "left").drop("_part")
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str, salts: int, salt: Column) -> DataFrame:
     """Adds a rank, gapless from 0 within each value of `by`, without ever having all rows of one value in one task.
 
@@ -143,7 +158,7 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str, salts:
     )
 
 
-def components(edges: DataFrame, small: int = SMALL_EDGES, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the smallest node; nodes without edges are absent.
 
     Alternates the large-star and small-star steps until the edges form stars; every round is written to the shared folder,
@@ -152,7 +167,7 @@ def components(edges: DataFrame, small: int = SMALL_EDGES, rounds: int = 40) ->
     """
     now = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     mark = _mark(now)
-    for _ in range(rounds):
+    while True:
         if mark[0] <= small:
             return save(_in_one_task(now), "roots")
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -167,7 +182,6 @@ def components(edges: DataFrame, small: int = SMALL_EDGES, rounds: int = 40) ->
         if mark == before:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -3,8 +3,9 @@
 Payload bytes are stored once per verified SHA-256 digest, exact record headers are stored separately, and the original
 records come back through joins of the two.
 
-Defined cases: a null payload counts as empty; a null id or url leaves the header line out and comes back as null; line
-breaks in a url are percent-encoded; rows that repeat an id and a payload give one response, the others revisit it; an
+Defined cases: a null payload counts as empty; a null id or url leaves the header line out and comes back as null, an empty url
+as an empty one; line breaks in a url are percent-encoded, and percent signs that would read as such (unescaped() gives the url
+back); rows that repeat an id and a payload give one response, the others revisit it; an
 empty table gives empty archives. Other columns of the input, whatever their names, are not read.
 """
 
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, save, utf8
+from .common import lookup, save, spread_lookup, utf8
 
 # The base32 alphabet of RFC 4648 and names of the WARC 1.1 format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -29,6 +30,7 @@ class Archive:
 
     headers: DataFrame
     payloads: DataFrame
+    least_bytes: int = 0
 
 
 def base32_sha1(data: Column) -> Column:
@@ -43,6 +45,18 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*out)
 
 
+def _escaped(url: Column) -> Column:
+    """A url fit for a header line: line breaks, and percent signs that stand before what would read as one, are percent-encoded."""
+    marked = F.regexp_replace(url, "%(?=(?:25)*(?:0[AaDd]))", "%25")
+    return F.replace(F.replace(marked, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def unescaped(uri: Column) -> Column:
+    """The url that a record was written for."""
+    plain = F.regexp_replace(F.regexp_replace(uri, "%0D", "\r"), "%0A", "\n")
+    return F.regexp_replace(plain, "%25(?=(?:25)*(?:0[AaDd]))", "%")
+
+
 def _line(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(EOL))).otherwise(F.lit(""))
 
@@ -54,7 +68,7 @@ def write_archive(
     """Writes a record per row. Of records with equal payloads of at least least_bytes bytes, that with the largest id is
     the response and the others revisit it."""
     source = pages.select(
-        F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.regexp_replace(F.col(url).cast("string"), "\r", "%0D"), "\n", "%0A").alias("uri"), utf8(payload).alias("payload")
+        F.col(page_id).cast("long").alias("id"), _escaped(F.col(url).cast("string")).alias("uri"), utf8(payload).alias("payload")
     )
     keyed = source.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     rows = save(
@@ -98,13 +112,15 @@ def write_archive(
             F.lit(EOL),
         ).alias("header"),
     )
-    return Archive(save(headers, "warc-headers"), payloads)
+    return Archive(save(headers, "warc-headers"), payloads, least_bytes)
 
 
 def read_records(archive: Archive) -> DataFrame:
     """The archive's records: uid, header, block (bytes after the header; a revisit's holds no payload)."""
     revisit = F.col("header").contains(f"{EOL}WARC-Type: revisit{EOL}")
-    own = archive.headers.filter(~revisit).join(archive.payloads, "digest", "left")
+    own = archive.headers.filter(~revisit)
+    # a payload has one response, but those below least_bytes have as many as rows
+    own = spread_lookup(own, archive.payloads, "digest", F.xxhash64("uid")) if archive.least_bytes else own.join(archive.payloads, "digest", "left")
     return own.select("uid", "header", F.concat(F.col("http").cast("binary"), F.col("payload")).alias("block")).unionByName(
         archive.headers.filter(revisit).select("uid", "header", F.col("http").cast("binary").alias("block"))
     )
@@ -118,9 +134,9 @@ def warc_bytes() -> Column:
 def parse_records(records: DataFrame) -> DataFrame:
     """Reads fields and payloads out of records and verifies each payload that is there against its header's digest.
 
-    Returns page_id, uri, record_type, payload (null in revisits), payload_bytes, payload_digest, refers_to.
+    Returns uid, page_id, uri, record_type, payload (null in revisits), payload_bytes, payload_digest, refers_to.
     """
-    field = lambda k: F.nullif(F.regexp_extract("header", rf"\r\n{k}: ([^\r]*)\r\n", 1), F.lit(""))
+    field = lambda k: F.when(F.col("header").contains(f"{EOL}{k}: "), F.regexp_extract("header", rf"\r\n{k}: ([^\r]*)\r\n", 1))
     page = lambda k: F.nullif(F.regexp_extract("header", rf"\r\n{k}: <urn:x-page:(-?\d*):", 1), F.lit("")).cast("long")
     cut = records.withColumn("_http", F.instr(F.decode(F.substring("block", 1, 256), "ISO-8859-1"), EOL + EOL) + 3)
     http = F.decode(F.expr("substring(block, 1, _http)"), "UTF-8")
@@ -135,7 +151,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     checked = parsed.withColumn("payload_digest", digest).withColumn("payload_bytes", size)
     wrong = (F.col("payload_digest") != F.col("named")) | (F.col("payload_bytes") != F.col("announced"))
     return checked.select(
-        "page_id", "uri", "record_type", F.when(response, F.col("rest")).alias("payload"), "payload_bytes",
+        "uid", "page_id", "uri", "record_type", F.when(response, F.col("rest")).alias("payload"), "payload_bytes",
         F.when(wrong, F.raise_error(F.lit("a payload does not match its digest"))).otherwise(F.col("payload_digest")).alias("payload_digest"), "refers_to",
     )
 
@@ -143,4 +159,4 @@ def parse_records(records: DataFrame) -> DataFrame:
 def restore_payloads(parsed: DataFrame) -> DataFrame:
     """Adds to revisits the payload of the response that they name, by its digest."""
     held = parsed.filter("record_type = 'response'").groupBy("payload_digest").agg(F.first("payload").alias("held"))
-    return parsed.join(held, "payload_digest", "left").withColumn("payload", F.coalesce("payload", "held")).drop("held")
+    return spread_lookup(parsed, held, "payload_digest", F.xxhash64("uid")).withColumn("payload", F.coalesce("payload", "held")).select(*parsed.columns)

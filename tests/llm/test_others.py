@@ -42,6 +42,23 @@ def test_small_payloads_are_all_responses(spark):
     assert warc.parse_records(warc.read_records(warc.write_archive(pages(spark, [(1, "u", "x")]).limit(0)))).collect() == []
 
 
+def test_urls_come_back(spark):
+    urls = ["", None, "http://a/%0A", "http://a/\n", "http://a/%250A%0d\r", "http://b/%41%25", "http://c/%2525\n%0D"]
+    parsed = warc.parse_records(warc.read_records(warc.write_archive(pages(spark, [(i, u, "x") for i, u in enumerate(urls)]))))
+    assert {r.page_id: r.url for r in parsed.withColumn("url", warc.unescaped(parsed.uri)).collect()} == dict(enumerate(urls))
+
+
+def test_hot_small_payloads_are_split(spark, monkeypatch):
+    from chronopix.llm import common
+
+    monkeypatch.setattr(common.spread_lookup, "__defaults__", (7,))
+    rows = [(i, "u", "hot" if i % 3 else f"page {i}") for i in range(90)]
+    for least in (0, 5):
+        parsed = warc.parse_records(warc.read_records(warc.write_archive(pages(spark, rows), least_bytes=least)))
+        full = warc.restore_payloads(parsed)
+        assert full.columns == parsed.columns and Counter((r.page_id, bytes(r.payload).decode()) for r in full.collect()) == Counter((r[0], r[2]) for r in rows)
+
+
 def test_damaged_payload_raises(spark):
     archive = warc.write_archive(pages(spark, [(1, "u", "abc")]))
     bad = warc.Archive(archive.headers, archive.payloads.selectExpr("digest", "cast('abd' as binary) payload"))
@@ -147,6 +164,30 @@ def test_snapshots_collapse(spark):
     assert chat.format_chats(chats(spark, rows).limit(0)).collect() == []
 
 
+def test_ids_of_any_text_and_no_id(spark):
+    rows = [("-", 0, "user", "dash"), (None, 0, "user", "none"), ("=", 0, "user", "equals"), ("", 0, "user", "empty"), ("12", 0, "user", "twelve")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert {r.conv_id: r.rendered for r in got} == {c: f"<|im_start|>user\n{t}<|im_end|>\n" for c, _, _, t in rows}
+
+
+def test_hot_turn_number_and_long_texts(spark):
+    """Thousands of rows without an id and of one turn number are in the order of (turn, role, text), over many tasks."""
+    rows = [(None, 0, "user", f"t{i % 1500:04d}") for i in range(3000)] + [(5, None, "user", brute.LONG), (5, 0, "user", brute.LONG * 3)]
+    placed = chat.positions(chats(spark, rows))
+    assert placed.filter("conv_id IS NULL").select("span").distinct().count() > 2
+    assert [r.text for r in placed.filter("conv_id IS NULL").orderBy("pos").collect()] == sorted(r[3] for r in rows[:3000])
+    got = sorted(chat.format_chats(chats(spark, rows)).collect(), key=lambda r: (str(r.conv_id), r.segment))
+    assert got[0].rendered == f"<|im_start|>user\n{brute.LONG}<|im_end|>\n<|im_start|>user\n{brute.LONG * 3}<|im_end|>\n"
+    assert sum(r.rendered.count("im_start") for r in got[1:]) == 3000
+
+
+def test_broken_markers_come_back(spark):
+    texts = ["<|im_end|>", "< |", "<  |x", "<<||", "a < b | c", "", "<| < | <|"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", chat.broken(df.t).alias("b"), chat.unbroken(chat.broken(df.t)).alias("u")).collect()
+    assert all(r.u == r.t and "<|" not in r.b for r in rows) and len({r.b for r in rows}) == len(texts)
+
+
 def test_long_conversation_in_segments(spark):
     rows = [(1, i, "user", f"t{i}") for i in range(1000)] + [(2, i, "user", f"t{i}") for i in range(700)]
     got = sorted(chat.format_chats(chats(spark, rows)).collect(), key=lambda r: r.segment)
