@@ -40,6 +40,17 @@ def masked(v: str | Column, low: float = VALID_MIN, high: float = VALID_MAX) ->
     return F.when(is_valid_reflectance(v, low, high), col(v))
 
 
+def in_range(v: str | Column, low: float, high: float) -> Column:
+    """Finite and within the closed range; false for NULL."""
+    v = col(v)
+    return F.coalesce(~F.isnan(v) & v.between(low, high), F.lit(False))
+
+
+def within(v: str | Column, low: float, high: float) -> Column:
+    """P10: the value, or NULL outside the closed range."""
+    return F.when(in_range(v, low, high), col(v))
+
+
 def null_if_nan(v: str | Column) -> Column:
     return F.nanvl(col(v), F.lit(None).cast("double"))
 
@@ -104,8 +115,57 @@ def fingerprint(band: str | Column, path: str | Column, size: str | Column, modi
 
 
 def epoch_seconds(text: str | Column) -> Column:
-    """Seconds since 1970 (UTC) of a date-time text in one of FORMATS; NULL for others, dates alone included."""
-    return F.coalesce(*[F.unix_seconds(F.try_to_timestamp(F.trim(col(text)), F.lit(f))) for f in FORMATS]).cast("double")
+    """Seconds since 1970 (UTC, whatever the session's zone) of a date-time text in one of FORMATS; NULL for others, dates
+    alone included."""
+    plain = F.coalesce(*[F.try_to_timestamp(F.concat(F.trim(col(text)), F.lit("+00:00")), F.lit(f + "xxx")) for f in FORMATS])
+    return F.unix_seconds(plain).cast("double")
+
+
+def epoch_seconds_or_raise(text: str | Column) -> Column:
+    """As epoch_seconds(), but a text that is no date-time ends the query."""
+    text = col(text)
+    return F.coalesce(epoch_seconds(text), F.raise_error(F.concat(F.lit("not a timestamp: "), F.coalesce(text, F.lit("NULL")))).cast("double"))
+
+
+def frequency_matches_any(f: str | Column, others: str | Column, tolerance: float = 1e-10) -> Column:
+    """Whether a frequency is one of an array's, within the relative tolerance."""
+    return F.exists(col(others), lambda x: F.abs(col(f) - x) <= tolerance * F.greatest(F.abs(x), F.lit(1e-30)))
+
+
+def joined_frequencies(shared: str | Column, private: str | Column, tolerance: float) -> Column:
+    """The sorted union of two arrays; neighbours within the relative tolerance become their mean, one after the other."""
+    both = F.array_sort(F.concat(col(shared), col(private)))
+    last = lambda a: F.element_at(a, -1)
+    near = lambda a, x: F.abs(x - last(a)) / F.greatest(last(a), F.lit(1e-12)) <= max(tolerance, 0.0)
+    step = lambda a, x: F.when(F.size(a) == 0, F.array(x)).when(near(a, x), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(0.5 * (last(a) + x)))).otherwise(F.concat(a, F.array(x)))
+    return F.aggregate(both, F.array().cast("array<double>"), step)
+
+
+def synthetic_days(n: str | Column) -> Column:
+    """Days 0 to n - 1 for bands without timestamps, and none for n < 1; the last one is the target."""
+    return F.when(col(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(col(n), F.lit(1)) - 1), lambda i: i.cast("double"))).otherwise(F.array().cast("array<double>"))
+
+
+def band_position(descriptions: str | Column, n_bands: str | Column, band: str) -> Column:
+    """A raster's band (from 1) by its description, else by its place among BANDS; NULL where there is neither."""
+    named = F.array_position(col(descriptions), F.lit(band)).cast("int")
+    place = BANDS.index(band) + 1 if band in BANDS else None
+    fallback = F.when(col(n_bands) >= place, F.lit(place)) if place else F.lit(None).cast("int")
+    return F.coalesce(F.when(named > 0, named), fallback)
+
+
+def size_text(n: str | Column) -> Column:
+    """bytes for people; halves go to the even digit."""
+    n = col(n)
+    scaled = lambda power, unit: F.concat(F.format_string("%.2f", F.bround(n / 1024.0**power, 2)), F.lit(f" {unit}"))
+    return F.when(n >= 1024**3, scaled(3, "GiB")).when(n >= 1024**2, scaled(2, "MiB")).when(n >= 1024, scaled(1, "KiB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def duration_text(seconds: str | Column) -> Column:
+    """a duration for people; `unknown` for what is negative or not finite."""
+    s = col(seconds)
+    unknown = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")) | (s < 0)
+    return F.when(unknown, "unknown").when(s >= 3600, F.format_string("%.2f h", F.bround(s / 3600, 2))).when(s >= 60, F.format_string("%.1f min", F.bround(s / 60, 1))).otherwise(F.format_string("%.1f s", F.bround(s, 1)))
 
 
 def day_of_year_gap(t: str | Column, target: str | Column, year: float = 365.25) -> Column:

@@ -63,14 +63,15 @@ def _once(t: np.ndarray, y: np.ndarray, rows: np.ndarray, c: HarmonicConfig):
     x = ridge.design(rel, freqs, c.include_trend)
     penalty = ridge.tiered_penalty(freqs, c.ridge_lam, c.lambda_high, c.low_freq_period_days, c.freq_weight, c.include_trend, free=free)
     w = np.ones(len(rows))
-    theta = ridge.multi_output_ridge(x, z, w, penalty, c.multiband_shrinkage)
+    system = ridge.MultiRidge(x, z, penalty, c.multiband_shrinkage)
+    theta = system.solve()
     if theta is None:
         return None
     delta = threshold_floor(c)
     for _ in range(min(max(c.huber_iters, 1), 5)):
         e = np.sqrt(((z - x @ theta) ** 2).mean(1))
         w = np.maximum(0.5 * w + 0.5 * np.where(e <= delta, 1.0, delta / (e + 1e-12)), 0.03)
-        again = ridge.multi_output_ridge(x, z, w, penalty, c.multiband_shrinkage)
+        again = system.solve(w)
         theta = theta if again is None else again
     return VectorFit(True, y.shape[1], freqs, float(start), float(rel.mean()), centre, scale, theta, c.include_trend, rows), x, z
 

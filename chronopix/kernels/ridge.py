@@ -131,17 +131,48 @@ def robust_ridge(x, y, lam: float, diagonal, iters: int, delta: float) -> tuple[
     return beta, x @ beta
 
 
+class MultiRidge:
+    """Ridge of all bands at once, for several weightings of the same rows.
+
+    With shrinkage, the bands' mean is solved with the penalty alone and what bands differ from it by with the shrinkage on top
+    (none on the constant). The normal equations of weights near 1 are those without weights, corrected by the other rows.
+    """
+
+    def __init__(self, x: np.ndarray, z: np.ndarray, penalty: np.ndarray, shrink: float, dc: bool = True):
+        self.x, self.z, self.shrink = x, z, shrink if z.shape[1] > 1 else 0.0
+        self.plain, self.rhs = x.T @ x, x.T @ z
+        self.diagonal = np.maximum(penalty, 1e-12)
+        self.extra = np.full(x.shape[1], max(shrink, 0.0))
+        if dc:
+            self.extra[:1] = 0.0
+
+    def solve(self, w: np.ndarray | None = None) -> np.ndarray | None:
+        a, rhs = self.plain.copy(), self.rhs
+        if w is not None:
+            w = np.where(np.isfinite(w), np.maximum(w, 0.0), 0.0)
+            other = np.flatnonzero(w != 1.0)
+            if len(other) > len(w) // 2:
+                xw = self.x * w[:, None]
+                a, rhs = xw.T @ self.x, xw.T @ self.z
+            elif len(other):
+                some = self.x[other]
+                xw = some * (w[other] - 1.0)[:, None]
+                a += xw.T @ some
+                rhs = rhs + xw.T @ self.z[other]
+        at = np.arange(len(a))
+        a[at, at] += self.diagonal
+        if self.shrink <= 0:
+            return positive_solve(a, rhs)
+        if cholesky(a) is None:
+            a[at, at] += 1e-6
+            if cholesky(a) is None:
+                return None
+        # what is added to the diagonal keeps the system positive definite
+        mean = rhs.mean(1, keepdims=True)
+        common = np.linalg.solve(a, mean)
+        a[at, at] += self.extra
+        return common + np.linalg.solve(a, rhs - mean)
+
+
 def multi_output_ridge(x, z, w, penalty: np.ndarray, shrink: float, dc: bool = True) -> np.ndarray | None:
-    """All bands at once. With shrinkage, the bands' mean is solved with the penalty alone and what bands differ from it
-    by with the shrinkage on top (none on the constant)."""
-    w = np.where(np.isfinite(w), np.maximum(w, 0.0), 0.0)
-    xw = x * w[:, None]
-    a, rhs = xw.T @ x + np.diag(np.maximum(penalty, 1e-12)), xw.T @ z
-    if shrink <= 0 or z.shape[1] < 2:
-        return positive_solve(a, rhs)
-    extra = np.full(len(a), max(shrink, 0.0))
-    if dc:
-        extra[0] = 0.0
-    mean = rhs.mean(1, keepdims=True)
-    common, own = positive_solve(a, mean), positive_solve(a + np.diag(extra), rhs - mean)
-    return None if common is None or own is None else common + own
+    return MultiRidge(x, z, penalty, shrink, dc).solve(w)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .basics import DAY
+from .basics import DAY, MAD_SCALE
 
 OVERSAMPLE, WIDTH, BETA = 2.0, 8, 10.0
 
@@ -80,6 +80,16 @@ def power(t_rel, y, modes: int, scale: float = 1.0, method: str = "gridded") ->
     return f, (np.abs(c) ** 2).sum(1)
 
 
+def joint_spectrum(years, y, n: int = 480, low: float = 0.05, high: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+    """V8: (cycles a year, power / n of each band) over n frequencies, of bands less their median over their scaled MAD."""
+    years, y = np.asarray(years, dtype=np.float64), np.asarray(y, dtype=np.float64)
+    cycles = np.linspace(low, high, n)
+    middle = np.median(y, 0)
+    scale = MAD_SCALE * np.median(np.abs(y - middle), 0)
+    z = (y - middle) / np.where(np.isfinite(scale) & (scale >= 1e-6), scale, 1.0)
+    return cycles, np.abs(np.exp(-2j * np.pi * np.outer(cycles, years)) @ z) ** 2 / max(len(years), 1)
+
+
 def preferred_frequencies(periods: str) -> list[float]:
     """'365.25, 182.6' (days) to frequencies in Hz; what is no positive number is left out."""
     out = []

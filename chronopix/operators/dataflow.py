@@ -64,17 +64,55 @@ def eligible(df: DataFrame, keys: list[str], values: list[str], least: int) -> D
     return df.groupBy(*keys).agg(F.count_if(there).alias("joint_valid")).filter(F.col("joint_valid") >= least)
 
 
-def shared_times(df: DataFrame, ts: str, band: str, bands: int | None = None) -> DataFrame:
-    """Times that every band has (relational division)."""
+def shared_times(df: DataFrame, ts: str, band: str, bands: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Times that every band has, or at least so many bands (relational division); with keys, of each of them."""
     if bands is None:
         every = df.agg(F.count_distinct(band).alias("_all"))
         return df.groupBy(ts).agg(F.count_distinct(band).alias("_n")).join(F.broadcast(every), F.col("_n") == F.col("_all")).select(ts)
-    return df.groupBy(ts).agg(F.count_distinct(band).alias("_n")).filter(F.col("_n") == bands).select(ts)
+    return df.groupBy(*keys, ts).agg(F.count_distinct(band).alias("_n")).filter(F.col("_n") >= bands).select(*keys, ts)
 
 
-def align(df: DataFrame, ts: str, band: str, bands: int | None = None) -> DataFrame:
+def align(df: DataFrame, ts: str, band: str, bands: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows at times that every band has."""
-    return df.join(shared_times(df, ts, band, bands), ts, "left_semi")
+    return df.join(shared_times(df, ts, band, bands, keys), [*keys, ts], "left_semi")
+
+
+def scored(df: DataFrame, scores: DataFrame, key: str, score: str, value: str, least: float = 0.8) -> DataFrame:
+    """Rows whose key has a score, the first one by score where it has several; values without a score over `least` become NULL."""
+    first = scores.groupBy(key).agg(F.max(score).alias("_score"))
+    return df.join(first, key).withColumn(value, F.when(F.col("_score") > least, F.col(value))).drop("_score")
+
+
+def found_or_missing(wanted: DataFrame, present: DataFrame, key: str, found: str = "found") -> DataFrame:
+    """Wanted rows, marked by whether their key is present."""
+    have = present.select(key).distinct().withColumn(found, F.lit(True))
+    return wanted.join(have, key, "left").withColumn(found, F.coalesce(found, F.lit(False)))
+
+
+def merge_chunks(chunks: list[DataFrame]) -> DataFrame:
+    """Chunks of one band's time axis, one after the other; none is an error."""
+    if not chunks:
+        raise ValueError("no chunks to merge")
+    out = chunks[0]
+    for c in chunks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def relative_days(df: DataFrame, keys: list[str], t: str, name: str = "days") -> DataFrame:
+    """Days since the first time of each key; t in seconds."""
+    return df.withColumn(name, (F.col(t) - F.min(t).over(Window.partitionBy(*keys))) / 86400.0)
+
+
+def time_axis(df: DataFrame, keys: list[str], t: str, target: str) -> DataFrame:
+    """Day and target_day since the first of all times and the target; t and target in seconds.
+
+    A time that is the target's, or a NULL one, ends the query: the masked series must not hold it.
+    """
+    origin = F.least(F.min(t).over(Window.partitionBy(*keys)), F.col(target))
+    wrong = F.col(t).isNull() | (F.abs(F.col(t) - F.col(target)) <= 1e-6)
+    day = F.when(wrong, F.raise_error(F.lit("a masked time is missing or is the target's")).cast("double")).otherwise((F.col(t) - origin) / 86400.0)
+    return df.withColumn("day", day).withColumn("target_day", (F.col(target) - origin) / 86400.0)
 
 
 def completeness(df: DataFrame, ts: str, band: str, value: str) -> DataFrame:
@@ -158,9 +196,9 @@ def band_stacks(files: DataFrame, name: str) -> DataFrame:
     return files.withColumn("p", C.band_file(name)).filter("p.band IS NOT NULL").groupBy(F.col("p.band").alias("band")).agg(F.array_sort(F.collect_list(name)).alias("paths"))
 
 
-def interpolated_neighbours(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
+def carried_forward(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """The last value there was, carried over dates without one."""
-    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(f"{value}_carried", F.last(value, ignorenulls=True).over(w))
 
 

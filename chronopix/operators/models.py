@@ -195,6 +195,25 @@ def fit_lasso(series: DataFrame, keys: list[str], config: LassoConfig | None = N
     return map_series(series, make, "band int, pred double, qa int, rmse double, break_positions array<int>", keys)
 
 
+def joint_spectra(series: DataFrame, keys: list[str], n: int = 480, low: float = 0.05, high: float = 6.0) -> DataFrame:
+    """V8: keys, i, cycles (a year), joint (power of all bands, relative to its largest) and bands (each band's share of that scale), on
+    the dates where every band is there."""
+    from ..kernels import spectrum
+
+    def make(r):
+        t, y = arrays(r["t"], r["y"])
+        ok = np.isfinite(y).all(1)
+        if not ok.any():
+            return
+        cycles, p = spectrum.joint_spectrum(t[ok] / 365.25, y[ok], n, low, high)
+        joint = p.sum(1)
+        top = joint.max()
+        for i in range(n):
+            yield i, float(cycles[i]), float(joint[i] / top) if top > 0 else None, _nullable(p[i] / top) if top > 0 else None
+
+    return map_series(series, make, "i int, cycles double, joint double, bands array<double>", keys)
+
+
 def spectra(series: DataFrame, keys: list[str], modes: int, method: str = "direct", scale: float = 1.0) -> DataFrame:
     """K1-K3: keys, k, freq (1/day), power summed over bands, on the dates where every band is there."""
     from ..kernels import spectrum

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 # Multiplier and increment of the generator, and the state that stands for a seed of 0.
 MULTIPLIER, INCREMENT, ZERO_SEED = 6364136223846793005, 1442695040888963407, 0x9E3779B97F4A7C15
 MASK = 2**64 - 1
@@ -76,23 +78,16 @@ def draws(spark: SparkSession, n: int, seed: int, upper: int, per_draw: int = 1)
 def sample_pixels(eligible: DataFrame, scene: str, order: list[str], n: int, seed: int) -> DataFrame:
     """N pixels with replacement, in the order of (scene, pixel): sample_idx, scene and order columns, n_valid.
 
-    Eligible pixels get a global number, scene by scene, as a scene's first number plus the rank inside it.
+    Eligible pixels get a global number in the order of (scene, pixel), and draws name the numbers. Both ranks are taken over
+    sorted ranges, so no task orders all pixels, or all of a scene, or all draws.
     """
     spark = eligible.sparkSession
-    sizes = eligible.groupBy(scene).agg(F.count(F.lit(1)).alias("_c"))
-    first = sizes.select(scene, F.coalesce(F.sum("_c").over(Window.orderBy(scene).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    total = sizes.agg(F.sum("_c")).first()[0] or 0
+    total = eligible.count()
     if not total:
         return eligible.select(F.lit(0).cast("long").alias("sample_idx"), *eligible.columns).limit(0)
-    inside = F.row_number().over(Window.partitionBy(scene).orderBy(*order)) - 1
-    numbered = eligible.withColumn("_own", inside).join(F.broadcast(first), scene).withColumn("_global", F.col("_first") + F.col("_own"))
-    chosen = draws(spark, n, seed, total).join(numbered, F.col("value") == F.col("_global"))
-    # numbers rise with (scene, order): the sample's index is the rank of the number, counted by number first
-    many = chosen.groupBy("_global").agg(F.count(F.lit(1)).alias("_m"))
-    before = many.select("_global", F.coalesce(F.sum("_m").over(Window.orderBy("_global").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    again = F.row_number().over(Window.partitionBy("_global").orderBy("draw")) - 1
-    out = chosen.withColumn("_again", again).join(before, "_global").withColumn("sample_idx", F.col("_before") + F.col("_again"))
-    return out.select("sample_idx", *eligible.columns)
+    listed = numbered(eligible, [scene, *order], "_global")
+    chosen = draws(spark, n, seed, total).join(listed, F.col("value") == F.col("_global"))
+    return numbered(chosen, ["_global", "draw"], "sample_idx").select("sample_idx", *eligible.columns)
 
 
 def holdout_positions(tasks: DataFrame, valid: str, seed: str, least: int) -> DataFrame:

@@ -82,16 +82,6 @@ def direct_spectrum(df: DataFrame, keys: list[str], t: str, value: str, modes: i
     return sums.select(*keys, "k", (F.col("k") / F.col("_w")).alias("freq"), (F.col("_re") ** 2 + F.col("_im") ** 2).alias("power"))
 
 
-def example_spectrum(df: DataFrame, keys: list[str], year: str, value: str, n: int = 480, low: float = 0.05, high: float = 6.0) -> DataFrame:
-    """V8: power / n at n frequencies in cycles a year, of values less their mean, relative to the largest of the pixel."""
-    mean = F.avg(value).over(Window.partitionBy(*keys))
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(year).alias("_t"), (F.col(value) - mean).alias("_y"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("cycles", low + F.col("i") * ((high - low) / (n - 1)))
-    angle = 2 * F.pi() * F.col("cycles") * F.col("_t")
-    sums = rows.groupBy(*keys, "i", "cycles").agg(((F.sum(F.col("_y") * F.cos(angle)) ** 2 + F.sum(F.col("_y") * F.sin(angle)) ** 2) / F.count(F.lit(1))).alias("power"))
-    return sums.withColumn("relative", F.col("power") / F.nullif(F.max("power").over(Window.partitionBy(*keys)), F.lit(0.0)))
-
-
 def snapped(spectrum: DataFrame, keys: list[str], target: float, f: str = "freq", power: str = "power") -> DataFrame:
     """M7: the bin within one spacing of target with the most power times sinc squared."""
     w = Window.partitionBy(*keys).orderBy(f)

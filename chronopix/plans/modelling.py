@@ -1,7 +1,9 @@
-"""Queries for metrics, sampling, estimators and evaluation. Iterative fits have no SQL; special cases of them do."""
+"""Queries for metrics, sampling, estimators and evaluation. Fits have settings for which SQL can unroll all their steps."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from ..operators import dataflow as D
 from ..operators import evaluation as E
 from ..operators import metrics as M
 from ..operators import models, sampling
-from .registry import daily, event_series, observations, query, readings, rounded, series, table
+from . import closed_forms as Q
+from .registry import BANDS, daily, event_series, observations, query, readings, rounded, series, table
 from .relational import DAILY, GAPS, INDEX_BANDS
 
 #: Prices reach 105 000 and quantities 50, so the lineitem bands are normalised by their own median and MAD.
@@ -77,7 +80,11 @@ def gap_curves(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.gap_curves(e, "gap_regular").drop("label"))
 
 
-@query("a10_index_errors", None)
+INDEX_SQL = {"ndvi": "(B8 - B4) / (B8 + B4)", "evi": "CASE WHEN abs(B8 + 6 * B4 - 7.5 * B2 + 1) > 1e-6 THEN 2.5 * (B8 - B4) / (B8 + 6 * B4 - 7.5 * B2 + 1) END", "ndwi": "(B3 - B8) / (B3 + B8)", "ndsi": "(B3 - B11) / (B3 + B11)", "ndmi": "(B8 - B11) / (B8 + B11)", "nbr": "(B8 - B12) / (B8 + B12)"}
+INDEX_ERRORS = " UNION ALL ".join(f"SELECT '{k}' AS index, p.v - t.v AS error FROM (SELECT i, {e} AS v FROM pb) p JOIN (SELECT i, {e} AS v FROM tb) t USING (i) WHERE p.v BETWEEN -1 AND 1 AND t.v BETWEEN -1 AND 1" for k, e in INDEX_SQL.items())
+
+
+@query("a10_index_errors", "WITH tb AS (SELECT row_number() OVER () AS i, " + ", ".join(f"({e}) / 10000 AS {k}" for k, e in INDEX_BANDS.items()) + f" FROM lineitem), pb AS (SELECT * REPLACE (B8 * 1.05 AS B8) FROM tb), e AS ({INDEX_ERRORS}) SELECT index, count(*) AS n, round(avg(error), 6) AS bias, round(avg(abs(error)), 6) AS mae, round(avg(error * error), 6) AS mse, round(sqrt(avg(error * error)), 6) AS rmse FROM e GROUP BY 1")
 def index_errors(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(*[F.expr(e).alias(k) for k, e in INDEX_BANDS.items()])
     return rounded(M.index_errors(li, {b: F.col(b) * (1.05 if b == "B8" else 1.0) for b in C.BANDS}, {b: F.col(b) for b in C.BANDS}, clamp=True))
@@ -160,10 +167,14 @@ def hants_one(spark: SparkSession, sf: str) -> DataFrame:
     return fit.select("l_suppkey", *[F.round(F.element_at("coeffs", i + 1), 5).alias(f"b{i}") for i in range(3)])
 
 
-@query("e7_hants", None)
+HANTS = HantsConfig(fet=23.0, sf="none")
+
+
+@query("e7_hants", Q.with_all([*Q.observed(["l_quantity", "l_discount"]), *Q.hants("h", "o", 2, 3, 23.0, 10), "e AS (SELECT p, max(t) AS target FROM o GROUP BY p)"], " UNION ALL ".join(f"SELECT p AS l_suppkey, {b} AS band, true AS valid, turns AS n_iterations, round({Q.hants_value(3, 'target')}, 5) AS pred FROM h{b} JOIN e USING (p)" for b in range(2))))
 def hants(spark: SparkSession, sf: str) -> DataFrame:
-    fit = models.fit_hants(series(spark, sf), ["l_suppkey"], HantsConfig(fet=20.0, sf="none"))
-    return rounded(fit.select("l_suppkey", "band", "valid", "n_iterations", "pred"), 4)
+    """Two harmonics with rejection, until nothing is beyond the tolerance; SQL unrolls ten passes."""
+    fit = models.fit_hants(series(spark, sf, ["l_quantity", "l_discount"]), ["l_suppkey"], HANTS)
+    return rounded(fit.select("l_suppkey", "band", "valid", "n_iterations", "pred"), 5)
 
 
 @query("e8_lasso_order", "SELECT user_id, event_type, CASE WHEN count(*) < 6 THEN 0 WHEN count(*) < 18 THEN 1 WHEN count(*) < 24 THEN 2 ELSE 3 END AS qa, CASE WHEN count(*) < 6 THEN round(median(value), 6) END AS fallback FROM events GROUP BY 1, 2")
@@ -172,49 +183,77 @@ def lasso_order(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fit.select("user_id", "event_type", "qa", F.when(F.col("qa") == 0, F.col("pred")).alias("fallback")))
 
 
-@query("e8_lasso", None)
+@query("e8_lasso", Q.with_all([*Q.observed(["l_quantity", "l_discount"]), *Q.least_squares("l", "o", 2), "e AS (SELECT p, max(t) AS target FROM o GROUP BY p)"], " UNION ALL ".join(f"SELECT p AS l_suppkey, {b} AS band, 3 AS qa, round(rmse{b}, 5) AS rmse, round({Q.least_squares_value(b, 'target')}, 5) AS pred FROM l JOIN e USING (p) WHERE n >= 24" for b in range(2))))
 def lasso(spark: SparkSession, sf: str) -> DataFrame:
-    fit = models.fit_lasso(series(spark, sf, ["l_quantity", "l_discount"]), ["l_suppkey"], LassoConfig())
-    return rounded(fit.select("l_suppkey", "band", "qa", "rmse", "pred", F.size("break_positions").alias("n_breaks")), 4)
+    """Without a penalty the coordinate descent ends at the least squares; series with a model of all three orders."""
+    fit = models.fit_lasso(series(spark, sf, ["l_quantity", "l_discount"]), ["l_suppkey"], LassoConfig(lasso_alpha=0.0))
+    return rounded(fit.filter("qa = 3").select("l_suppkey", "band", "qa", "rmse", "pred"), 5)
 
 
-@query("k3_vector_spectrum", None)
+@query("k3_vector_spectrum", Q.with_all([*Q.observed(BANDS), *Q._relative("r", "o"), "s AS (SELECT p, CAST(k AS INTEGER) AS k, any_value(span) AS span, " + " + ".join(f"pow(sum(y{b} * cos(2 * pi() * k * rel / span)), 2) + pow(sum(y{b} * sin(2 * pi() * k * rel / span)), 2)" for b in range(4)) + " AS power FROM r, generate_series(0, 31) g(k) WHERE span > 0 GROUP BY p, k)"], "SELECT p AS l_suppkey, k, round(k / span * 86400, 8) AS freq, round(power / max(power) OVER (PARTITION BY p), 8) AS relative, true AS gridded FROM s"))
 def vector_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(models.spectra(series(spark, sf), ["l_suppkey"], 64, "gridded"), 4)
+    """The direct spectrum, and whether the gridded one is within a ten-thousandth of its largest power."""
+    s = series(spark, sf)
+    direct = models.spectra(s, ["l_suppkey"], 64, "direct")
+    quick = models.spectra(s, ["l_suppkey"], 64, "gridded").select("l_suppkey", "k", F.col("power").alias("quick"))
+    top = F.max("power").over(Window.partitionBy("l_suppkey"))
+    both = direct.join(quick, ["l_suppkey", "k"])
+    return both.select("l_suppkey", "k", F.round("freq", 8).alias("freq"), F.round(F.col("power") / top, 8).alias("relative"), (F.abs(F.col("quick") - F.col("power")) <= 1e-4 * top).alias("gridded"))
+
+
+#: One wave, at the spectrum's bin nearest to a year: all else as in production, rounds of weights and shrinkage included.
+ONE = HarmonicConfig(normalization_mode="robust", modes=64, min_obs=12, frequency_selection="preferred", preferred_periods_days="365.25", spectrum="direct")
+THETA = [(i, b) for i in range(4) for b in range(4)]
 
 
-@query("e1_vector_fit", None)
+@query("e1_vector_fit", Q.with_all([*Q.observed(BANDS), *Q.vector_fit("m", "o", 4, ONE)], "SELECT p AS l_suppkey, n::INTEGER AS n_used, 1 AS n_freqs, round(f * 1e9, 5) AS nhz, " + ", ".join(f"round(c{i}_{b}{' * 1e8' if i == 1 else ''}, 6) AS theta_{i}_{b}" for i, b in THETA) + " FROM m"))
 def vector_fit(spark: SparkSession, sf: str) -> DataFrame:
-    fit = models.fit_vector(series(spark, sf), ["l_suppkey"], ROBUST)
-    return fit.select("l_suppkey", "valid", "n_used", F.size("freqs").alias("n_freqs"), F.transform("centers", lambda c: F.round(c, 4)).alias("centers"))
+    fit = models.fit_vector(series(spark, sf), ["l_suppkey"], ONE).filter("valid")
+    theta = [F.round(F.element_at(F.element_at("theta", i + 1), b + 1) * (1e8 if i == 1 else 1.0), 6).alias(f"theta_{i}_{b}") for i, b in THETA]
+    return fit.select("l_suppkey", "n_used", F.size("freqs").alias("n_freqs"), F.round(F.element_at("freqs", 1) * 1e9, 5).alias("nhz"), *theta)
 
 
 @query("e1_vector_centers", f"WITH {DAILY} SELECT l_suppkey, round(median(l_quantity), 4) AS c0, round(median(l_extendedprice), 4) AS c1, round(median(l_discount), 6) AS c2, count(*)::INTEGER AS n_used FROM daily GROUP BY 1 HAVING count(*) >= 12")
 def vector_centers(spark: SparkSession, sf: str) -> DataFrame:
+    """With all frequencies, as in production: centres and numbers of dates."""
     fit = models.fit_vector(series(spark, sf), ["l_suppkey"], ROBUST).filter("valid")
     return fit.select("l_suppkey", F.round(F.element_at("centers", 1), 4).alias("c0"), F.round(F.element_at("centers", 2), 4).alias("c1"), F.round(F.element_at("centers", 3), 6).alias("c2"), "n_used")
 
 
-@query("e2_vector_predict", None)
+#: Digits of the four bands' values.
+DIGITS = (4, 1, 6, 6)
+
+
+@query("e2_vector_predict", Q.with_all([*Q.observed(BANDS), *Q.vector_fit("m", "o", 4, ONE), "e AS (SELECT p, max(t) AS target FROM o GROUP BY p)"], "SELECT p AS l_suppkey, target, " + ", ".join(f"round({Q.vector_value(b, 'target')}, {d}) AS pred_{b}" for b, d in enumerate(DIGITS)) + " FROM m JOIN e USING (p)"))
 def vector_predict(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark, sf)
-    fit = models.fit_vector(s, ["l_suppkey", "target"], ROBUST)
-    return models.evaluate_vector(fit, ["l_suppkey"], "target").select("l_suppkey", "target", F.transform("pred", lambda p: F.round(p, 3)).alias("pred"))
+    """Stored models, evaluated by expressions."""
+    fit = models.fit_vector(series(spark, sf), ["l_suppkey", "target"], ONE)
+    pred = models.evaluate_vector(fit.filter("valid"), ["l_suppkey"], "target")
+    return pred.select("l_suppkey", "target", *[F.round(F.element_at("pred", b + 1), d).alias(f"pred_{b}") for b, d in enumerate(DIGITS)])
+
 
+SCALAR = ["e AS (SELECT p, max(t) AS target FROM o GROUP BY p)"]
 
-@query("e3_scalar_steps", None)
+
+@query("e3_scalar_steps", Q.with_all([*Q.observed(["l_quantity"]), *SCALAR, *Q.scalar_ridge("m", "o", 0.05, 64)], f"SELECT p AS l_suppkey, 0 AS band, round(10000 * {Q.scalar_value('target')}, 5) AS pred, 1 AS n_freqs FROM m JOIN e USING (p)"))
 def scalar_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(models.predict_scalar(series(spark, sf, ["l_quantity"]), ["l_suppkey"], HarmonicConfig(modes=32, frequency_selection="hybrid")), 4)
+    """Waves and steps in turn; with this weight of a step there is none, and the waves are a ridge's."""
+    c = replace(ONE, lambda_step=1e5)
+    return rounded(models.predict_scalar(series(spark, sf, ["l_quantity"]), ["l_suppkey"], c).filter("n_freqs > 0"), 5)
 
 
-@query("e4_scalar_fit", None)
+@query("e4_scalar_fit", Q.with_all([*Q.observed(["l_quantity"]), *SCALAR, *Q.scalar_ridge("m", "o", 0.05, 64, 4, 0.0008)], f"SELECT p AS l_suppkey, 0 AS band, true AS valid, 1 AS n_freqs, round(10000 * {Q.scalar_value('target')}, 5) AS pred FROM m JOIN e USING (p)"))
 def scalar_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(models.fit_scalar(series(spark, sf, ["l_quantity"]), ["l_suppkey"], HarmonicConfig(modes=64, frequency_selection="hybrid")), 4)
+    """Four rounds of Huber weights, without removal."""
+    c = replace(ONE, outlier_sigma=1e9, huber_iters=3, huber_delta=0.0008)
+    return rounded(models.fit_scalar(series(spark, sf, ["l_quantity"]), ["l_suppkey"], c).filter("valid"), 5)
 
 
-@query("e5_scalar_step_fit", None)
+@query("e5_scalar_step_fit", Q.with_all([*Q.observed(["l_quantity"]), *SCALAR, *Q.scalar_ridge("m", "o", 0.05, 64, divisor=1.0, period=365.25), f"u AS (SELECT p, avg(z0 - {Q.fitted(4, 0)}) AS u FROM m_w0 JOIN m_k0 USING (p) GROUP BY p)"], f"SELECT p AS l_suppkey, 0 AS band, true AS valid, round({Q.scalar_value('target')} - u * {Q.scalar_value('target', 1)}, 5) AS pred FROM m JOIN u USING (p) JOIN e USING (p)"))
 def scalar_step_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(models.fit_steps(series(spark, sf, ["l_quantity"]), ["l_suppkey"], [365.25, 182.625]), 4)
+    """One turn of steps and waves: the steps are a constant at this weight, the mean of what the first waves miss."""
+    c = replace(ONE, lambda_step=1e5, max_outer_iter=1)
+    return rounded(models.fit_steps(series(spark, sf, ["l_quantity"]), ["l_suppkey"], [365.25], c).filter("valid"), 5)
 
 
 @query("e11_reconstruct_mean", f"WITH {DAILY} SELECT l_suppkey, 0 AS band, round(avg(l_quantity), 6) AS pred FROM daily GROUP BY 1")
@@ -228,28 +267,56 @@ def holdout_truth(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("l_suppkey", "target", F.round("truth", 6).alias("truth"))
 
 
-@query("v2_evaluate_harmonic", None)
+ERRORS = "count(*) AS n, round(avg(error), 3) + 0.0 AS bias, round(avg(abs(error)), 3) AS mae, round(sqrt(avg(error * error)), 3) AS rmse"
+#: Errors of the four bands at comparable sizes.
+UNITS = (1, 1000, 0.01, 0.01)
+
+
+def _middle(bands: list[str]) -> list[str]:
+    return [*Q.observed(bands), *Q.held_out("h")]
+
+
+def _vector_errors(name: str, bands: int, units=UNITS) -> str:
+    return " UNION ALL ".join(f"SELECT p, {b} AS band, ({Q.vector_value(b, 't')} - y{b}) / {units[b]} AS error FROM {name} JOIN h_truth USING (p)" for b in range(bands))
+
+
+def _unit(e: DataFrame, units=UNITS) -> DataFrame:
+    return e.filter("status = 'evaluated'").withColumn("error", F.col("error") / F.element_at(F.array(*[F.lit(float(u)) for u in units]), F.col("band") + 1))
+
+
+@query("v2_evaluate_harmonic", Q.with_all([*_middle(BANDS), *Q.vector_fit("m", "h_train", 4, ONE), f"e AS ({_vector_errors('m', 4)})"], f"SELECT band, {ERRORS} FROM e GROUP BY ROLLUP (band)"))
 def evaluate_harmonic(spark: SparkSession, sf: str) -> DataFrame:
-    e = E.holdout_errors(series(spark, sf), ["l_suppkey"], "harmonic", ROBUST)
-    return rounded(M.error_metrics(e.filter("status = 'evaluated'"), ["band"]), 4)
+    e = _unit(E.holdout_errors(series(spark, sf), ["l_suppkey"], "harmonic", ONE))
+    return rounded(M.error_metrics(e, ["band"]).drop("mse"), 3).withColumn("bias", F.col("bias") + 0.0)
+
+
+TWO = ["l_quantity", "l_discount"]
+OTHERS = " UNION ALL ".join(
+    f"SELECT '{m}' AS method, p, {b} AS band, ({v} - y{b}) / {(1, 0.01)[b]} AS error FROM {src} JOIN h_truth USING (p)"
+    for b in range(2) for m, v, src in (("hants", Q.hants_value(3, "t"), f"a{b}"), ("zhu2015", Q.least_squares_value(b, "t"), "l"))
+)
 
 
-@query("v3_compare_methods", None)
+@query("v3_compare_methods", Q.with_all([*_middle(TWO), *Q.vector_fit("m", "h_train", 2, ONE), *Q.hants("a", "h_train", 2, 3, 23.0, 10), *Q.least_squares("l", "h_train", 2), f"e AS ({OTHERS} UNION ALL SELECT 'harmonic' AS method, * FROM ({_vector_errors('m', 2, (1, 0.01))}))"], f"SELECT method, band, {ERRORS} FROM e GROUP BY ALL"))
 def compare(spark: SparkSession, sf: str) -> DataFrame:
-    e = E.compare_methods(series(spark, sf, ["l_quantity", "l_discount"]), ["l_suppkey"], {"harmonic": ROBUST, "hants": HantsConfig(fet=20.0, sf="none"), "zhu2015": LassoConfig()})
-    return rounded(e.filter("status = 'evaluated'").groupBy("method", "band").agg(*M.error_aggregates("error")), 4)
+    """Series of 25 dates or more, which all three methods fit with all their terms."""
+    s = series(spark, sf, TWO).filter(F.size("t") >= 25)
+    e = _unit(E.compare_methods(s, ["l_suppkey"], {"harmonic": ONE, "hants": HANTS, "zhu2015": LassoConfig(lasso_alpha=0.0)}), (1, 0.01))
+    return rounded(e.groupBy("method", "band").agg(*M.error_aggregates("error")).drop("mse"), 3).withColumn("bias", F.col("bias") + 0.0)
 
 
-@query("v3_curves", None)
+@query("v3_curves", Q.with_all([*Q.observed(["l_quantity"]), *Q.hants("h", "o", 1, 3, 23.0, 10), "e AS (SELECT p, CAST(i AS INTEGER) AS i, a + (b - a) * i / 23 AS t FROM (SELECT p, min(t) AS a, max(t) AS b FROM o GROUP BY p), generate_series(0, 23) g(i))"], f"SELECT p AS l_suppkey, i, round(t, 5) AS t, round({Q.hants_value(3, 't')}, 5) AS pred FROM h0 JOIN e USING (p)"))
 def curves(spark: SparkSession, sf: str) -> DataFrame:
-    c = models.predict_curve(series(spark, sf, ["l_quantity"]), ["l_suppkey"], "hants", HantsConfig(fet=20.0, sf="none"), 24)
-    return rounded(c.select("l_suppkey", "i", "t", F.element_at("pred", 1).alias("pred")), 4)
+    c = models.predict_curve(series(spark, sf, ["l_quantity"]), ["l_suppkey"], "hants", HANTS, 24)
+    return rounded(c.select("l_suppkey", "i", "t", F.element_at("pred", 1).alias("pred")), 5)
 
 
-@query("v7_sweep", None)
+SWEEP = E.grid({"ridge_lam": [0.05, 2.0], "multiband_shrinkage": [0.0, 5.0]})
+
+
+@query("v7_sweep", Q.with_all([*_middle(TWO), *[x for i, c in enumerate(SWEEP) for x in Q.vector_fit(f"m{i}", "h_train", 2, replace(ONE, **c))], "e AS (" + " UNION ALL ".join(f"SELECT '{E.candidate_name(c)}' AS candidate, * FROM ({_vector_errors(f'm{i}', 2, (1, 1))})" for i, c in enumerate(SWEEP)) + ")"], "SELECT candidate, count(*) AS n, round(avg(error), 6) AS bias, round(avg(abs(error)), 6) AS mae, round(sqrt(avg(error * error)), 6) AS rmse FROM e GROUP BY 1"))
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark, sf, ["l_quantity", "l_discount"])
-    return rounded(E.sweep(s, ["l_suppkey"], E.grid({"ridge_lam": [0.05, 2.0], "modes": [16, 32]}), ROBUST), 4)
+    return rounded(E.sweep(series(spark, sf, TWO), ["l_suppkey"], SWEEP, ONE))
 
 
 @query("flow_full_scene", f"WITH {DAILY}, t AS (SELECT l_suppkey, max(l_shipdate) AS d FROM daily GROUP BY 1), p AS (SELECT a.l_suppkey, avg(a.l_quantity) AS pred FROM daily a JOIN t USING (l_suppkey) WHERE l_shipdate <> d GROUP BY 1) SELECT count(*) AS n, round(avg(pred - l_quantity), 5) AS bias, round(avg(abs(pred - l_quantity)), 5) AS mae, round(sqrt(avg(pow(pred - l_quantity, 2))), 5) AS rmse FROM p JOIN t USING (l_suppkey) JOIN daily ON daily.l_suppkey = p.l_suppkey AND l_shipdate = d")
@@ -269,6 +336,16 @@ def mean_median(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.groupBy("user_id").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median")))
 
 
+POWERS = [f"(pow(sum((y{b} - u{b}) / v{b} * cos(2 * pi() * c * t / 365.25)), 2) + pow(sum((y{b} - u{b}) / v{b} * sin(2 * pi() * c * t / 365.25)), 2)) / count(*)" for b in range(4)]
+
+
+@query("v8_example_spectrum", Q.with_all([*Q.observed(BANDS), f"m AS (SELECT p, {', '.join(f'median(y{b}) AS u{b}' for b in range(4))} FROM o GROUP BY p)", f"d AS (SELECT p, {', '.join(f'1.4826 * median(abs(y{b} - u{b})) AS v{b}' for b in range(4))} FROM o JOIN m USING (p) GROUP BY p)", f"s AS (SELECT p, {', '.join(f'u{b}, CASE WHEN v{b} >= 1e-6 THEN v{b} ELSE 1 END AS v{b}' for b in range(4))} FROM m JOIN d USING (p))", f"w AS (SELECT p, CAST(i AS INTEGER) AS i, {', '.join(f'{x} AS p{b}' for b, x in enumerate(POWERS))} FROM (SELECT *, 0.05 + i * (5.95 / 479) AS c FROM o JOIN s USING (p), generate_series(0, 479) g(i)) GROUP BY p, i)", "j AS (SELECT *, max(p0 + p1 + p2 + p3) OVER (PARTITION BY p) AS top FROM w)"], "SELECT p AS l_suppkey, i, round((p0 + p1 + p2 + p3) / top, 7) AS joint, " + ", ".join(f"round(p{b} / top, 7) AS band_{b}" for b in range(4)) + " FROM j"))
+def example_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectra of all pixels: 480 frequencies, robustly scaled bands, relative to the joint maximum."""
+    s = models.joint_spectra(series(spark, sf), ["l_suppkey"])
+    return s.select("l_suppkey", "i", F.round("joint", 7).alias("joint"), *[F.round(F.element_at("bands", b + 1), 7).alias(f"band_{b}") for b in range(4)])
+
+
 @query("a16_reflectance_sums", "WITH m AS (SELECT l_suppkey, avg(l_extendedprice) AS mu FROM lineitem GROUP BY 1), e AS (SELECT s_nationkey AS site, (l_extendedprice - mu) / 10000 AS e FROM lineitem JOIN m USING (l_suppkey) JOIN supplier ON s_suppkey = l_suppkey) SELECT site, count(*) AS n, round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM e GROUP BY 1")
 def reflectance_sums(spark: SparkSession, sf: str) -> DataFrame:
     o = observations(spark, sf).select("l_suppkey", "l_extendedprice")

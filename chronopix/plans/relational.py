@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import dataflow as D
 from ..operators import windows as W
+from ..operators.ranges import running_sum
 from .registry import BANDS, daily, day, observations, query, readings, rounded, seconds, table
 
 DAILY = """daily AS (SELECT l_suppkey, l_shipdate, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice,
@@ -46,7 +47,7 @@ def eligible_pixels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p7_closed_range", "SELECT event_type, count(*) AS n FROM events WHERE value BETWEEN 10 AND 100 GROUP BY 1")
 def closed_range(spark: SparkSession, sf: str) -> DataFrame:
-    return readings(spark, sf).filter(F.col("value").between(10, 100)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return readings(spark, sf).filter(C.in_range("value", 10, 100)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p8_subsample", "SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey % 8 = 0 AND l_partkey % 8 = 0 GROUP BY 1, 2")
@@ -64,14 +65,13 @@ def window_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("p10_index_range", "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE (l_quantity - 25) / 20 BETWEEN -1 AND 1 GROUP BY 1")
 def index_range(spark: SparkSession, sf: str) -> DataFrame:
     x = (F.col("l_quantity") - 25) / 20
-    return observations(spark, sf).withColumn("x", F.when(x.between(-1, 1), x)).filter("x IS NOT NULL").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return observations(spark, sf).withColumn("x", C.within(x, -1, 1)).filter("x IS NOT NULL").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j1_shared_times", "WITH d AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events) SELECT user_id, day, count(*) AS n FROM d WHERE (user_id, day) IN (SELECT (user_id, day) FROM d GROUP BY user_id, day HAVING count(DISTINCT event_type) >= 2) GROUP BY 1, 2")
 def shared_times(spark: SparkSession, sf: str) -> DataFrame:
     e = readings(spark, sf).select("user_id", "event_type", F.to_date("ts").alias("day"))
-    keep = e.groupBy("user_id", "day").agg(F.count_distinct("event_type").alias("k")).filter("k >= 2")
-    return e.join(keep, ["user_id", "day"], "left_semi").groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    return D.align(e, "day", "event_type", 2, ("user_id",)).groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("u1_times_of_all_bands", "WITH d AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events) SELECT day FROM d GROUP BY day HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events)")
@@ -148,14 +148,13 @@ def pivot_bands(spark: SparkSession, sf: str) -> DataFrame:
 def union_chunks(spark: SparkSession, sf: str) -> DataFrame:
     o = observations(spark, sf)
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    return o.filter(F.col("l_shipdate") < cut).unionByName(o.filter(F.col("l_shipdate") >= cut)).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return D.merge_chunks([o.filter(F.col("l_shipdate") < cut), o.filter(F.col("l_shipdate") >= cut)]).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j3_sites_missing", "SELECT s_suppkey, s_name, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5 AND l_discount > 0.095) AS found FROM supplier")
 def sites(spark: SparkSession, sf: str) -> DataFrame:
-    have = observations(spark, sf).filter("l_quantity > 49.5 AND l_discount > 0.095").select(F.col("l_suppkey").alias("k")).distinct()
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    return s.join(have, s["s_suppkey"] == have["k"], "left").select("s_suppkey", "s_name", F.col("k").isNotNull().alias("found"))
+    have = observations(spark, sf).filter("l_quantity > 49.5 AND l_discount > 0.095").select(F.col("l_suppkey").alias("s_suppkey"))
+    return D.found_or_missing(table(spark, sf, "supplier").select("s_suppkey", "s_name"), have, "s_suppkey")
 
 
 @query("j6_scene_dimension", "SELECT r_name, n_name, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -173,11 +172,8 @@ def as_of(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j8_prefix_lookup", "WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT l_suppkey, sum(n) OVER (ORDER BY l_suppkey) - n AS lo, sum(n) OVER (ORDER BY l_suppkey) AS hi FROM c), q AS (SELECT o_orderkey AS draw, o_orderkey % (SELECT sum(n) FROM c) AS v FROM orders) SELECT draw, l_suppkey, CAST(v - lo AS BIGINT) AS inside FROM q JOIN p ON v >= lo AND v < hi")
 def prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     c = observations(spark, sf).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(Window.orderBy("l_suppkey"))
-    p = c.select("l_suppkey", (running - F.col("n")).alias("lo"), running.alias("hi"))
+    p = running_sum(c, ["l_suppkey"], "n", "lo").select("l_suppkey", "lo", (F.col("lo") + F.col("n")).alias("hi"))
     total = c.agg(F.sum("n").alias("total"))
     q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw")).join(F.broadcast(total)).withColumn("v", F.col("draw") % F.col("total"))
     return D.interval_lookup(q, "v", p, "lo", "hi").select("draw", "l_suppkey", (F.col("v") - F.col("lo")).cast("long").alias("inside"))
@@ -237,11 +233,8 @@ def temporal_rmse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("n7_carry_forward", "WITH e AS (SELECT user_id, event_id, ts, CASE WHEN value > 5 AND value < 60 THEN value END AS v FROM events) SELECT user_id, event_id, round(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS v FROM e")
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = D.mask_values(table(spark, sf, "events"), "value", 5, 60)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(e.select("user_id", "event_id", F.last("value", ignorenulls=True).over(w).alias("v")))
+    return rounded(D.carried_forward(e, ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id", F.col("value_carried").alias("v")))
 
 
 SPECTRUM = """x AS (SELECT user_id, epoch(ts) / 86400 AS t, value FROM events),
@@ -274,22 +267,11 @@ def snap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(W.snapped(_spectrum(spark, sf), ["user_id"], 0.1415))
 
 
-@query("v8_example_spectrum", """WITH x AS (SELECT l_suppkey, epoch(l_shipdate) / 86400 / 365.25 AS t, l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey) AS y FROM lineitem WHERE l_suppkey <= 10),
-p AS (SELECT l_suppkey, i, (pow(sum(y * cos(2 * pi() * c * t)), 2) + pow(sum(y * sin(2 * pi() * c * t)), 2)) / count(*) AS power FROM (SELECT *, 0.05 + i * (5.95 / 23) AS c FROM x, generate_series(0, 23) g(i)) GROUP BY 1, 2)
-SELECT l_suppkey, CAST(i AS INTEGER) AS i, round(power / max(power) OVER (PARTITION BY l_suppkey), 5) AS relative FROM p""")
-def example_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    """The figure's spectrum for ten example pixels."""
-    o = observations(spark, sf).filter("l_suppkey <= 10").withColumn("year", seconds("l_shipdate") / 86400 / 365.25)
-    return W.example_spectrum(o, ["l_suppkey"], "year", "l_quantity", 24).select("l_suppkey", "i", F.round("relative", 5).alias("relative"))
-
-
 @query("f1_timestamp_text", "SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y%m%dT%H%M%S') AS stamp, epoch(l_shipdate) AS epoch FROM lineitem")
 def timestamp_text(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("S2_"), F.date_format("l_shipdate", "yyyyMMdd'T'HHmmss"), F.lit("_T48RVV_B2"))
     li = table(spark, sf, "lineitem").withColumn("stamp", C.stamp(text))
-    year, month, dom = F.substring("stamp", 1, 4), F.substring("stamp", 5, 2), F.substring("stamp", 7, 2)
-    days = F.datediff(F.concat_ws("-", year, month, dom).cast("date"), F.lit("1970-01-01").cast("date"))
-    return li.select("l_orderkey", "l_linenumber", "stamp", (days * 86400.0).alias("epoch"))
+    return li.select("l_orderkey", "l_linenumber", "stamp", C.epoch_seconds("stamp").alias("epoch"))
 
 
 @query("f4_safe_component", "SELECT p_partkey, regexp_replace(p_brand || '#' || p_type, '[^A-Za-z0-9_-]', '_', 'g') AS safe FROM part")
@@ -333,10 +315,71 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d3_relative_days", "SELECT user_id, event_id, round((epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id)) / 86400, 9) AS days FROM events")
 def relative_days(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
+    e = table(spark, sf, "events").withColumn("t", seconds("ts"))
+    return rounded(D.relative_days(e, ["user_id"], "t").select("user_id", "event_id", "days"), 9)
+
+
+@query("d4_text_days", "SELECT o_orderkey, o_custkey, epoch(o_orderdate) AS epoch, round((epoch(o_orderdate) - min(epoch(o_orderdate)) OVER (PARTITION BY o_custkey)) / 86400, 9) AS days FROM orders")
+def text_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Times as texts in three formats, all or none of which must be readable."""
+    formats = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss"))
+    text = formats.otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", C.epoch_seconds_or_raise(text).alias("epoch"))
+    return rounded(D.relative_days(o, ["o_custkey"], "epoch"), 9)
 
+
+@query("d8_time_axis", "WITH t AS (SELECT user_id, max(epoch(ts)) AS target, min(epoch(ts)) AS a FROM events GROUP BY 1) SELECT e.user_id, event_id, round((epoch(ts) - a) / 86400, 9) AS day, round((target - a) / 86400, 9) AS target_day FROM events e JOIN t USING (user_id) WHERE epoch(ts) <> target")
+def axis(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("t", seconds("ts"))
-    return rounded(e.select("user_id", "event_id", ((F.col("t") - F.min("t").over(Window.partitionBy("user_id"))) / 86400.0).alias("days")), 9)
+    last = e.groupBy("user_id").agg(F.max("t").alias("target"))
+    masked = e.join(last, "user_id").filter("t <> target")
+    return rounded(D.time_axis(masked, ["user_id"], "t", "target").select("user_id", "event_id", "day", "target_day"), 9)
+
+
+@query("j4_scored_scenes", "WITH s AS (SELECT l_suppkey AS p, max(l_discount * 10) AS score FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1) SELECT s_suppkey, CASE WHEN score > 0.99 THEN s_acctbal END AS value FROM supplier JOIN s ON s_suppkey = p")
+def scored_scenes(spark: SparkSession, sf: str) -> DataFrame:
+    scores = table(spark, sf, "lineitem").filter("l_suppkey % 3 <> 0").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_discount") * 10).alias("score"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("value"))
+    return D.scored(s, scores, "s_suppkey", "score", "value", 0.99)
+
+
+@query("f13_texts", "SELECT p_partkey, CASE WHEN n >= 1073741824 THEN printf('%.2f GiB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.2f KiB', n / 1024.0) ELSE n || ' B' END AS size, CASE WHEN s < 0 THEN 'unknown' WHEN s >= 3600 THEN printf('%.2f h', s / 3600) WHEN s >= 60 THEN printf('%.1f min', s / 60) ELSE printf('%.1f s', s) END AS duration FROM (SELECT p_partkey, CAST(1 << (p_partkey % 33) AS BIGINT) AS n, CAST((p_size - 5) * (p_size - 5) * (p_size - 5) / 8.0 AS DOUBLE) AS s FROM part)")
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_size") - 5
+    p = table(spark, sf, "part").select("p_partkey", F.expr("shiftleft(1L, cast(p_partkey % 33 as int))").alias("n"), (k * k * k / 8.0).cast("double").alias("s"))
+    return p.select("p_partkey", C.size_text("n").alias("size"), C.duration_text("s").alias("duration"))
+
+
+@query("x10_band_positions", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 5 WHEN p_size % 7 >= 4 THEN 4 END AS position FROM part")
+def band_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The near-infrared band: named fifth in some rasters, in others the fourth of as many bands as there are."""
+    names = F.when(F.col("p_size") % 3 == 0, F.array(*[F.lit(x) for x in ("a", "b", "c", "d", "B8")])).otherwise(F.array(F.lit(""), F.lit("x")))
+    return table(spark, sf, "part").select("p_partkey", C.band_position(names, F.col("p_size") % 7, "B8").alias("position"))
+
+
+@query("u2_joined_frequencies", "SELECT p_partkey, CASE WHEN b - a <= 0.15 * a THEN [round((a + b) / 2, 9)] ELSE [round(a, 9), round(b, 9)] END AS freqs FROM (SELECT p_partkey, least(x, 20.0::DOUBLE) AS a, greatest(x, 20.0::DOUBLE) AS b FROM (SELECT p_partkey, p_size + 0.3::DOUBLE AS x FROM part))")
+def joined_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size") + 0.3).alias("own"))
+    joined = C.joined_frequencies(F.array(F.lit(20.0)), "own", 0.15)
+    return p.select("p_partkey", F.transform(joined, lambda x: F.round(x, 9)).alias("freqs"))
+
+
+@query("m9_high_tier", "SELECT p_partkey, 1 / (1 / (p_size * 86400.0::DOUBLE) * 86400.0) < 30 AS high FROM part")
+def high_tier(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", C.is_high_tier(1 / (F.col("p_size") * 86400.0), 30).alias("high"))
+
+
+@query("f6_stack_paths", "SELECT s_suppkey, 'out/' || printf('lon%.6f_lat%.6f', s_suppkey % 360 - 180 + 0.5, s_nationkey * 2.0) || '/[harmonic]_2020-01-02T03-04-05_prediction.tif' AS path FROM supplier")
+def stack_paths(spark: SparkSession, sf: str) -> DataFrame:
+    lon, lat = F.col("s_suppkey") % 360 - 180 + F.lit(0.5), F.col("s_nationkey") * F.lit(2.0)
+    return table(spark, sf, "supplier").select("s_suppkey", C.stack_path("out/", F.lit("harmonic"), lon, lat, F.lit("2020-01-02T03:04:05")).alias("path"))
+
+
+@query("s7_band_stacks", "SELECT 'B' || (s_suppkey % 12 + 1) AS band, count(*) AS n, min('x/COPERNICUS_S2_HARMONIZED_B' || (s_suppkey % 12 + 1) || '_lon1.5_lat' || s_suppkey || '.tif') AS first FROM supplier GROUP BY 1")
+def stacks(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.format_string("x/COPERNICUS_S2_HARMONIZED_B%d_lon1.5_lat%d.tif", F.col("s_suppkey") % 12 + 1, F.col("s_suppkey"))
+    found = D.band_stacks(table(spark, sf, "supplier").select(name.alias("path")), "path")
+    return found.select("band", F.size("paths").cast("long").alias("n"), F.element_at("paths", 1).alias("first"))
 
 
 @query("d11_fractional_year", "SELECT o_orderkey, round(year(o_orderdate) + (epoch(o_orderdate) - epoch(date_trunc('year', o_orderdate))) / (epoch(date_trunc('year', o_orderdate) + INTERVAL 1 YEAR) - epoch(date_trunc('year', o_orderdate))), 9) AS year FROM orders")
@@ -395,4 +438,5 @@ def dense_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d10_synthetic_times", "SELECT s_suppkey, CAST(i AS INTEGER) AS i FROM supplier, generate_series(0, 9) g(i)")
 def synthetic_times(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    days = table(spark, sf, "supplier").select("s_suppkey", F.explode(C.synthetic_days(F.lit(10))).alias("i"))
+    return days.withColumn("i", F.col("i").cast("int"))
