@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROWS, batch_rows, lookup, row_key, save, small, utf8, without
-from .shingles import binary_column, slices
+from .shingles import BATCH_BYTES, binary_column, slices
 
 GRAM_BITS, BLOCK = 16, 64
 EVIDENCE, SMOOTHING = 200.0, 20.0
@@ -78,6 +78,24 @@ def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams, weight, letters
 
 
+def text_grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, gram, count) of the distinct trigrams of each text, and the texts' letters; a long text is counted in pieces."""
+    rows = len(bounds) - 1
+    if rows == 1 and bounds[1] - bounds[0] > 2 * BATCH_BYTES:
+        counts, letters = np.zeros(1 << GRAM_BITS, dtype=np.int64), 0
+        for at in range(int(bounds[0]), int(bounds[1]), BATCH_BYTES):
+            end = min(at + BATCH_BYTES, int(bounds[1]))
+            grams, weight, _ = trigrams(data, np.array([at, min(end + 2, int(bounds[1]))]))
+            counts += np.bincount(grams[weight], minlength=len(counts))
+            letters += int(_LETTER[data[at:end]].sum())
+        gram = np.flatnonzero(counts)
+        return np.zeros(len(gram), dtype=np.int64), gram, counts[gram], np.array([letters])
+    grams, weight, letters = trigrams(data, bounds)
+    of = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(bounds))
+    keys, many = np.unique(of[weight] << np.uint64(GRAM_BITS) | grams[weight].astype(np.uint64), return_counts=True)
+    return (keys >> np.uint64(GRAM_BITS)).astype(np.int64), (keys & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int64), many, letters
+
+
 def page_evidence(pages: DataFrame) -> DataFrame:
     """doc_id, text, declared, host of web pages: the html element's lang, the url's host, and the text without markup."""
     html = F.coalesce("html", F.lit(""))
@@ -98,9 +116,8 @@ def gram_counts(source: DataFrame, languages: list[str]) -> np.ndarray:
             which = np.array([languages.index(x) for x in batch.column(0).to_pylist()], dtype=np.int64)
             data, bounds = binary_column(batch.column(1))
             for i, j in slices(bounds):
-                grams, weight, _ = trigrams(data, bounds[i : j + 1])
-                of = np.repeat(which[i:j], np.diff(bounds[i : j + 1]))
-                counts += np.bincount((of << GRAM_BITS | grams)[weight], minlength=counts.size).reshape(counts.shape)
+                row, gram, many, _ = text_grams(data, bounds[i : j + 1])
+                np.add.at(counts, (which[i:j][row], gram), many)
         rows = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(counts) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["k", "counts"])
 
@@ -142,12 +159,10 @@ def absolute_limits(log: np.ndarray, fitted: dict[int, tuple[float, float]]) ->
     return least, spread
 
 
-def text_likelihoods(grams: np.ndarray, weight: np.ndarray, of: np.ndarray, rows: int, counts: np.ndarray, log: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-likelihoods (row, language), trigrams of each row): of says which row a byte belongs to, own the language that the row
-    is counted under in the tables, or -1; there the row's own trigrams are taken out first, unless the language has no others."""
+def text_likelihoods(row: np.ndarray, gram: np.ndarray, many: np.ndarray, rows: int, counts: np.ndarray, log: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihoods (row, language), trigrams of each row) from text_grams(): own is the language that the row is counted under
+    in the tables, or -1; there the row's own trigrams are taken out first, unless the language has no others."""
     totals = counts.sum(1)
-    keys, many = np.unique(of[weight].astype(np.uint64) << np.uint64(GRAM_BITS) | grams[weight].astype(np.uint64), return_counts=True)
-    row, gram = (keys >> np.uint64(GRAM_BITS)).astype(np.int64), (keys & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int64)
     size = np.bincount(row, many, minlength=rows)
     ll = np.column_stack([np.bincount(row, many * t[gram], minlength=rows).astype(np.float64) for t in log])
     own = np.where((own >= 0) & (totals[own] > size), own, -1) if len(totals) else own
@@ -173,9 +188,8 @@ def _likelihoods(source: DataFrame, languages: list[str], tables) -> DataFrame:
             declared = batch.column(batch.schema.names.index("declared")).to_pylist()
             which = np.array([languages.index(x) if x in languages else -1 for x in declared], dtype=np.int64)
             for i, j in slices(bounds):
-                grams, weight, letters = trigrams(data, bounds[i : j + 1])
-                of = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
-                ll, many = text_likelihoods(grams, weight, of, j - i, counts, log, which[i:j])
+                *found, letters = text_grams(data, bounds[i : j + 1])
+                ll, many = text_likelihoods(*found, j - i, counts, log, which[i:j])
                 ll *= (np.minimum(EVIDENCE, many) / np.maximum(many, 1))[:, None]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in rest), pa.array(letters), pa.array(many.astype(np.int64)), pa.array(list(ll), pa.list_(pa.float64()))], names=names)
 

@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_EMPTY = np.empty(0, dtype=np.uint8)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _FACTORS = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,7 +35,8 @@ def _power_table(base: int, n: int) -> np.ndarray:
             m = min(k, size - k)
             have[k : k + m] = have[:m] * np.uint64(pow(base, k, 2**64))
             k += m
-        _powers[base] = have
+        if size <= 4 * BATCH_BYTES:  # what a long word needs is not kept
+            _powers[base] = have
     return have[:n]
 
 
@@ -46,6 +48,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts data[bounds[i]:bounds[i+1]], and where each text's words begin (len(bounds))."""
+    if len(bounds) == 2 and bounds[1] - bounds[0] > 2 * BATCH_BYTES:
+        return _long_word_hashes(data[int(bounds[0]) : int(bounds[1])])
     base = int(bounds[0])
     buf = data[base : int(bounds[-1])]
     at = bounds - base
@@ -70,6 +74,26 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(a, at)
 
 
+def _long_word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of one long text, in pieces that end at the last space of each BATCH_BYTES or, in a longer word, at its end."""
+    parts, at = [], 0
+    while at < len(text):
+        end = min(at + BATCH_BYTES, len(text))
+        if end < len(text):
+            spaces = np.flatnonzero(_SPACE[text[at:end]])
+            if len(spaces):
+                end = at + int(spaces[-1]) + 1
+            while end < len(text) and not _SPACE[text[end - 1]]:
+                more = np.flatnonzero(_SPACE[text[end : end + BATCH_BYTES]])
+                end = end + int(more[0]) + 1 if len(more) else min(end + BATCH_BYTES, len(text))
+        piece = text[at:end]
+        # a piece of one long word is longer than what is cut again
+        parts.append(word_hashes(np.concatenate((piece, _EMPTY)), np.array([0, len(piece), len(piece)]))[0])
+        at = end
+    hashes = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
+    return hashes, np.array([0, len(hashes)])
+
+
 def shingle_sets(words: np.ndarray, at: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes. Fewer than `size` words make one shingle, none an empty set."""
     rolled = np.empty(0, dtype=np.uint64)

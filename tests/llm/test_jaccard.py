@@ -123,3 +123,18 @@ def test_components_in_one_task_and_in_rounds(spark, small):
     got = components(spark.createDataFrame(edges, "a long, b long"), small).collect()
     assert sorted((r.node, r.root) for r in got) == sorted((x, find(x)) for x in up)
     assert components(spark.createDataFrame(edges, "a long, b long").limit(0), small).collect() == []
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text that is cut has the words and trigrams of one that is not, also where a word is longer than a piece."""
+    from chronopix.llm import language
+
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcÄ") for _ in range(rng.choice([1, 4, 9, 700]))) for _ in range(300)).encode()
+    data, bounds = np.frombuffer(b"xx" + text, dtype=np.uint8), np.array([2, 2 + len(text)])
+    whole, grams = shingles.word_hashes(data, bounds), language.text_grams(data, bounds)
+    for size in (64, 500):
+        monkeypatch.setattr(shingles, "BATCH_BYTES", size)
+        monkeypatch.setattr(language, "BATCH_BYTES", size)
+        assert all((a == b).all() for a, b in zip(whole, shingles.word_hashes(data, bounds), strict=True))
+        assert all((a == b).all() for a, b in zip(grams, language.text_grams(data, bounds), strict=True))
