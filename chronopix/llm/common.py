@@ -159,7 +159,7 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str, salts:
 
 
 def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
-    """Connected components of edges (a, b): (node, root), root the smallest node; nodes without edges are absent.
+    """Connected components of edges (a, b), numbers or binaries: (node, root), root the smallest node; nodes without edges are absent.
 
     Alternates the large-star and small-star steps until the edges form stars; every round is written to the shared folder,
     and only its number of edges and a checksum come to the driver. Once there are `small` edges or fewer, one task joins
@@ -191,9 +191,8 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends = [b[["a", "b"]].to_numpy(dtype=np.int64) for b in batches]
-        pairs = np.concatenate(ends) if ends else np.empty((0, 2), dtype=np.int64)
-        nodes, at = np.unique(pairs, return_inverse=True)
+        ends = [b[["a", "b"]].to_numpy() for b in batches]
+        nodes, at = np.unique(np.concatenate(ends).ravel() if ends else np.empty(0, dtype=object), return_inverse=True)
         up = list(range(len(nodes)))
 
         def find(x: int) -> int:
@@ -208,7 +207,8 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
                 up[max(a, b)] = min(a, b)
         yield pd.DataFrame({"node": nodes, "root": nodes[np.array([find(i) for i in range(len(nodes))], dtype=np.int64)]})
 
-    return edges.coalesce(1).mapInPandas(run, "node long, root long")
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.coalesce(1).mapInPandas(run, f"node {kind}, root {kind}")
 
 
 def marked(df: DataFrame, wanted: DataFrame, key: Column, bits: int = 22, others: bool = False) -> DataFrame:

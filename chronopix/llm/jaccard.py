@@ -15,15 +15,18 @@ document's component. The steps:
    of set sizes, and the largest excess of a set over its bits; a node pair is left out when its largest possible overlap,
    common bits + the smaller excess, is below the least overlap that sets of such sizes need. Pairs of leaves that are left
    are candidates; of these a spanning forest goes on, and its components (clusters) are a superset of the result's.
-4. `verified`: the sets of a cluster meet in one task, or, in clusters of over CLUSTER classes, in blocks: first each
-   block with itself and with block 0, then what is outside the cluster's largest component with all blocks. The tree
-   proposes pairs not connected yet, and the sets decide exactly.
+4. `verified`: the sets of a cluster meet in one task, or, in clusters of over CLUSTER classes, in blocks: each block with
+   itself and with block 0. The tree proposes pairs not connected yet, and the sets decide exactly. What is then outside the
+   cluster's largest component is checked by pairs (`linked_pairs`): those that share a run, and in runs of over BIG also a
+   second prefix shingle, as far as the trees leave them, so unlike classes that have one shingle in common cost no pairs.
 5. Components of the verified links, as min-label stars in joins; each document gets its component's smallest doc_id.
 
 Defined cases: null and empty texts and texts without words have no shingles, no links and themselves as component;
 rows that repeat a doc_id are taken one by one; null doc_ids count for links but are never the smallest unless alone; an
-empty table gives an empty result; other columns are not read. Hashes have 64 bits: two different shingles of a document
-or two different sets share one with a probability of about n^2 / 2^65.
+empty table gives an empty result; other columns are not read. Sets are told apart by 128 bits; shingles have 64-bit hashes,
+so two shingles of two documents are taken as equal with a probability of 2^-64 a pair.
+
+similar_pairs() gives all links between classes and link_counts() their numbers, with the same steps.
 """
 
 from __future__ import annotations
@@ -32,21 +35,24 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, marked, row_key, save, utf8, without
-from .shingles import WORDS, binary_column, shingle_sets, slices, word_hashes
+from .common import components, lookup, marked, row_key, save, small, spread_lookup, utf8, without
+from .shingles import WORDS, binary_column, mix, shingle_sets, slices, word_hashes
 
 SKETCH, CHUNKS = 22, 64
 BIG, CLUSTER, BLOCK = 1024, 512, 256
 BUCKET = 300_000
 HOT = 1 << 20
-ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-SET_SCHEMA = "doc_id long, row_key string, sig long, n long, bits binary, chunk int"
+ENTRY = np.dtype([("key", "<u8"), ("sig", "V16"), ("n", "<u4"), ("pos", "<u4")])
+HALVES = np.dtype([("key", "<u8"), ("high", "<u8"), ("low", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+SET_SCHEMA = "doc_id long, row_key string, sig binary, n long, bits binary, chunk int"
+
 
 def least_overlap(a, b):
     """Smallest overlap with 100 * overlap >= 80 * union for sets of sizes a and b: ceil(4 (a + b) / 9)."""
@@ -61,18 +67,18 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(on).tobytes()
 
 
-def signature(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def signature(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 class Seen:
     """Signatures met in a task; beyond the limit repeated sets only travel more than once."""
 
-    def __init__(self, limit: int = 1_000_000):
-        self.met: set[int] = set()
+    def __init__(self, limit: int = 500_000):
+        self.met: set[bytes] = set()
         self.limit = limit
 
-    def new(self, k: int) -> bool:
+    def new(self, k: bytes) -> bool:
         if k in self.met:
             return False
         if len(self.met) < self.limit:
@@ -94,7 +100,7 @@ def sets(source: DataFrame, words: int = WORDS) -> DataFrame:
     import pyarrow as pa
 
     def run(batches) -> Iterator:
-        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("sig", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32())])
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("sig", pa.binary()), ("n", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32())])
         seen = Seen()
         counts = np.zeros(1 << SKETCH, dtype=np.uint32)
         held: list[np.ndarray] = []
@@ -113,14 +119,14 @@ def sets(source: DataFrame, words: int = WORDS) -> DataFrame:
                     held.clear()
                     size = 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sig, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(bits, pa.binary()), pa.nulls(j - i, pa.int32())], schema=schema
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sig, pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array(bits, pa.binary()), pa.nulls(j - i, pa.int32())], schema=schema
                 )
         if size:
             np.add.at(counts, np.concatenate(held), np.uint32(1))
         if counts.any():
             parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(CHUNKS, pa.string()), none, none, pa.array(parts, pa.binary()), pa.array(range(CHUNKS), pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(CHUNKS, pa.string()), pa.nulls(CHUNKS, pa.binary()), none, pa.array(parts, pa.binary()), pa.array(range(CHUNKS), pa.int32())], schema=schema)
 
     return source.mapInArrow(run, SET_SCHEMA)
 
@@ -145,6 +151,16 @@ def sketch_classes(table: DataFrame) -> tuple[np.ndarray, int]:
     return np.maximum(logs, usual) - np.uint8(usual), usual
 
 
+def prefix_length(n: int) -> int:
+    """How many of a set's first shingles must hold one of those that it shares with any set linked to it."""
+    return n + (-8 * n // 10) + 1
+
+
+def ordered_keys(t: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The shingles of a set as keys whose order puts those of larger sketch counts later."""
+    return (logs[(t & np.uint64((1 << SKETCH) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (t >> np.uint64(6))
+
+
 def _prefix_entries(source: DataFrame, order, buckets: int, words: int) -> DataFrame:
     """(bucket, entries): blobs of ENTRY, the prefix shingles of each set."""
     import pyarrow as pa
@@ -162,7 +178,7 @@ def _prefix_entries(source: DataFrame, order, buckets: int, words: int) -> DataF
             held.clear()
             # a shingle that may stand in over HOT classes is dealt over several buckets by class
             salts = np.maximum(1, (np.uint64(1) << np.minimum((e["key"] >> np.uint64(58)) + np.uint64(usual), np.uint64(60))) // np.uint64(HOT))
-            h = (e["key"] * spread) ^ (((e["sig"].astype(np.uint64) * spread) >> np.uint64(20)) % salts) * spread
+            h = (e["key"] * spread) ^ ((e.view(HALVES)["low"] >> np.uint64(20)) % salts) * spread
             bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             e, bucket = e[by], bucket[by]
@@ -176,11 +192,11 @@ def _prefix_entries(source: DataFrame, order, buckets: int, words: int) -> DataF
                     n = len(t)
                     if not n or not seen.new(sig := signature(t.tobytes())):
                         continue
-                    keys = (logs[(t & np.uint64((1 << SKETCH) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (t >> np.uint64(6))
-                    p = n + (-8 * n // 10) + 1
+                    keys = ordered_keys(t, logs)
+                    p = prefix_length(n)
                     e = np.empty(p, dtype=ENTRY)
                     e["key"] = np.sort(np.partition(keys, p - 1)[:p]) if p < n else np.sort(keys)
-                    e["sig"], e["n"], e["pos"] = sig, n, np.arange(p)
+                    e["sig"], e["n"], e["pos"] = np.void(sig), n, np.arange(p)
                     held.append(e)
                     size += p
                 if size > 300_000:
@@ -193,7 +209,8 @@ def _prefix_entries(source: DataFrame, order, buckets: int, words: int) -> DataF
 
 
 def _runs(entries: DataFrame, buckets: int, usual: int) -> DataFrame:
-    """(run, key, sigs): classes that share a prefix shingle; key only where others of the shingle are in other buckets."""
+    """(run, key, x, sigs): classes that share a prefix shingle x; key only where others of the shingle are in other buckets, x only
+    there and in runs of more than BIG."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blobs: dict[int, list[bytes]] = {}
@@ -201,10 +218,10 @@ def _runs(entries: DataFrame, buckets: int, usual: int) -> DataFrame:
             for k, e in zip(b["bucket"], b["entries"], strict=True):
                 blobs.setdefault(k, []).append(e)
         for k in list(blobs):
-            e = np.frombuffer(b"".join(blobs.pop(k)), dtype=ENTRY)
-            e = e[np.lexsort((e["sig"], e["key"]))]
+            e = np.frombuffer(b"".join(blobs.pop(k)), dtype=HALVES)
+            e = e[np.lexsort((e["low"], e["high"], e["key"]))]
             fresh = np.ones(len(e), dtype=bool)
-            fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["sig"][1:] != e["sig"][:-1])
+            fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["high"][1:] != e["high"][:-1]) | (e["low"][1:] != e["low"][:-1])
             e = e[fresh]
             starts = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
             ends = np.append(starts[1:], len(e))
@@ -216,7 +233,7 @@ def _runs(entries: DataFrame, buckets: int, usual: int) -> DataFrame:
             apart = np.minimum(rest[i], rest[i + 1]) < least_overlap(n[i], n[i + 1])
             take = (many > 1) | hot
             take[two[apart]] = False
-            out: dict[int, tuple] = {}
+            out: dict[bytes, tuple] = {}
             for s, t, h in zip(starts[take], ends[take], hot[take], strict=True):
                 m = e[s:t]
                 if not h and 2 < len(m) <= BIG:
@@ -226,16 +243,21 @@ def _runs(entries: DataFrame, buckets: int, usual: int) -> DataFrame:
                     m = m[fits.any(1)]
                     if not len(m):
                         continue
-                sigs = m["sig"]
-                name = int.from_bytes(hashlib.blake2b(sigs.tobytes(), digest_size=8).digest(), "little", signed=True)
-                out[name] = (name, int(e["key"][s] >> np.uint64(1)) if h else None, sigs.tolist())
+                raw = m.view(ENTRY)["sig"].tobytes()
+                x = int(e["key"][s].astype(np.int64)) if h or len(m) > BIG else None
+                name = hashlib.blake2b(raw if x is None else raw + e["key"][s].tobytes(), digest_size=16).digest()
+                out[name] = (name, int(e["key"][s] >> np.uint64(1)) if h else None, x, [raw[q : q + 16] for q in range(0, len(raw), 16)])
                 if len(out) >= 2000:
-                    yield pd.DataFrame(list(out.values()), columns=["run", "key", "sigs"]).astype({"key": "Int64"})
+                    yield _run_frame(out)
                     out.clear()
             if out:
-                yield pd.DataFrame(list(out.values()), columns=["run", "key", "sigs"]).astype({"key": "Int64"})
+                yield _run_frame(out)
+
+    return entries.repartition(buckets, "bucket").mapInPandas(run, "run binary, key long, x long, sigs array<binary>")
 
-    return entries.repartition(buckets, "bucket").mapInPandas(run, "run long, key long, sigs array<long>")
+
+def _run_frame(out: dict[bytes, tuple]) -> pd.DataFrame:
+    return pd.DataFrame(list(out.values()), columns=["run", "key", "x", "sigs"]).astype({"key": "Int64", "x": "Int64"})
 
 
 class SignatureTree:
@@ -346,7 +368,7 @@ def _word(width: int) -> np.dtype:
     return np.dtype(np.uint64 if width % 8 == 0 else np.uint8)
 
 
-def _forest_edges(sigs: list[int], n: np.ndarray, maps: list[bytes]) -> list[tuple[int, int]]:
+def _forest_edges(sigs: list[bytes], n: np.ndarray, maps: list[bytes]) -> list[tuple[bytes, bytes]]:
     forest, out = Forest(len(sigs)), []
     for i, j in candidate_pairs(n, maps):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
@@ -360,19 +382,109 @@ def tree_edges(grouped: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple[bytes, bytes]] = []
             for members in b["members"]:
-                unique = {m["sig"]: m for m in members}
+                unique = {bytes(m["sig"]): m for m in members}
                 if len(unique) > 1:
                     rows = list(unique.values())
-                    out += _forest_edges([m["sig"] for m in rows], np.array([m["n"] for m in rows], dtype=np.int64), [bytes(m["bits"]) for m in rows])
+                    out += _forest_edges(list(unique), np.array([m["n"] for m in rows], dtype=np.int64), [bytes(m["bits"]) for m in rows])
             yield pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
 
-    return grouped.select("members").mapInPandas(run, "a long, b long")
+    return grouped.select("members").mapInPandas(run, "a binary, b binary")
+
+
+def tree_pairs(grouped: DataFrame) -> DataFrame:
+    """All pairs that the signature trees of runs leave: (a, b), a < b. members: sig, n, bits, label, outside; of two with a label, equal
+    labels are connected already, and one must be outside."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for members in b["members"]:
+                unique = {bytes(m["sig"]): m for m in members}
+                sigs, rows = list(unique), list(unique.values())
+                if len(rows) < 2:
+                    continue
+                names: dict = {}
+                label = np.array([names.setdefault(bytes(m["label"]) if m["label"] is not None else sig, i) for i, (sig, m) in enumerate(unique.items())])
+                outside = np.array([bool(m["outside"]) for m in rows])
+                for i, j in candidate_pairs(np.array([m["n"] for m in rows], dtype=np.int64), [bytes(m["bits"]) for m in rows], outside):
+                    take = label[i] != label[j]
+                    out = [(min(sigs[a], sigs[c]), max(sigs[a], sigs[c])) for a, c in zip(i[take].tolist(), j[take].tolist(), strict=True)]
+                    if out:
+                        yield pd.DataFrame(out, columns=["a", "b"])
+
+    return grouped.select("members").mapInPandas(run, "a binary, b binary")
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
+    return 100 * common >= 80 * (len(a) + len(b) - common)
+
+
+def exact_pairs(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of classes whose sets (sig, tokens) are linked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [_linked(np.frombuffer(bytes(x), dtype=np.uint64), np.frombuffer(bytes(y), dtype=np.uint64)) for x, y in zip(b["left"], b["right"], strict=True)]
+            yield b.loc[np.array(ok, dtype=bool), ["a", "b"]]
+
+    salt = F.xxhash64("a", "b")
+    both = spread_lookup(pairs, sets_.select(F.col("sig").alias("a"), F.col("tokens").alias("left")), "a", salt)
+    both = spread_lookup(both, sets_.select(F.col("sig").alias("b"), F.col("tokens").alias("right")), "b", salt)
+    return both.select("a", "b", "left", "right").mapInPandas(run, "a binary, b binary")
+
+
+def second_keys(sets_: DataFrame, order) -> DataFrame:
+    """(run, sig) of sets (sig, tokens, xs): two linked sets whose first common shingle is one of xs have a second one in the first
+    n - ceil(0.8 n) + 2 of each; a run is named by the two."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        logs, _ = order.value
+        for b in batches:
+            for sig, tokens, xs in zip(b["sig"], b["tokens"], b["xs"], strict=True):
+                keys = np.sort(ordered_keys(np.frombuffer(bytes(tokens), dtype=np.uint64), logs))[: prefix_length(len(tokens) // 8) + 1]
+                out = [np.empty(0, dtype=np.uint64)]
+                for x in np.array(xs, dtype=np.int64).view(np.uint64):
+                    out.append(mix(keys[np.searchsorted(keys, x) + 1 :] ^ mix(x[None])))
+                runs = np.concatenate(out).view(np.int64)
+                yield pd.DataFrame({"run": runs, "sig": [bytes(sig)] * len(runs)})
+
+    return sets_.mapInPandas(run, "run long, sig binary")
 
 
-def verified(tasks: DataFrame) -> DataFrame:
-    """tasks (task, members of sig, tokens, part, label): a spanning forest of the exact links, as (a, b).
+def linked_pairs(known: DataFrame, bits: DataFrame, found: DataFrame, order) -> DataFrame:
+    """All links (a, b) between classes of known (sig, tokens, label, outside), but those within a label and those with no outside class.
+
+    Candidates are the pairs that share a run of BIG classes at most, and in larger ones those that share a second prefix shingle
+    too, as far as the trees leave them. Where still more than BIG classes share both shingles, they are compared in blocks.
+    """
+    spark = known.sparkSession
+    marks = save(known.select("sig", "label", "outside").join(bits, "sig"), "jaccard-marks")
+    group = lambda rows: rows.groupBy("run").agg(F.collect_list(F.struct("sig", "n", "bits", "label", "outside")).alias("members"), F.max("outside").alias("some")).filter("some")
+    small_runs = found.filter("x IS NULL").dropDuplicates(["run"]).select("run", F.explode("sigs").alias("sig")).join(marks, "sig")
+    pairs = tree_pairs(group(small_runs))
+    large = found.filter("x IS NOT NULL").select("x", F.explode("sigs").alias("sig")).join(marks.select("sig"), "sig").groupBy("sig").agg(F.collect_set("x").alias("xs"))
+    seconds = save(second_keys(known.select("sig", "tokens").join(large, "sig"), order).join(marks.select("sig", "outside"), "sig"), "jaccard-seconds", rows=20)
+    counts = seconds.groupBy("run").agg(F.count(F.lit(1)).alias("c"), F.max("outside").alias("some")).filter("c > 1 AND some")
+    counts = save(counts, "jaccard-counts")
+    few = seconds.drop("outside").join(counts.filter(F.col("c") <= BIG).select("run"), "run").join(marks, "sig")
+    pairs = save(pairs.unionByName(tree_pairs(group(few))).distinct(), "jaccard-pairs", rows=20)
+    links = exact_pairs(pairs, known.select("sig", "tokens"))
+    dense = counts.filter(F.col("c") > BIG)
+    if not dense.limit(1).count():
+        return links
+    rows = spread_lookup(seconds.drop("outside").join(small(dense.select("run", "c")), "run"), known.select("sig", "tokens", "label", "outside"), "sig", F.xxhash64("run"))
+    nb = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = save(rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")).withColumnRenamed("run", "root"), "jaccard-dense", "lz4")
+    left = rows.filter("outside").withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("part", F.lit(1))
+    right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("j", F.col("block")).withColumn("part", F.lit(0))
+    keep = ["root", "i", "j", "sig", "tokens", "part", "label"]
+    return links.unionByName(verified(_gather(left.select(*keep).unionByName(right.select(*keep))), every=True)).distinct()
+
+
+def verified(tasks: DataFrame, every: bool = False) -> DataFrame:
+    """tasks (members of sig, tokens, part, label): a spanning forest of the exact links, or all with every, as (a, b).
 
     part 0 marks rows whose pairs among themselves are not asked for; equal labels are connected already.
     """
@@ -380,25 +492,27 @@ def verified(tasks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for members in batch["members"]:
-                rows = list({m["sig"]: m for m in members}.values())
+                unique: dict[bytes, object] = {}
+                for m in members:
+                    if m["part"] != 0 or bytes(m["sig"]) not in unique:
+                        unique[bytes(m["sig"])] = m
+                sigs, rows = list(unique), list(unique.values())
                 arrays = [np.frombuffer(bytes(m["tokens"]), dtype=np.uint64) for m in rows]
                 n = np.array([len(x) for x in arrays], dtype=np.int64)
                 forest, labels, out = Forest(len(rows)), {}, []
                 for r, m in enumerate(rows):
                     if m["label"] is not None:
-                        forest.join(r, labels.setdefault(m["label"], r))
+                        forest.join(r, labels.setdefault(bytes(m["label"]), r))
                 left = np.array([m["part"] != 0 for m in rows])
                 for i, j in candidate_pairs(n, [bitmap(x) for x in arrays], None if left.all() else left):
                     for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                        if forest.find(a) == forest.find(b):
-                            continue
-                        common = len(arrays[a]) + len(arrays[b]) - len(np.unique(np.concatenate((arrays[a], arrays[b]))))
-                        if 100 * common >= 80 * (len(arrays[a]) + len(arrays[b]) - common):
-                            forest.join(a, b)
-                            out.append((rows[a]["sig"], rows[b]["sig"]))
-                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                        if forest.find(a) != forest.find(b) and _linked(arrays[a], arrays[b]):
+                            if not every:
+                                forest.join(a, b)
+                            out.append((min(sigs[a], sigs[b]), max(sigs[a], sigs[b])))
+                yield pd.DataFrame(out, columns=["a", "b"])
 
-    return tasks.select("members").mapInPandas(run, "a long, b long")
+    return tasks.select("members").mapInPandas(run, "a binary, b binary")
 
 
 def _gather(rows: DataFrame) -> DataFrame:
@@ -414,7 +528,7 @@ def _member_sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     spark = source.sparkSession
     width = min(27, max(16, (16 * wanted.count()).bit_length()))
-    place = F.col("sig").bitwiseAND((1 << width) - 1)
+    place = F.conv(F.hex(F.substring("sig", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << width) - 1)
     marks = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
     on = np.zeros(1 << (width - 6), dtype=np.int64)
     for r in marks.collect():  # 2**21 words at most
@@ -431,19 +545,31 @@ def _member_sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                         continue
                     raw = t.tobytes()
                     k = signature(raw)
-                    at = k & ((1 << width) - 1)
+                    at = int.from_bytes(k[:4], "big") & ((1 << width) - 1)
                     if int(masks[at >> 6]) >> (at & 63) & 1 and seen.new(k):
                         sigs.append(k), blobs.append(raw)
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(blobs, pa.binary())], names=["sig", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(blobs, pa.binary())], names=["sig", "tokens"])
 
-    own = source.select("body").mapInArrow(run, "sig long, tokens binary")
+    own = source.select("body").mapInArrow(run, "sig binary, tokens binary")
     return own.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, row_key, keep_key of every row of docs; keep_key is the row key of the component's row
-    with the smallest doc_id."""
+@dataclass
+class Candidates:
+    """What the first three steps leave: rows of documents (doc_id, row_key, sig, n), classes' sizes and bitmaps, runs, the order of
+    shingles, and clusters of classes (sig, root, m)."""
+
+    source: DataFrame
+    rows: DataFrame
+    total: int
+    bits: DataFrame
+    found: DataFrame
+    order: object
+    clusters: DataFrame
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> Candidates:
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), utf8(F.col(text_col).cast("string")).alias("body"))
     table = save(sets(source, words), "jaccard-sets")
@@ -457,53 +583,75 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def star(x: DataFrame) -> DataFrame:
         return x.select(F.array_min("sigs").alias("a"), F.explode("sigs").alias("b")).filter("a <> b")
 
-    small = found.filter((F.size("sigs") <= BIG) & F.col("key").isNull())
-    big = found.filter((F.size("sigs") > BIG) | F.col("key").isNotNull())
+    few, big = found.filter("x IS NULL"), found.filter("x IS NOT NULL")
     hubs = big.filter("key IS NOT NULL").select("key", F.array_min("sigs").alias("a"))
     hub_edges = hubs.join(hubs.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b").filter("a <> b")
     bits = table.filter("bits IS NOT NULL AND chunk IS NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    members = small.dropDuplicates(["run"]).select("run", F.explode("sigs").alias("sig")).join(bits, "sig")
+    members = few.dropDuplicates(["run"]).select("run", F.explode("sigs").alias("sig")).join(bits, "sig")
     grouped = members.groupBy("run").agg(F.collect_list(F.struct("sig", "n", "bits")).alias("members"))
-    candidates = save(tree_edges(grouped).unionByName(star(big)).unionByName(hub_edges).distinct(), "jaccard-candidates")
-    clusters = components(candidates).select(F.col("node").alias("sig"), "root")
+    edges = save(tree_edges(grouped).unionByName(star(big)).unionByName(hub_edges).distinct(), "jaccard-candidates")
+    clusters = components(edges).select(F.col("node").alias("sig"), "root")
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    clusters = save(clusters.join(sizes, "root"), "jaccard-clusters")
+    return Candidates(source, rows, total, bits, found, order, save(clusters.join(sizes, "root"), "jaccard-clusters"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, row_key, keep_key of every row of docs; keep_key is the row key of the component's row
+    with the smallest doc_id."""
+    c = candidates(docs, id_col, text_col, words)
     blocks = F.when(F.col("m") <= CLUSTER, F.lit(1)).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
     held = save(
-        clusters.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")).join(_member_sets(source, clusters, words), "sig"),
+        c.clusters.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")).join(_member_sets(c.source, c.clusters, words), "sig"),
         "jaccard-held", "lz4",
     )
     partner = F.when(F.col("nb") == 1, F.array(F.lit(0))).when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1), F.greatest(F.col("nb") - 1, F.lit(1))))
-    plain = held.withColumn("part", F.lit(1)).withColumn("label", F.lit(None).cast("long"))
+    plain = held.withColumn("part", F.lit(1)).withColumn("label", F.lit(None).cast("binary"))
     links = save(verified(_gather(plain.withColumn("i", F.lit(0)).withColumn("j", F.explode(partner)))), "jaccard-links", rows=20)
-    if clusters.filter(F.col("m") > CLUSTER).limit(1).count():
-        links = save(links.unionByName(_rest(held, links)), "jaccard-links", rows=20)
+    if c.clusters.filter(F.col("m") > CLUSTER).limit(1).count():
+        links = save(links.unionByName(_rest(held, links, c)), "jaccard-links", rows=20)
     linked = components(links)
-    first = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    first = c.rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"), F.count(F.lit(1)).alias("copies"))
     rooted = first.join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     names = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("held"))
-    by_class = lookup(rooted, names, ["root"], "held", total).select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("keep_key"), "copies")
-    named = lookup(rows.filter("sig IS NOT NULL"), by_class, ["sig"], "copies", total)
-    out = named.unionByName(rows.filter("sig IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("keep_key", F.col("row_key")))
+    by_class = lookup(rooted, names, ["root"], "held", c.total).select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("keep_key"), "copies")
+    named = lookup(c.rows.filter("sig IS NOT NULL"), by_class, ["sig"], "copies", c.total)
+    out = named.unionByName(c.rows.filter("sig IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("keep_key", F.col("row_key")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_key", "keep_key")
 
 
-def _rest(held: DataFrame, links: DataFrame) -> DataFrame:
-    """Links of large clusters that the first round may have missed: of sets outside a cluster's largest component, with
-    each other and with all others."""
+def _rest(held: DataFrame, links: DataFrame, c: Candidates) -> DataFrame:
+    """Links of large clusters that the first round may have missed: of classes outside a cluster's largest component, with each other
+    and with all others."""
     own = held.filter(F.col("m") > CLUSTER)
     label = components(links).withColumnRenamed("node", "sig").withColumnRenamed("root", "label")
     known = own.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     counts = known.groupBy("root", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.groupBy("root").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
-    known = save(known.join(top.select("root", "top", "all"), "root").withColumn("outside", F.col("label") != F.col("top.label")), "jaccard-known", "lz4")
-    outer = known.filter("outside")
-    many = F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int")
-    column = F.pmod(F.xxhash64("sig", F.lit(1)), many).cast("int")
-    left = outer.withColumn("i", column).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("part", F.lit(1))
-    right = known.filter(many > 0).withColumn("i", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("j", F.col("block")).withColumn("part", F.lit(0))
-    keep = ["root", "i", "j", "sig", "tokens", "part", "label"]
-    return verified(_gather(left.select(*keep).unionByName(right.select(*keep))))
+    top = counts.groupBy("root").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter(F.col("all") > F.col("top.c"))
+    known = known.join(small(top.select("root", F.col("top.label").alias("largest"))), "root").select("sig", "tokens", "label", (F.col("label") != F.col("largest")).alias("outside"))
+    known = save(known, "jaccard-known", "lz4")
+    return linked_pairs(known, c.bits, c.found, c.order)
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(links, members): all pairs (a, b) of classes that are linked, and (doc_id, row_key, sig, n_shingles) of every row of docs.
+
+    Documents of one class have equal sets and are linked too. In a group of m unlike near copies there are up to m^2 / 2 links.
+    """
+    c = candidates(docs, id_col, text_col, words)
+    known = save(_member_sets(c.source, c.clusters, words).select("sig", "tokens", F.lit(None).cast("binary").alias("label"), F.lit(True).alias("outside")), "jaccard-known", "lz4")
+    links = save(linked_pairs(known, c.bits, c.found, c.order), "jaccard-all-links", rows=20)
+    return links, c.rows.select("doc_id", "row_key", "sig", F.col("n").alias("n_shingles"))
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, row_key, n_shingles, n_links) of every row: how many other rows it is linked with, copies included."""
+    total = members.count()
+    copies = members.filter("sig IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
+    both = links.select(F.col("a").alias("sig"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("sig"), F.col("a").alias("other")))
+    others = both.join(copies.select(F.col("sig").alias("other"), "copies"), "other").groupBy("sig").agg(F.sum("copies").alias("others"))
+    by_class = copies.join(others, "sig", "left").select("sig", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    named = lookup(members, by_class, ["sig"], "copies", total)
+    return named.select("doc_id", "row_key", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

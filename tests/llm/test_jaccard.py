@@ -138,3 +138,39 @@ def test_long_texts_in_pieces(monkeypatch):
         monkeypatch.setattr(language, "BATCH_BYTES", size)
         assert all((a == b).all() for a, b in zip(whole, shingles.word_hashes(data, bounds), strict=True))
         assert all((a == b).all() for a, b in zip(grams, language.text_grams(data, bounds), strict=True))
+
+
+def links_of(rows):
+    """{row number: how many others it is linked with}"""
+    sets = [brute.shingles(t) for _, t in rows]
+    near = lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    return Counter((rows[a][0], len(sets[a]), sum(bool(near(a, b)) for b in range(len(rows)) if b != a)) for a in range(len(rows)))
+
+
+@pytest.mark.parametrize("big", [1024, 4])
+def test_all_links(spark, monkeypatch, big):
+    """Numbers of links, also where runs, and runs of two shingles, are larger than what a tree gets."""
+    monkeypatch.setattr(jaccard, "BIG", big)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rows = random_corpus(9, 150) + [(None, "no id " + brute.BASE), (None, "no id " + brute.BASE), (7000, ""), (7001, None)]
+    base = [f"h{i}" for i in range(60)]
+    rng = random.Random(5)
+    for _ in range(30):
+        own = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            own[rng.randrange(60)] = f"z{rng.randrange(1000)}"
+        rows.append((len(rows), " ".join(own)))
+    links, members = jaccard.similar_pairs(brute.documents(spark, rows))
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in jaccard.link_counts(links, members).collect()) == links_of(rows)
+
+
+def test_a_star_of_unlike_classes(spark, monkeypatch):
+    """Thousands of sets with one rare shingle in common: no pair is checked, but a pair of near copies among them is found."""
+    monkeypatch.setattr(jaccard, "BIG", 64)
+    pairs = []
+    exact = jaccard.exact_pairs
+    monkeypatch.setattr(jaccard, "exact_pairs", lambda p, s: pairs.append(p.count()) or exact(p, s))
+    own = lambda i: " ".join(f"u{i}x{k}" for k in range(25))
+    rows = [(i, f"five words that all share {own(i)}") for i in range(3000)] + [(5000, f"five words that all share {own(17)} tail")]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(brute.documents(spark, rows)).collect()}
+    assert got == {i: i for i in range(3000)} | {5000: 17} and sum(pairs) < 100
