@@ -86,9 +86,11 @@ def location_token(lon: str | Column, lat: str | Column, digits: int = 4) -> Col
     return F.format_string(f"lon%.{digits}f_lat%.{digits}f", col(lon), col(lat))
 
 
-def stack_path(root: str, method: str | Column, lon: str | Column, lat: str | Column, when: str | Column) -> Column:
-    """the path of a predicted stack; colons in the time become dashes."""
-    return F.concat(F.lit(root.rstrip("/") + "/"), location_token(lon, lat, 6), F.lit("/["), col(method), F.lit("]_"), F.translate(col(when), ":", "-"), F.lit("_prediction.tif"))
+def stack_path(root: str, method: str | Column, source: str, lon: str | Column, lat: str | Column, when: str | Column, suffix: str = "_prediction") -> Column:
+    """the path of a stack: a folder of the source and place, method, source, place and time in the name; colons in the time
+    become dashes. Ground truth has the method `ground_truth` and no suffix."""
+    folder = F.format_string(f"{root.rstrip('/')}/{source}_recon/%.4f_%.4f/[", col(lon).cast("double"), col(lat).cast("double"))
+    return F.concat(folder, col(method), F.lit(f"]_{source}_"), location_token(lon, lat, 6), F.lit("_"), F.translate(col(when), ":", "-"), F.lit(f"{suffix}.tif"))
 
 
 def prediction_name(name: str | Column) -> Column:

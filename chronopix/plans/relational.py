@@ -369,10 +369,10 @@ def high_tier(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", C.is_high_tier(1 / (F.col("p_size") * 86400.0), 30).alias("high"))
 
 
-@query("f6_stack_paths", "SELECT s_suppkey, 'out/' || printf('lon%.6f_lat%.6f', s_suppkey % 360 - 180 + 0.5, s_nationkey * 2.0) || '/[harmonic]_2020-01-02T03-04-05_prediction.tif' AS path FROM supplier")
+@query("f6_stack_paths", "SELECT s_suppkey, printf('out/S2_recon/%.4f_%.4f/', s_suppkey % 360 - 180 + 0.5, s_nationkey * 2.0) || '[harmonic]_S2_' || printf('lon%.6f_lat%.6f', s_suppkey % 360 - 180 + 0.5, s_nationkey * 2.0) || '_2020-01-02T03-04-05_prediction.tif' AS path FROM supplier")
 def stack_paths(spark: SparkSession, sf: str) -> DataFrame:
     lon, lat = F.col("s_suppkey") % 360 - 180 + F.lit(0.5), F.col("s_nationkey") * F.lit(2.0)
-    return table(spark, sf, "supplier").select("s_suppkey", C.stack_path("out/", F.lit("harmonic"), lon, lat, F.lit("2020-01-02T03:04:05")).alias("path"))
+    return table(spark, sf, "supplier").select("s_suppkey", C.stack_path("out/", F.lit("harmonic"), "S2", lon, lat, F.lit("2020-01-02T03:04:05")).alias("path"))
 
 
 @query("s7_band_stacks", "SELECT 'B' || (s_suppkey % 12 + 1) AS band, count(*) AS n, min('x/COPERNICUS_S2_HARMONIZED_B' || (s_suppkey % 12 + 1) || '_lon1.5_lat' || s_suppkey || '.tif') AS first FROM supplier GROUP BY 1")

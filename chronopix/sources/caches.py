@@ -63,6 +63,76 @@ def write_scene_cache(path: str, cubes: dict[str, np.ndarray], times: dict[str,
         os.replace(os.path.join(path, name + ".tmp"), os.path.join(path, name))
 
 
+def write_planes(pixels: DataFrame, path: str, source: str, lon: float, lat: float, rows: int, cols: int, geo: list[float], crs: str | None = None, nodata: float | None = None, fingerprint: str | None = None) -> None:
+    """W3 from a table (band, ts, row, col, value): every task writes its planes at their places in the cube, which executors mount.
+
+    Only the list of bands and times comes to the driver. The files get their names when all planes are written.
+    """
+    listed = pixels.select("band", "ts").distinct().collect()  # a row per plane
+    bands = sorted({r.band for r in listed}, key=lambda b: (int(b[1:].rstrip("A")) if b[:1] == "B" and b[1:].rstrip("A").isdigit() else 10_000, b))
+    times = {b: sorted(r.ts for r in listed if r.band == b) for b in bands}
+    plane, offset, band_meta, at = rows * cols, 0, [], {}
+    for b in bands:
+        band_meta.append({"name": b, "timestamps": times[b], "time_len": len(times[b]), "offset_values": offset})
+        at |= {(b, t): offset + i * plane for i, t in enumerate(times[b])}
+        offset += len(times[b]) * plane
+    os.makedirs(path, exist_ok=True)
+    cube = os.path.join(path, "cube.f32.bin.tmp")
+    with open(cube, "wb") as f:
+        f.truncate(4 * offset)
+
+    def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.full((rows, cols), np.nan, dtype="<f4")
+        x[frame["row"].to_numpy(), frame["col"].to_numpy()] = frame["value"].to_numpy(dtype=np.float64, na_value=np.nan)
+        with open(cube, "r+b") as f:
+            f.seek(4 * at[key])
+            f.write(x.tobytes())
+        return pd.DataFrame({"n": [int(np.isfinite(x).sum())]})
+
+    pixels.select("band", "ts", "row", "col", "value").groupBy("band", "ts").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    meta = {"version": VERSION, "source_name": source, "lon": lon, "lat": lat, "rows": rows, "cols": cols, "layout": SCENE_LAYOUT, "dtype": DTYPE, "bands": bands, "band_meta": band_meta, "total_values": offset, "geo_transform": geo, "crs_wkt": crs, "nodata": nodata, "source_fingerprint": fingerprint}
+    with open(os.path.join(path, "meta.json.tmp"), "w", encoding="utf-8") as f:
+        json.dump(meta, f)
+    for name in ("cube.f32.bin", "meta.json"):
+        os.replace(os.path.join(path, name + ".tmp"), os.path.join(path, name))
+
+
+def write_samples(samples: DataFrame, path: str, bands: list[str], scenes: list[dict], least: int, seed: int, source: str) -> None:
+    """W4 from a table (sample_idx, gapless from 0, scene_id, row, col, y): every task writes its samples at their places."""
+    tmp = path.rstrip("/") + ".tmp"
+    os.makedirs(tmp)
+    widest = max((len(s["times"]) for s in scenes), default=0)
+    per_scene = {r.scene_id: r.n for r in samples.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, listed, offset = sum(per_scene.values()), [], 0
+    for s in scenes:
+        listed.append({"scene_id": s["scene_id"], "source_name": source, "lon": s["lon"], "lat": s["lat"], "rows": s["rows"], "cols": s["cols"], "n_times": len(s["times"]), "time_offset": offset, "n_sampled": per_scene.get(s["scene_id"], 0), "cache_dir": s.get("cache_dir", "")})
+        offset += len(s["times"])
+    sizes = {"samples.f32.bin": 4 * widest * len(bands), "mask.u8.bin": widest, "index.u64.bin": 32}
+    for name, each in sizes.items():
+        with open(f"{tmp}/{name}", "wb") as f:
+            f.truncate(each * total)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(f"{tmp}/samples.f32.bin", "r+b") as f, open(f"{tmp}/mask.u8.bin", "r+b") as g, open(f"{tmp}/index.u64.bin", "r+b") as h:
+            for b in batches:
+                for s in b.to_dict("records"):
+                    y = np.full((widest, len(bands)), np.nan, dtype="<f4")
+                    own = [[np.nan if v is None else v for v in row] for row in s["y"]]
+                    y[: len(own)] = own
+                    parts = (y, np.isfinite(y).all(1).astype("u1"), np.array([s["scene_id"], s["row"], s["col"], len(own)], dtype="<u8"))
+                    for file, each, x in zip((f, g, h), sizes.values(), parts, strict=True):
+                        file.seek(each * s["sample_idx"])
+                        file.write(x.tobytes())
+                yield pd.DataFrame({"n": [len(b)]})
+
+    samples.select("sample_idx", "scene_id", "row", "col", "y").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    np.concatenate([np.asarray(s["times"], dtype="<f8") for s in scenes] or [np.empty(0)]).tofile(f"{tmp}/scene_times.f64.bin")
+    meta = {"version": VERSION, "source_name": source, "dtype": DTYPE, "layout": SAMPLE_LAYOUT, "mask_layout": MASK_LAYOUT, "index_layout": INDEX_LAYOUT, "n_samples": total, "max_times": widest, "n_bands": len(bands), "bands": bands, "sample_file": "samples.f32.bin", "mask_file": "mask.u8.bin", "scene_time_file": "scene_times.f64.bin", "index_file": "index.u64.bin", "index_columns": ["scene_id", "row", "col", "n_times"], "min_joint_valid": least, "seed": seed, "scenes": listed}
+    with open(f"{tmp}/meta.json", "w", encoding="utf-8") as f:
+        json.dump(meta, f)
+    os.replace(tmp, path)
+
+
 class _Block(InputPartition):
     def __init__(self, *value):
         super().__init__(value)

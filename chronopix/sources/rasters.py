@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def exactly(path: str) -> str:
+    """A path whose brackets and other signs of patterns stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """A row per file."""
 
@@ -56,6 +63,22 @@ def read_pixels(spark: SparkSession, path: str, band: int | None = None, window:
     return _files(spark, path).mapInPandas(run, PIXELS)
 
 
+def write_files(stacks: DataFrame) -> DataFrame:
+    """Writes rows (path, content) as files, by the tasks that hold them, to a folder that executors mount: (path, bytes). A file gets its
+    name when it is whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+                with open(path + ".tmp", "wb") as f:
+                    f.write(bytes(content))
+                os.replace(path + ".tmp", path)
+            yield pd.DataFrame({"path": b["path"], "bytes": [len(c) for c in b["content"]]})
+
+    return stacks.select("path", "content").mapInPandas(run, "path string, bytes long")
+
+
 def with_times(pixels: DataFrame) -> DataFrame:
     """The timestamp text in a band's description ('' where there is none) and its epoch seconds."""
     text = F.coalesce(C.stamp("description"), F.lit(""))
