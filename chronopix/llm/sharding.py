@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import lookup, ranked, save, small, utf8
 
-SHARDS, SALTS = 8, 64
+SHARDS, SALTS = 8, 512
 #: Rows of one hub or shard that a task ranks, about.
 PART_ROWS = 1_000_000
 
