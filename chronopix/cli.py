@@ -61,9 +61,16 @@ def one_pixel_or_raster(spark: SparkSession, which: Algorithm, args: argparse.Na
         return models.predict(s, ["path"], which, c)
     px = rasters.read_pixels(spark, args.input_geotiff).withColumn("day", (F.col("band_idx") - 1).cast("double"))
     s = dataflow.to_series(px, ["path", "row", "col"], "day", ["value"]).withColumn("target", F.lit(float(args.target_time)) if args.target_time is not None else F.element_at("t", -1))
-    pred = models.predict(s, ["path", "row", "col"], which, c).select("path", "row", "col", F.lit("prediction").alias("band"), F.element_at("pred", 1).cast("float").alias("value"))
+    at = ["path", "row", "col"]
+    bands = ["prediction"]
+    if which is Algorithm.LASSO:  # E10: with the quality of each pixel
+        fit = models.fit_lasso(s, at, c)
+        bands.append("qa")
+        pred = fit.select(*at, F.lit("prediction").alias("band"), F.col("pred").cast("float").alias("value")).unionByName(fit.select(*at, F.lit("qa").alias("band"), F.col("qa").cast("float").alias("value")))
+    else:
+        pred = models.predict(s, at, which, c).select(*at, F.lit("prediction").alias("band"), F.element_at("pred", 1).cast("float").alias("value"))
     head = rasters.read_headers(spark, args.input_geotiff).first()
-    return rasters.encode_stacks(pred, ["path"], ["prediction"], head.rows, head.cols, list(head.geo_transform))
+    return rasters.encode_stacks(pred, ["path"], bands, head.rows, head.cols, list(head.geo_transform))
 
 
 @dataclass
@@ -173,7 +180,7 @@ def run_full_scene(spark: SparkSession, cache: str, args: argparse.Namespace) ->
     rasters.write_files(_stack(scene, scene.truth, truth_path, window)).collect()
     for m, values in scene.predictions.items():
         rasters.write_files(_stack(scene, values, outputs[m.value], window)).collect()
-    read = lambda path: rasters.read_pixels(spark, rasters.exactly(path)).select("row", "col", F.col("description").alias("band"), F.col("value").cast("double").alias("value"))
+    read = lambda path: rasters.read_pixels(spark, path).select("row", "col", F.col("description").alias("band"), F.col("value").cast("double").alias("value"))
     truth = read(truth_path).withColumnRenamed("value", "truth")
     found = {}
     for m in args.methods:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import modelling, relational  # noqa: F401  they register themselves
+from . import files, modelling, numerics, relational  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES, Query
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 import io
 import json
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,16 @@ class CacheError(ValueError):
     pass
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, or where that is unset and one process does all, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors mount")
+    path = os.path.join(root.removeprefix("file://"), f"chronopix-{name}-{uuid.uuid4().hex}") if root else tempfile.mkdtemp(prefix=f"chronopix-{name}-")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def scene_meta(path: str) -> dict:
     """meta.json, checked against version, layout, type, sizes and the cube's length."""
     with open(os.path.join(path, "meta.json"), encoding="utf-8") as f:

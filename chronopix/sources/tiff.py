@@ -98,34 +98,53 @@ class Raster:
                 out[int(m[1])] = m[2].replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&amp;", "&")
         return out
 
-    def blocks(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(first band, first row, first column, values (bands, rows, columns)) of each strip or tile, each decoded once."""
+    def layout(self) -> tuple[int, int, int, int, int]:
+        """(block rows, block columns, blocks down, blocks across, bands a block)."""
         rows, cols = self.shape
-        planar = self._one(PLANAR, 1) == 2
-        depth = 1 if planar else self.bands
+        tiled = TILES in self.tags
+        high, wide = (self._one(TILE_HEIGHT, 0), self._one(TILE_WIDTH, 0)) if tiled else (min(self._one(ROWS_PER_STRIP, rows), rows), cols)
+        return high, wide, -(-rows // high), -(-cols // wide), 1 if self._one(PLANAR, 1) == 2 else self.bands
+
+    def places(self) -> list[tuple[int, int, int]]:
+        """(first band, first row, first column) of each strip or tile."""
+        high, wide, down, across, depth = self.layout()
+        count = len(self.tags[TILES] if TILES in self.tags else self.tags[STRIPS])
+        out = []
+        for k in range(count):
+            band, inside = divmod(k, down * across)
+            out.append((band if depth == 1 and self.bands > 1 else 0, inside // across * high, inside % across * wide))
+        return out
+
+    def block(self, k: int) -> np.ndarray:
+        """Values (bands, rows, columns) of one strip or tile."""
+        rows, cols = self.shape
+        high, wide, _, _, depth = self.layout()
         bits = self.tags.get(BITS, (8,))
         if len(set(bits)) != 1 or bits[0] % 8:
             raise TiffError("bands of different or odd widths are not supported")
         dtype = np.dtype(f"{self.order}{KINDS.get(self._one(SAMPLE_FORMAT, 1), 'u')}{bits[0] // 8}")
-        if TILES in self.tags:
-            th, tw = self._one(TILE_HEIGHT, 0), self._one(TILE_WIDTH, 0)
-            offsets, sizes = self.tags[TILES], self.tags[TILE_BYTES]
-        else:
-            th, tw = min(self._one(ROWS_PER_STRIP, rows), rows), cols
-            offsets, sizes = self.tags[STRIPS], self.tags[STRIP_BYTES]
-        down, across = -(-rows // th), -(-cols // tw)
-        for k, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
-            band, inside = divmod(k, down * across)
-            r, c = (inside // across) * th, (inside % across) * tw
-            height = th if TILES in self.tags else min(th, rows - r)
-            raw = self.data[at : at + size]
-            kind = self._one(COMPRESSION, 1)
-            if kind in (8, 32946):
-                raw = zlib.decompress(raw)
-            elif kind != 1:
-                raise TiffError(f"compression {kind} is not supported")
-            x = self._undo(raw, height, tw, depth, dtype)
-            yield (band if planar else 0), r, c, np.moveaxis(x, 2, 0)[:, : rows - r, : cols - c]
+        tiled = TILES in self.tags
+        at, size = self.tags[TILES if tiled else STRIPS][k], self.tags[TILE_BYTES if tiled else STRIP_BYTES][k]
+        _, r, c = self.places()[k]
+        raw = self.data[at : at + size]
+        kind = self._one(COMPRESSION, 1)
+        if kind in (8, 32946):
+            raw = zlib.decompress(raw)
+        elif kind != 1:
+            raise TiffError(f"compression {kind} is not supported")
+        x = self._undo(raw, high if tiled else min(high, rows - r), wide, depth, dtype)
+        return np.moveaxis(x, 2, 0)[:, : rows - r, : cols - c]
+
+    def blocks(self, row: int = 0, col: int = 0, end_row: int | None = None, end_col: int | None = None, band: int | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(first band, first row, first column, values) of the blocks that a window of a band (from 1), or of all, touches."""
+        for k in self.touching(row, col, end_row, end_col, band):
+            yield *self.places()[k], self.block(k)
+
+    def touching(self, row: int = 0, col: int = 0, end_row: int | None = None, end_col: int | None = None, band: int | None = None) -> list[int]:
+        high, wide, _, _, depth = self.layout()
+        rows, cols = self.shape
+        end_row, end_col = rows if end_row is None else end_row, cols if end_col is None else end_col
+        return [k for k, (b, r, c) in enumerate(self.places()) if r < end_row and r + high > row and c < end_col and c + wide > col and (band is None or b <= band - 1 < b + depth)]
 
     def _undo(self, raw: bytes, rows: int, cols: int, depth: int, dtype: np.dtype) -> np.ndarray:
         predictor = self._one(PREDICTOR, 1)
@@ -146,7 +165,7 @@ class Raster:
         if band is not None and not 1 <= band <= self.bands:
             raise TiffError(f"there is no band {band}")
         out = np.empty((self.bands, end_row - row, end_col - col), dtype=np.float64)
-        for b, r, c, x in self.blocks():
+        for b, r, c, x in self.blocks(row, col, end_row, end_col, band):
             r0, r1, c0, c1 = max(r, row), min(r + x.shape[1], end_row), max(c, col), min(c + x.shape[2], end_col)
             if r0 < r1 and c0 < c1:
                 out[b : b + len(x), r0 - row : r1 - row, c0 - col : c1 - col] = x[:, r0 - r : r1 - r, c0 - c : c1 - c]
