@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,8 @@ from ..kernels.basics import DAY
 
 def arrays(t, y) -> tuple[np.ndarray, np.ndarray]:
     """Times and a (dates, bands) matrix with NaN for what is missing."""
+    if isinstance(y, np.ndarray) and y.ndim == 2:  # as map_series() passes it
+        return t, y
     return np.asarray(t, dtype=np.float64), np.array([np.asarray(row, dtype=np.float64) for row in y]).reshape(len(t), -1)
 
 
@@ -47,18 +48,60 @@ def predictor(method: Algorithm, config) -> Callable[[np.ndarray, np.ndarray, np
     return by_lasso
 
 
-def map_series(series: DataFrame, make: Callable, schema: str, keep: list[str]) -> DataFrame:
-    """Rows of make(row as dict) for each pixel, with the kept columns in front."""
-    kept = ", ".join(f"`{c}` {t}" for c, t in series.select(*keep).dtypes)
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+def _vectors(column) -> list:
+    """A list column of an Arrow batch as arrays: numbers as vectors, lists of as many numbers each as matrices; nulls are NaN. Others as
+    Python values."""
+    import pyarrow as pa
+
+    kind = column.type
+    if not pa.types.is_list(kind):
+        return column.to_pylist()
+    at = column.offsets.to_numpy().tolist()
+    numbers = lambda a: a.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if pa.types.is_floating(kind.value_type):
+        flat = numbers(column.values)
+        rows = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    elif pa.types.is_list(kind.value_type) and pa.types.is_floating(kind.value_type.value_type):
+        inner = column.values
+        if inner.null_count:
+            return column.to_pylist()
+        flat, inside = numbers(inner.values), inner.offsets.to_numpy()
+        rows = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            first, last = int(inside[a]), int(inside[b])
+            wide = (last - first) // max(b - a, 1)
+            if (np.diff(inside[a : b + 1]) != wide).any():
+                return column.to_pylist()
+            rows.append(flat[first:last].reshape(b - a, wide) if b > a else np.empty((0, 0)))
+    else:
+        return column.to_pylist()
+    return [None if null else r for r, null in zip(rows, column.is_null().to_pylist(), strict=True)] if column.null_count else rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(*[r[c] for c in keep], *x) for r in b.to_dict("records") for x in make(r)]
-            out = pd.DataFrame(rows, columns=[*keep, *names], dtype=object)
-            yield out
 
-    return series.mapInPandas(run, f"{kept}, {schema}" if keep else schema)
+def map_series(series: DataFrame, make: Callable, schema: str, keep: list[str]) -> DataFrame:
+    """Rows of make(row as dict) for each pixel, with the kept columns in front. Arrays of numbers come as numpy arrays, cut out of the
+    batch's buffers."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kept = [f for f in series.schema if f.name in keep]
+    kept.sort(key=lambda f: keep.index(f.name))
+    out = StructType([*kept, *StructType.fromDDL(schema)])
+    types = to_arrow_schema(out)
+
+    def run(batches) -> Iterator:
+        for b in batches:
+            columns = {name: _vectors(b.column(i)) for i, name in enumerate(b.schema.names)}
+            held = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names) if name in keep}
+            rows = []
+            for i in range(b.num_rows):
+                first = tuple(held[c][i] for c in keep)
+                rows += [(*first, *x) for x in make({name: v[i] for name, v in columns.items()})]
+            made = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(made, types, strict=True)], schema=types)
+
+    return series.mapInArrow(run, out)
 
 
 def predict(series: DataFrame, keys: list[str], method: str | Algorithm, config=None, target: str = "target") -> DataFrame:
