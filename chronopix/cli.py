@@ -212,7 +212,7 @@ def ground_truth(spark: SparkSession, cache: str, ts: str, path: str) -> None:
     caches.register(spark)
     meta = caches.scene_meta(cache)
     raw = spark.read.format("scene_cache").option("path", cache).load().filter(F.col("ts") == ts)
-    one = dataflow.collapse_duplicates(raw.withColumn("value", F.nanvl("value", F.lit(None).cast("float"))), ["row", "col", "band"], ["value"])
+    one = dataflow.collapse_duplicates(raw.withColumn("value", C.null_if_nan(F.col("value").cast("double"))), ["row", "col", "band"], ["value"])
     if not one.limit(1).count():
         raise ValueError(f"{cache} has no time {ts}")
     rasters.write_files(_stack(Scene(ts, meta["bands"], meta, one, {}), one, path, None)).collect()
@@ -241,6 +241,15 @@ def evaluate_rasters(spark: SparkSession, args: argparse.Namespace) -> None:
     with open(f"{args.output}/site_metrics.md", "w", encoding="utf-8") as f:
         f.write(tables.markdown(sites.orderBy("scene", "method", "of"), 100_000))
     heads = rasters.read_headers(spark, args.folder).withColumn("p", C.prediction_name(F.regexp_extract("path", r"([^/]+)$", 1)))
+    if args.sites:
+        place = lambda i: F.regexp_extract("scene", r"lon(-?\d+\.\d+)_lat(-?\d+\.\d+)", i).try_cast("double")
+        at = [F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat")]
+        known = tables.read_csv(spark, args.sites, tables.SITES).select(F.col("id").alias("site"), *at)
+        named = sites.withColumn("lon", F.round(place(1), 4)).withColumn("lat", F.round(place(2), 4)).join(known, ["lon", "lat"])
+        tables.write_csv(named, f"{args.output}/sites", 1)
+        lost = dataflow.found_or_missing(known, named.select("site"), "site").filter("NOT found").orderBy("site").collect()  # a row per site
+        with open(f"{args.output}/skipped_site_ids.txt", "w", encoding="utf-8") as f:
+            f.writelines(f"{r.site}\n" for r in lost)
     predicted = heads.filter("p.method IS NOT NULL AND p.method <> 'ground_truth'").select(F.col("p.stem").alias("scene")).distinct()
     missing = dataflow.found_or_missing(predicted, pairs.select("scene"), "scene").filter("NOT found").orderBy("scene").collect()  # a row per scene
     with open(f"{args.output}/skipped_sites.txt", "w", encoding="utf-8") as f:
@@ -286,6 +295,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("folder")
     s.add_argument("--output", required=True)
     s.add_argument("--rasters", action="store_true")
+    s.add_argument("--sites", help="a CSV of id, lon, lat: scenes are named by their place, and sites without one are listed as skipped")
     s = sub.add_parser("build-scene-cache")
     s.add_argument("rasters")
     s.add_argument("--output", required=True)
@@ -298,6 +308,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--n-samples", type=int, default=1_000_000)
     s.add_argument("--min-joint-valid", type=int, default=12)
     s.add_argument("--limit-scenes", type=int)
+    s.add_argument("--source")
     s.add_argument("--seed", type=int, default=20260608)
     for name in ("eval-sample-cache", "sample-pixel-curve", "pixel-bench"):
         s = sub.add_parser(name)
@@ -371,7 +382,7 @@ def sample_curve(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     meta = sample_meta(args.cache)
     one = samples(spark, args.cache).filter(F.col("sample_idx") == args.sample)
     names = F.array(*[F.lit(b) for b in meta["bands"]])
-    valid = F.filter(F.sequence(F.lit(0), F.size("y") - 1), lambda i: F.forall(F.get("y", i), lambda v: v.isNotNull() & ~F.isnan(v)))
+    valid = F.filter(F.sequence(F.lit(0), F.size("y") - 1), lambda i: C.all_present(F.get("y", i)))
     one = one.withColumn("valid", valid).withColumn("valid_count", F.size("valid")).withColumn("target_index", F.try_element_at("valid", F.floor(F.size("valid") / 2).cast("int") + 1))
     train = one.withColumn("y", F.transform("y", lambda v, i: F.when(i == F.col("target_index"), F.transform(v, lambda _: F.lit(None).cast("double"))).otherwise(v)))
     keys = ["sample_idx", "scene_id", "row", "col", "n_times", "valid_count", "target_index"]
@@ -460,7 +471,7 @@ def main(argv: list[str] | None = None) -> int:
 def build_samples(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Eligible pixels of all scenes, a draw of them, and their series."""
     caches.register(spark)
-    chosen_caches = args.caches[: args.limit_scenes]
+    chosen_caches = usable(spark, args)
     raw = dataflow.merge_chunks([spark.read.format("scene_cache").option("path", c).load().withColumn("scene_id", F.lit(i).cast("long")) for i, c in enumerate(chosen_caches)])
     bands = caches.scene_meta(chosen_caches[0])["bands"]
     wide = dataflow.pivot_bands(raw.withColumn("t", C.epoch_seconds("ts")), ["scene_id", "row", "col", "t"], "band", "value", bands)
@@ -472,10 +483,23 @@ def build_samples(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return out.select("sample_idx", "scene_id", "row", "col", F.size("t").alias("n_times"), "t", F.col("y").cast("array<array<float>>").alias("y"), mask.alias("mask"))
 
 
+def usable(spark: SparkSession, args: argparse.Namespace) -> list[str]:
+    """The caches to draw from: with --source those of that source with the right layout and the same times in every band."""
+    if not args.source:
+        return args.caches[: args.limit_scenes]
+    paths = [os.path.join(os.path.abspath(c), "meta.json") for c in args.caches]
+    good = caches.usable_scenes(spark, paths, args.source).select(F.input_file_name().alias("path")).collect()  # a row per cache
+    names = {r.path.removeprefix("file://") for r in good}
+    out = [c for c, p in zip(args.caches, paths, strict=True) if p in names]
+    if not out:
+        raise SystemExit(f"no usable scene of {args.source}")
+    return out[: args.limit_scenes]
+
+
 def write_sample_cache(spark: SparkSession, s: DataFrame, args: argparse.Namespace) -> None:
     """The drawn samples as a sample cache; scenes' times are those that any band has."""
     scenes, source, bands = [], "", []
-    for i, c in enumerate(args.caches[: args.limit_scenes]):
+    for i, c in enumerate(usable(spark, args)):
         m = caches.scene_meta(c)
         source, bands = m["source_name"], m["bands"]
         stamps = sorted({t for b in m["band_meta"] for t in b["timestamps"]})

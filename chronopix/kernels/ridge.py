@@ -173,6 +173,3 @@ class MultiRidge:
         a[at, at] += self.extra
         return common + np.linalg.solve(a, rhs - mean)
 
-
-def multi_output_ridge(x, z, w, penalty: np.ndarray, shrink: float, dc: bool = True) -> np.ndarray | None:
-    return MultiRidge(x, z, penalty, shrink, dc).solve(w)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Algorithm, HantsConfig, HarmonicConfig, LassoConfig
-from ..kernels import hants, harmonic, lasso
+from ..kernels import hants, harmonic, joint, lasso
 from ..kernels.basics import DAY
 
 
@@ -182,6 +182,17 @@ def predict_scalar(series: DataFrame, keys: list[str], config: HarmonicConfig |
     return map_series(series, make, "band int, pred double, n_freqs int", keys)
 
 
+def predict_joint(series: DataFrame, keys: list[str], config: HarmonicConfig | None = None, target: str = "target") -> DataFrame:
+    """Waves of each band and steps that all bands share: keys, target, pred (an array of bands)."""
+    c = config or HarmonicConfig()
+
+    def make(r):
+        t, y = arrays(r["t"], r["y"])
+        yield (_nullable(joint.predict_joint(t * DAY, y, r[target] * DAY, c)),)
+
+    return map_series(series, make, "pred array<double>", [*keys, target])
+
+
 def fit_scalar(series: DataFrame, keys: list[str], config: HarmonicConfig | None = None, target: str = "target") -> DataFrame:
     """Huber ridge with outlier removal for each band: keys, band, valid, n_freqs, pred."""
     c = config or HarmonicConfig()

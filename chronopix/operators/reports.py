@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import tables
 from . import metrics
 
 KEYS = ["scene", "method"]
 SCALE = 10_000.0
-STATS = ["n", "valid_ratio", "bias", "mae", "rmse", "std", "median", "p05", "p95", "min", "max"]
 
 
 def paired(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -56,8 +56,7 @@ def pair_report(pixels: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    columns = ["section", "scene", "method", "product", "band_or_index", "class_kind", "class_name", "truth_class", "pred_class", "n", "valid_ratio", "fraction", *STATS[2:]]
-    return out.select(*columns)
+    return out.select(*[F.col(name).cast(kind).alias(name) for name, kind in (x.split() for x in tables.SUMMARY.split(", "))])
 
 
 def site_metrics(pixels: DataFrame) -> DataFrame:

@@ -137,6 +137,12 @@ def frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(spark, sf, make, "strongest int, n_all int, preferred double")
 
 
+@query("m10_known_frequencies", "SELECT p_partkey, p_size IN (7, 30) AS known FROM part")
+def known_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    f = 1 / (F.col("p_size") * 86400.0)
+    return table(spark, sf, "part").select("p_partkey", C.frequency_matches_any(f, F.array(F.lit(1 / (7 * 86400.0)), F.lit(1 / (30 * 86400.0)))).alias("known"))
+
+
 @query("g3_gap_labels", "SELECT p_partkey, CASE WHEN b = 19 THEN '[0.1900,+inf)' ELSE printf('[%.4f,%.4f)', b * 0.01, (b + 1) * 0.01) END AS label FROM (SELECT p_partkey, least(19, p_size - 1) AS b FROM part)")
 def gap_labels(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").withColumn("bin", C.gap_bin((F.col("p_size") - 0.5) / 100, 20))

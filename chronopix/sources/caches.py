@@ -57,7 +57,8 @@ def scene_meta(path: str) -> dict:
 
 
 def write_scene_cache(path: str, cubes: dict[str, np.ndarray], times: dict[str, list[str]], source: str, lon: float, lat: float, geo: list[float], crs: str | None = None, nodata: float | None = None, fingerprint: str | None = None) -> None:
-    """Writes beside and renames, so no reader meets half a cache."""
+    """W3 from arrays at hand, such as a fixture's; write_planes() is for tables. Writes beside and renames, so no reader meets half a
+    cache."""
     os.makedirs(path, exist_ok=True)
     shape = next(iter(cubes.values())).shape[1:]
     band_meta, offset = [], 0
@@ -236,30 +237,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SampleCacheSource)
 
 
-def write_sample_cache(path: str, samples: list[dict], bands: list[str], scenes: list[dict], least: int, seed: int, source: str) -> None:
-    """From rows with scene_id, row, col and y (times, bands); scenes have scene_id, lon, lat, rows, cols and times."""
-    tmp = path.rstrip("/") + ".tmp"
-    os.makedirs(tmp)
-    widest = max((len(s["times"]) for s in scenes), default=0)
-    listed, offset = [], 0
-    for s in scenes:
-        listed.append({"scene_id": s["scene_id"], "source_name": source, "lon": s["lon"], "lat": s["lat"], "rows": s["rows"], "cols": s["cols"], "n_times": len(s["times"]), "time_offset": offset, "n_sampled": sum(x["scene_id"] == s["scene_id"] for x in samples), "cache_dir": s.get("cache_dir", "")})
-        offset += len(s["times"])
-    with open(f"{tmp}/samples.f32.bin", "wb") as f, open(f"{tmp}/mask.u8.bin", "wb") as g, open(f"{tmp}/index.u64.bin", "wb") as h:
-        for s in samples:
-            y = np.full((widest, len(bands)), np.nan, dtype="<f4")
-            y[: len(s["y"])] = s["y"]
-            f.write(y.tobytes())
-            g.write(np.isfinite(y).all(1).astype("u1").tobytes())
-            h.write(np.array([s["scene_id"], s["row"], s["col"], len(s["y"])], dtype="<u8").tobytes())
-    np.concatenate([np.asarray(s["times"], dtype="<f8") for s in scenes] or [np.empty(0)]).tofile(f"{tmp}/scene_times.f64.bin")
-    meta = {"version": VERSION, "source_name": source, "dtype": DTYPE, "layout": SAMPLE_LAYOUT, "mask_layout": MASK_LAYOUT, "index_layout": INDEX_LAYOUT, "n_samples": len(samples), "max_times": widest, "n_bands": len(bands), "bands": bands, "sample_file": "samples.f32.bin", "mask_file": "mask.u8.bin", "scene_time_file": "scene_times.f64.bin", "index_file": "index.u64.bin", "index_columns": ["scene_id", "row", "col", "n_times"], "min_joint_valid": least, "seed": seed, "scenes": listed}
-    with open(f"{tmp}/meta.json", "w", encoding="utf-8") as f:
-        json.dump(meta, f)
-    os.replace(tmp, path)
-
-
-def usable_scenes(spark: SparkSession, pattern: str, source: str) -> DataFrame:
+def usable_scenes(spark: SparkSession, pattern: str | list[str], source: str) -> DataFrame:
     """Metas of the source with the right version and layout and the same timestamps in every band."""
     m = spark.read.option("multiLine", "true").json(pattern)
     same = F.size(F.array_distinct(F.transform("band_meta", lambda b: b["timestamps"]))) == 1

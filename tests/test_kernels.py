@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chronopix.config import Algorithm, ConfigError, HantsConfig, HarmonicConfig, LassoConfig
-from chronopix.kernels import basics, hants, harmonic, lasso, ridge, spectrum, steps
+from chronopix.kernels import basics, hants, harmonic, joint, lasso, ridge, spectrum, steps
 
 DAY = 86400.0
 
@@ -172,8 +172,8 @@ def test_multi_output_ridge_by_normal_equations():
     rng = np.random.default_rng(2)
     x, z, w, pen = rng.normal(size=(30, 4)), rng.normal(size=(30, 3)), rng.uniform(0.1, 1, 30), np.array([0.1, 0.2, 0.3, 0.4])
     a = x.T @ (w[:, None] * x) + np.diag(pen)
-    assert np.allclose(ridge.multi_output_ridge(x, z, w, pen, 0.0), np.linalg.solve(a, x.T @ (w[:, None] * z)))
-    theta = ridge.multi_output_ridge(x, z, w, pen, 0.7)
+    assert np.allclose(ridge.MultiRidge(x, z, pen, 0.0).solve(w), np.linalg.solve(a, x.T @ (w[:, None] * z)))
+    theta = ridge.MultiRidge(x, z, pen, 0.7).solve(w)
     rhs = x.T @ (w[:, None] * z)
     mean = rhs.mean(1, keepdims=True)
     s = np.diag([0, 0.7, 0.7, 0.7])
@@ -252,3 +252,43 @@ def test_basics():
     t, target = basics.days_to_seconds([0, 10.0], 5)
     assert t[1] == 864000 and target == 432000
     assert basics.days_to_seconds([0, 1e6], 5)[1] == 5
+
+
+def stepped(n=160, seed=1):
+    """Three bands with a season, a small wave of one band's own, and steps at the same date."""
+    rng = np.random.default_rng(seed)
+    t = np.sort(rng.choice(np.arange(0, 1800, 5), n, replace=False)).astype(float)
+    season = np.sin(2 * np.pi * t / 365.25)
+    y = np.column_stack([2000 + 400 * season, 3000 + 600 * season + 60 * np.cos(2 * np.pi * t / 91.3), 1500 - 300 * season])
+    y += np.where(t[:, None] > 900, [800.0, -600.0, 400.0], 0.0) + rng.normal(0, 20, y.shape)
+    return t, y
+
+
+def test_joint_steps():
+    t, y = stepped()
+    c = HarmonicConfig(modes=128, ridge_lam=0.01, freq_weight=1.0, lambda_step=0.2, lambda_high=0.02, frequency_selection="spectral", include_trend=False, power_cum=0.98)
+    hole = (t > 1200) & (t < 1260)
+    truth = y[hole].mean(0)
+    got = np.mean([joint.predict_joint(t[~hole] * 86400, y[~hole], x * 86400, c) for x in t[hole]], axis=0)
+    assert np.abs(got - truth).max() < 250
+    without = np.mean([joint.predict_joint(t[~hole] * 86400, y[~hole], x * 86400, HarmonicConfig(**{**c.__dict__, "lambda_step": 1e7})) for x in t[hole]], axis=0)
+    assert np.abs(got - truth).max() < 0.7 * np.abs(without - truth).max()
+
+
+def test_joint_model_of_too_little():
+    t, y = stepped(40)
+    c = HarmonicConfig(modes=64)
+    y[5:, 1] = np.nan
+    assert np.isnan(joint.predict_joint(t * 86400, y, 86400.0, c)).all()
+    assert np.isnan(joint.predict_joint(t[:5], y[:5], 1.0, c)).all()
+
+
+def test_private_frequencies_keep_apart():
+    f = np.arange(1, 21) * 0.05
+    p = np.ones(20)
+    p[[3, 4, 9, 15]] = [50, 40, 30, 20]
+    c = HarmonicConfig(refine_peaks=False, num_peaks=6, power_cum=0.95, ignore_dc_hz=0.0, spectral_merge_tol=0.05, private_top_k_per_band=2)
+    assert joint.private_frequencies(f, p, [0.2], 1.0, c) == pytest.approx([0.25, 0.5])
+    assert joint.private_frequencies(f, p, [0.2, 0.5], 1.0, c) == pytest.approx([0.25, 0.8])
+    both = joint.mixed_penalty([0.2, 0.25, 0.5], [0.2], [0.25, 0.5], HarmonicConfig(ridge_lam=1.0, freq_weight=0.0, lambda_high=0.0, private_freq_penalty_mult=2.0))
+    assert both.tolist() == [1, 1, 1, 1, 4, 4, 4, 4]

@@ -96,7 +96,8 @@ def test_sample_cache(spark, tmp_path):
     path = str(tmp_path / "samples")
     y = np.arange(8, dtype=float).reshape(4, 2)
     y[1, 0] = np.nan
-    caches.write_sample_cache(path, [{"scene_id": 0, "row": 1, "col": 2, "y": y}], ["B2", "B3"], [{"scene_id": 0, "lon": 0.0, "lat": 0.0, "rows": 3, "cols": 3, "times": [0.0, 86400, 172800, 259200]}], 2, 1, "src")
+    one = spark.createDataFrame([(0, 0, 1, 2, [[None if np.isnan(v) else float(v) for v in r] for r in y])], "sample_idx long, scene_id long, row int, col int, y array<array<double>>")
+    caches.write_samples(one, path, ["B2", "B3"], [{"scene_id": 0, "lon": 0.0, "lat": 0.0, "rows": 3, "cols": 3, "times": [0.0, 86400, 172800, 259200]}], 2, 1, "src")
     caches.register(spark)
     r = spark.read.format("sample_cache").option("path", path).load().first()
     assert (r.scene_id, r.row, r.col, r.n_times) == (0, 1, 2, 4) and r.mask == [True, False, True, True] and r.y[1][0] is None
