@@ -436,21 +436,21 @@ def exact_pairs(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
 
 
 def second_keys(sets_: DataFrame, order) -> DataFrame:
-    """(run, sig) of sets (sig, tokens, xs): two linked sets whose first common shingle is one of xs have a second one in the first
+    """(run, sig, outside) of sets (sig, tokens, xs, outside): two linked sets whose first common shingle is one of xs have a second one in the first
     n - ceil(0.8 n) + 2 of each; a run is named by the two."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         logs, _ = order.value
         for b in batches:
-            for sig, tokens, xs in zip(b["sig"], b["tokens"], b["xs"], strict=True):
+            for sig, tokens, xs, outside in zip(b["sig"], b["tokens"], b["xs"], b["outside"], strict=True):
                 keys = np.sort(ordered_keys(np.frombuffer(bytes(tokens), dtype=np.uint64), logs))[: prefix_length(len(tokens) // 8) + 1]
                 out = [np.empty(0, dtype=np.uint64)]
                 for x in np.array(xs, dtype=np.int64).view(np.uint64):
                     out.append(mix(keys[np.searchsorted(keys, x) + 1 :] ^ mix(x[None])))
                 runs = np.concatenate(out).view(np.int64)
-                yield pd.DataFrame({"run": runs, "sig": [bytes(sig)] * len(runs)})
+                yield pd.DataFrame({"run": runs, "sig": [bytes(sig)] * len(runs), "outside": outside})
 
-    return sets_.mapInPandas(run, "run long, sig binary")
+    return sets_.mapInPandas(run, "run long, sig binary, outside boolean")
 
 
 def linked_pairs(known: DataFrame, bits: DataFrame, found: DataFrame, order) -> DataFrame:
@@ -464,8 +464,8 @@ def linked_pairs(known: DataFrame, bits: DataFrame, found: DataFrame, order) ->
     group = lambda rows: rows.groupBy("run").agg(F.collect_list(F.struct("sig", "n", "bits", "label", "outside")).alias("members"), F.max("outside").alias("some")).filter("some")
     small_runs = found.filter("x IS NULL").dropDuplicates(["run"]).select("run", F.explode("sigs").alias("sig")).join(marks, "sig")
     pairs = tree_pairs(group(small_runs))
-    large = found.filter("x IS NOT NULL").select("x", F.explode("sigs").alias("sig")).join(marks.select("sig"), "sig").groupBy("sig").agg(F.collect_set("x").alias("xs"))
-    seconds = save(second_keys(known.select("sig", "tokens").join(large, "sig"), order).join(marks.select("sig", "outside"), "sig"), "jaccard-seconds", rows=20)
+    large = found.filter("x IS NOT NULL").select("x", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.collect_set("x").alias("xs"))
+    seconds = save(second_keys(known.select("sig", "tokens", "outside").join(large, "sig"), order), "jaccard-seconds", rows=20)
     counts = seconds.groupBy("run").agg(F.count(F.lit(1)).alias("c"), F.max("outside").alias("some")).filter("c > 1 AND some")
     counts = save(counts, "jaccard-counts")
     few = seconds.drop("outside").join(counts.filter(F.col("c") <= BIG).select("run"), "run").join(marks, "sig")
