@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import marked, row_key, save, without
+from .common import marked, row_key, save, small, without
 
 WINDOW, LEAST_WORDS, COVER, RUN = 5, 3, 0.8, 13
 #: Windows of items have some 50 bytes; they are broadcast up to so many rows, and shuffled beyond.
@@ -188,7 +188,8 @@ def find_leaks(
     templates = items.groupBy("template").agg(F.min("form").alias("form"), F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"), F.max("literal").alias("literal"))
     templates = save(templates.join(known, "template", "left").withColumn("words", F.size("form")), "leak-templates")
     members = items.select("template", F.xxhash64(_valued(F.col("item"))).alias("values"), "item_id").groupBy("template", "values").agg(F.min("item_id").alias("same_id"), F.lit(True).alias("exact"))
-    size = templates.agg(F.sum(F.octet_length(F.array_join("form", " ")) + 64)).first()[0] or 0
+    bytes_of = F.octet_length(F.array_join("form", " ")) + F.coalesce(F.octet_length(F.to_json("names")), F.lit(0)) + 64
+    size = templates.agg(F.sum(bytes_of)).first()[0] or 0
     if not size:
         windows, widths, exact = None, [], []
     else:
@@ -212,7 +213,7 @@ def find_leaks(
     )
     cut = asked.join(texts, "spot").select("doc_id", "row_key", F.explode(F.transform("hits", lambda h: F.struct(h["template"].alias("template"), h["first"].alias("first"), part(h).alias("d")))).alias("h"))
     pairs = cut.select("doc_id", "row_key", "h.*").withColumn("values", F.xxhash64(_valued(F.col("d"))))
-    pairs = pairs.join(F.broadcast(members) if size <= BROADCAST_BYTES else members, ["template", "values"], "left").join(held, "template")
+    pairs = pairs.join(small(members), ["template", "values"], "left").join(held, "template")
     pairs = pairs.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumn("z", F.arrays_zip("d", F.col("form").alias("i")))
     kind = lambda x: F.when(_blank(x), F.substring(x, 1, 1)).otherwise(x)
     name = lambda x: x.startswith(NAME)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, packing, planes, quality, sharding, topk, warc
+from . import chat, decontaminate, jaccard, language, oracles, packing, planes, quality, sharding, topk, warc
 from .common import table
 
 
@@ -18,7 +18,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    return scored.select("doc_id", "held_out", F.round("score", 6).alias("score"), "predicted")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +30,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, with the trigrams, suffixes, confusion and priors of web pages as further evidence."""
     pages = language.evidence_rows(language.page_evidence(table(spark, sf_dir, "pages")), declared_col="declared", host_col="host")
     judged = language.identify(table(spark, sf_dir, "documents"), evidence=pages)
-    return judged.select("doc_id", "language", "posterior", "text_language", "declared", "kept")
+    return judged.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared", "kept")
 
 
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages: languages from the text, the markup's declaration, and host and suffix of the address."""
     pages = language.page_evidence(table(spark, sf_dir, "pages"))
     judged = language.identify(pages, declared_col="declared", host_col="host", evidence=language.evidence_rows(table(spark, sf_dir, "documents")))
-    return judged.select(F.col("doc_id").alias("page_id"), "language", "posterior", "text_language", "declared", "kept")
+    return judged.select(F.col("doc_id").alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared", "kept")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": jaccard.ORACLE_SQL, "op8_exact_top_k": TOP_K_SQL, "op9_warc": WARC_SQL, "op10_chat": chat.ORACLE_SQL}
+    languages = {"op4_language": oracles.language_sql(False), "page_languages": oracles.language_sql(True)}
+    return {"op2_quality": oracles.quality_sql(), **languages, "op5_ngram_jaccard": jaccard.ORACLE_SQL, "op8_exact_top_k": TOP_K_SQL, "op9_warc": WARC_SQL, "op10_chat": chat.ORACLE_SQL}
 
 
 TOP_K_SQL = """
