@@ -56,7 +56,7 @@ shrunk AS (SELECT y, ln(c / total) AS weight, {', '.join(f'm{i}' for i in range(
 {', '.join(walk)},
 density AS (SELECT r, max(CASE WHEN y = 0 THEN g END) AS g0, max(CASE WHEN y = 1 THEN g END) AS g1 FROM (SELECT r, y, weight - 0.5 * ({distance}) AS g FROM z{d - 1}) GROUP BY r),
 scores AS (SELECT r, 1 / (1 + exp(least(500, greatest(-500, g0 - g1)))) AS score FROM density)
-SELECT doc_id, held_out, round(score, 6) AS score, CAST(score >= 0.5 AS INTEGER) AS predicted FROM rows JOIN held USING (r) JOIN scores USING (r)
+SELECT doc_id, held_out, round(score, 6) AS score, CAST(round(score, 6) >= 0.5 AS INTEGER) AS predicted FROM rows JOIN held USING (r) JOIN scores USING (r)
 """
 
 

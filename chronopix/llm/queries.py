@@ -18,7 +18,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", F.round("score", 6).alias("score"), "predicted")
+    score = F.round("score", 6)
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
