@@ -259,8 +259,9 @@ def evaluate_rasters(spark: SparkSession, args: argparse.Namespace) -> None:
         index = reports.indices(pairs).withColumnRenamed("index", "band")
         for r in shapes:  # a raster at a time: each is one file
             own = lambda df: df.filter((F.col("scene") == r.scene) & (F.col("method") == r.method))  # noqa: B023, E731
-            for kind, df, bands in (("DIFF", pairs, list(C.BANDS)), ("INDEX_DIFF", index, [k.upper() for k in C.INDICES])):
-                px = own(df).select(F.lit(f"{args.output}/rasters/{kind}_[{r.method}]_{r.scene}.tif").alias("path"), "row", "col", "band", F.col("error").cast("float").alias("value"))
+            names = [k.upper() for k in C.INDICES]
+            for kind, df, bands, value in (("DIFF", pairs, list(C.BANDS), "error"), ("INDEX", index, names, "pred"), ("INDEX_DIFF", index, names, "error")):
+                px = own(df).select(F.lit(f"{args.output}/rasters/{kind}_[{r.method}]_{r.scene}.tif").alias("path"), "row", "col", "band", F.col(value).cast("float").alias("value"))
                 rasters.write_files(rasters.encode_stacks(px, ["path"], bands, r.rows, r.cols, list(r.geo_transform), NODATA)).collect()
         values = index.withColumn("index", F.col("band"))
         tables.write_csv(tables.index_manifest(values, ["scene", "method", "index"], "pred"), f"{args.output}/index_manifest", 1)

@@ -179,5 +179,6 @@ def test_reports_over_pairs_of_rasters(spark, tmp_path):
     diff = raster(f"{tmp_path}/out/rasters/DIFF_[hants]_a.tif").read()
     assert np.allclose(diff[0], error[0], atol=1e-2) and diff[2, 0, 0] == -9999
     assert raster(f"{tmp_path}/out/rasters/INDEX_DIFF_[hants]_a.tif").descriptions == [k.upper() for k in C.INDICES]
+    assert np.allclose(raster(f"{tmp_path}/out/rasters/INDEX_[hants]_a.tif").read()[0][1:], ndvi(pred.astype(float))[1:], atol=1e-5)
     classes = [r for r in rows if r["section"] == "confusion" and r["band_or_index"] == "NDVI"]
     assert len(classes) == 25 and sum(int(r["n"]) for r in classes) == 19
