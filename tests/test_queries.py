@@ -11,9 +11,8 @@ def test_matches_sql(spark, name):
     same_rows(spark, plans.queries()[name], plans.oracle_sql()[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
-def test_runs(spark, name):
-    assert plans.queries()[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(plans.queries()) == set(plans.oracle_sql())
 
 
 def test_entry(spark):
