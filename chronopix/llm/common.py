@@ -235,16 +235,21 @@ def row_key(*columns: str | Column) -> Column:
 def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     """Rows of docs, with all columns, whose row key is not among the row_key of gone.
 
-    Only rows that a bitmap over the keys (2**27 bits at most) can't clear are shuffled for the exact anti-join.
+    A bitmap over the keys (2**27 bits at most) clears nearly all rows that stay. Of what it marks, only keys are shuffled, to find
+    those that it marks by chance; rows with such a key stay too.
     """
-    keys = save(gone.select("row_key").filter("row_key IS NOT NULL").distinct(), "gone")
-    bits = min(27, max(16, (16 * keys.count()).bit_length()))
     name = f"_key_{uuid.uuid4().hex}"  # no column of docs has such a name
-    wanted = keys.withColumnRenamed("row_key", name)
+    wanted = save(gone.select(F.col("row_key").alias(name)).filter(F.col(name).isNotNull()).distinct(), "gone")
+    width = lambda n: min(27, max(16, (64 * n).bit_length()))
+    bits = width(wanted.count())
     own = docs.withColumn(name, key)
-    near = marked(own, wanted, F.col(name), bits, others=True)
-    far = marked(own, wanted, F.col(name), bits).join(wanted, name, "left_anti")
-    return near.select(*docs.columns).unionByName(far.select(*docs.columns))
+    near = marked(own, wanted, F.col(name), bits, others=True).select(*docs.columns)
+    spared = save(marked(own.select(name), wanted, F.col(name), bits).join(wanted, name, "left_anti").distinct(), "spared")
+    many = spared.count()
+    if not many:
+        return near
+    far = marked(own, spared, F.col(name), width(many)).join(small(spared), name, "left_semi")
+    return near.unionByName(far.select(*docs.columns))
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

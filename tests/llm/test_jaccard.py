@@ -174,3 +174,23 @@ def test_a_star_of_unlike_classes(spark, monkeypatch):
     rows = [(i, f"five words that all share {own(i)}") for i in range(3000)] + [(5000, f"five words that all share {own(17)} tail")]
     got = {r.doc_id: r.component_id for r in jaccard.similar_components(brute.documents(spark, rows)).collect()}
     assert got == {i: i for i in range(3000)} | {5000: 17} and sum(pairs) < 100
+
+
+@pytest.mark.parametrize("least", [16, 4])
+def test_without_is_exact(spark, monkeypatch, least):
+    """Also where the bitmap marks many rows by chance."""
+    from pyspark.sql import functions as F
+
+    from chronopix.llm import common
+
+    if least < 16:
+        marked = common.marked
+        monkeypatch.setattr(common, "marked", lambda df, wanted, key, bits=22, others=False: marked(df, wanted, key, 7, others))
+    docs = brute.documents(spark, [(i if i % 5 else None, f"text {i}") for i in range(600)])
+    key = common.row_key("doc_id", "text")
+    for share in (2, 601):
+        gone = docs.filter(F.expr(f"cast(substring(text, 6) as int) % {share} = 1")).select(key.alias("row_key"))
+        left = common.without(docs, gone, key)
+        assert left.columns == docs.columns
+        assert sorted(r.text for r in left.collect()) == sorted(f"text {i}" for i in range(600) if i % share != 1)
+    assert common.without(docs, docs.limit(0).select(key.alias("row_key")), key).count() == 600
