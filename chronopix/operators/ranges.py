@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Keys sampled for each range: ranges are then equal within some tenth.
+SAMPLED = 100
 
 
 def in_ranges(df: DataFrame, order: list[Column | str], parts: int | None = None) -> DataFrame:
-    """df dealt to sorted ranges of `order`, with _span, a range's number, rising in that order.
+    """df with _span, the number of the sorted range of `order` that a row is in, rising in that order; equal keys stay together.
 
-    Spark's range partitioner samples the keys, so ranges are about equal; equal keys stay together.
+    Bounds are taken once, from a sample of keys, and a row's range follows from its key alone: plans that compute df again, in part or
+    after a lost task, find the same ranges. Spark's range partitioner samples anew in each plan, and two samples have different bounds.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("_span", F.spark_partition_id())
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
+    keys = df.select(key.alias("_key"))
+    rows = [r[0] for r in keys.orderBy(F.rand()).limit(SAMPLED * n).orderBy("_key").collect()]  # SAMPLED keys a range
+    bounds = spark.createDataFrame([([rows[len(rows) * i // n] for i in range(1, n)] if rows else [],)], T.StructType([T.StructField("_bounds", T.ArrayType(keys.schema[0].dataType))]))
+    # the number of bounds that are not above the key
+    return df.join(F.broadcast(bounds)).withColumn("_key", key).withColumn("_span", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_key", "_bounds")
 
 
 def running_sum(df: DataFrame, order: list[Column | str], value: Column | str, name: str, parts: int | None = None) -> DataFrame:

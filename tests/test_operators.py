@@ -146,3 +146,18 @@ def test_stream_of_daily_means(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.v) for r in spark.table("daily").collect()) == [(1, 5.0), (2, 2.0)]
+
+
+def test_numbers_of_more_rows_than_a_sample_of_ranges(spark):
+    """Ranks and sums are those of one set of ranges, also where plans compute the rows twice with other columns."""
+    from pyspark.sql import functions as F
+
+    from chronopix.operators.ranges import numbered, running_sum
+
+    df = spark.range(0, 60000, 1, 7).select((F.col("id") * 7919 % 20000).alias("k"), (F.col("id") % 5).alias("v")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+    for parts in (3, 8):
+        got = numbered(df, ["k"], "i", parts).select("i", "k", "n", "v").collect()
+        assert sorted(r.i for r in got) == list(range(20000)) and all(r.i == r.k for r in got)
+        sums = running_sum(df, ["k"], "n", "lo", parts).select("lo", "k", "v").collect()
+        assert all(r.lo == 3 * r.k for r in sums)
+    assert numbered(df.filter("n > 9"), ["k"], "i").collect() == []
