@@ -292,3 +292,12 @@ def test_private_frequencies_keep_apart():
     assert joint.private_frequencies(f, p, [0.2, 0.5], 1.0, c) == pytest.approx([0.25, 0.8])
     both = joint.mixed_penalty([0.2, 0.25, 0.5], [0.2], [0.25, 0.5], HarmonicConfig(ridge_lam=1.0, freq_weight=0.0, lambda_high=0.0, private_freq_penalty_mult=2.0))
     assert both.tolist() == [1, 1, 1, 1, 4, 4, 4, 4]
+
+
+def test_gridded_power_of_coherent_times():
+    """Samples that all lie between two nodes of the grid: there a kernel with a fixed parameter of 10 is off by over a ten-thousandth."""
+    t = (np.arange(128) + 0.5) * 1.0
+    t, y = np.concatenate(([0.0], t, [128.0])), np.ones((130, 1))
+    _, p1 = spectrum.power(t, y, 64, method="direct")
+    _, p2 = spectrum.power(t, y, 64, method="gridded")
+    assert np.abs(p1 - p2).max() < 1e-6 * p1.max()
