@@ -113,12 +113,15 @@ class HantsConfig(_Strict):
     valid_min: float | None = None
     valid_max: float | None = None
     period: float = 365.25
+    passes: int | None = None
 
     section = "hants"
 
     def validate(self) -> None:
         if self.nof < 1 or self.period <= 0 or self.fet < 0:
             raise ConfigError("nof and period must be positive, fet not negative")
+        if self.passes is not None and self.passes < 1:
+            raise ConfigError("passes must be positive")
         if self.sf not in ("low", "high", "none"):
             raise ConfigError("sf must be low, high or none")
 

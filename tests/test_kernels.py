@@ -301,3 +301,10 @@ def test_gridded_power_of_coherent_times():
     _, p1 = spectrum.power(t, y, 64, method="direct")
     _, p2 = spectrum.power(t, y, 64, method="gridded")
     assert np.abs(p1 - p2).max() < 1e-6 * p1.max()
+
+
+def test_hants_ends_with_the_fit_of_the_last_pass():
+    t, y = np.arange(12.0), np.array([0.0] * 8 + [10, 30, 90, 300])
+    passes = [hants.fit(t, y, HantsConfig(nof=1, sf="high", fet=1.0, dod=0, passes=k)) for k in (1, 2, None)]
+    assert [f.n_iterations for f in passes] == [1, 2, 3]
+    assert [f.coeffs[0] for f in passes] == pytest.approx([y.mean(), y[:10].mean(), 0.0])
