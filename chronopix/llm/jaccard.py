@@ -9,8 +9,10 @@ document's component. The steps:
 2. `runs`: a class is sent under the shingles of its prefix. Two sets linked share one of the first
    n - ceil(0.8 n) + 1 shingles of any fixed order; the order puts shingles of larger sketch counts later, so a passage
    that many documents share brings only those together which consist of little else. Of a run, classes
-   stay that have a partner there whose size and position allow a link; equal runs are kept once. Runs of
-   more than BIG classes become candidates as a star.
+   stay that have a partner there whose size and position allow a link. Runs of more than BIG classes become candidates as a star.
+   Unlike sets that are linked have four shingles or more in common, so prefixes are COMMON - 1 longer and linked sets share
+   COMMON shingles of them. `shared_runs` keeps equal runs once and counts their shingles; of runs with fewer than COMMON, only
+   pairs go on that have so many in all. The pairs that meet by chance grow with the square of the input, and end here, as keys.
 3. `tree_edges`: within a run a signature tree is traversed against itself. Its nodes hold OR-combined bitmaps, the range
    of set sizes, and the largest excess of a set over its bits; a node pair is left out when its largest possible overlap,
    common bits + the smaller excess, is below the least overlap that sets of such sizes need. Pairs of leaves that are left
@@ -42,12 +44,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, marked, row_key, save, small, spread_lookup, utf8, without
+from .common import components, lookup, marked, release, row_key, save, small, spread_lookup, utf8, without
 from .shingles import WORDS, binary_column, mix, shingle_sets, slices, word_hashes
 
 SKETCH, CHUNKS = 22, 64
 BIG, CLUSTER, BLOCK = 1024, 512, 256
 BUCKET = 300_000
+COMMON, FEW = 3, 24
 HOT = 1 << 20
 ENTRY = np.dtype([("key", "<u8"), ("sig", "V16"), ("n", "<u4"), ("pos", "<u4")])
 HALVES = np.dtype([("key", "<u8"), ("high", "<u8"), ("low", "<u8"), ("n", "<u4"), ("pos", "<u4")])
@@ -193,7 +196,7 @@ def _prefix_entries(source: DataFrame, order, buckets: int, words: int) -> DataF
                     if not n or not seen.new(sig := signature(t.tobytes())):
                         continue
                     keys = ordered_keys(t, logs)
-                    p = prefix_length(n)
+                    p = min(n, prefix_length(n) + COMMON - 1)
                     e = np.empty(p, dtype=ENTRY)
                     e["key"] = np.sort(np.partition(keys, p - 1)[:p]) if p < n else np.sort(keys)
                     e["sig"], e["n"], e["pos"] = np.void(sig), n, np.arange(p)
@@ -209,8 +212,8 @@ def _prefix_entries(source: DataFrame, order, buckets: int, words: int) -> DataF
 
 
 def _runs(entries: DataFrame, buckets: int, usual: int) -> DataFrame:
-    """(run, key, x, sigs): classes that share a prefix shingle x; key only where others of the shingle are in other buckets, x only
-    there and in runs of more than BIG."""
+    """(run, key, x, sigs, many): classes that share a prefix shingle x, or `many` of them; key only where others of the shingle are in
+    other buckets, x only there and in runs of more than BIG. Of a run in which few pairs may be linked, each is a run of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blobs: dict[int, list[bytes]] = {}
@@ -226,38 +229,69 @@ def _runs(entries: DataFrame, buckets: int, usual: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
             ends = np.append(starts[1:], len(e))
             hot = (e["key"][starts] >> np.uint64(58)) + np.uint64(usual) >= np.uint64(HOT.bit_length())
-            rest, n = (e["n"] - e["pos"]).astype(np.int64), e["n"].astype(np.int64)
+            # COMMON - 1 shared shingles at most come before one that counts
+            rest, n = e["n"].astype(np.int64) - e["pos"] + (COMMON - 1), e["n"].astype(np.int64)
             many = ends - starts
             two = np.flatnonzero((many == 2) & ~hot)
             i = starts[two]
             apart = np.minimum(rest[i], rest[i + 1]) < least_overlap(n[i], n[i + 1])
             take = (many > 1) | hot
             take[two[apart]] = False
-            out: dict[bytes, tuple] = {}
+            out: dict[bytes, list] = {}
+
+            def add(m, key, x):
+                raw = m.view(ENTRY)["sig"].tobytes()
+                name = hashlib.blake2b(raw if x is None else raw + m["key"][0].tobytes(), digest_size=16).digest()
+                if name in out:
+                    out[name][4] += 1
+                else:
+                    out[name] = [name, key, x, [raw[q : q + 16] for q in range(0, len(raw), 16)], 1]
+
             for s, t, h in zip(starts[take], ends[take], hot[take], strict=True):
                 m = e[s:t]
                 if not h and 2 < len(m) <= BIG:
                     # of two sets, the shared shingle and what comes after it in either must reach the least overlap
                     fits = np.minimum(rest[s:t, None], rest[None, s:t]) >= least_overlap(n[s:t, None], n[None, s:t])
                     np.fill_diagonal(fits, False)
-                    m = m[fits.any(1)]
-                    if not len(m):
-                        continue
-                raw = m.view(ENTRY)["sig"].tobytes()
-                x = int(e["key"][s].astype(np.int64)) if h or len(m) > BIG else None
-                name = hashlib.blake2b(raw if x is None else raw + e["key"][s].tobytes(), digest_size=16).digest()
-                out[name] = (name, int(e["key"][s] >> np.uint64(1)) if h else None, x, [raw[q : q + 16] for q in range(0, len(raw), 16)])
+                    left, right = np.nonzero(np.triu(fits))
+                    if len(left) <= len(m):
+                        for pair in zip(left, right, strict=True):
+                            add(m[list(pair)], None, None)
+                    else:
+                        add(m[fits.any(1)], None, None)
+                else:
+                    add(m, int(e["key"][s] >> np.uint64(1)) if h else None, int(e["key"][s].astype(np.int64)) if h or len(m) > BIG else None)
                 if len(out) >= 2000:
                     yield _run_frame(out)
                     out.clear()
             if out:
                 yield _run_frame(out)
 
-    return entries.repartition(buckets, "bucket").mapInPandas(run, "run binary, key long, x long, sigs array<binary>")
+    return entries.repartition(buckets, "bucket").mapInPandas(run, "run binary, key long, x long, sigs array<binary>, many int")
 
 
-def _run_frame(out: dict[bytes, tuple]) -> pd.DataFrame:
-    return pd.DataFrame(list(out.values()), columns=["run", "key", "x", "sigs"]).astype({"key": "Int64", "x": "Int64"})
+def _run_frame(out: dict[bytes, list]) -> pd.DataFrame:
+    return pd.DataFrame(list(out.values()), columns=["run", "key", "x", "sigs", "many"]).astype({"key": "Int64", "x": "Int64"})
+
+
+def shared_runs(runs: DataFrame) -> DataFrame:
+    """(run, key, x, sigs): runs of which a linked pair is in at least one, equal ones once.
+
+    A linked pair shares COMMON shingles. It is in a run that has so many, or of over FEW classes; or all its runs have fewer,
+    and then their numbers add up to COMMON: of those, pairs are counted and stay as runs of two.
+    """
+    equal = save(runs.filter("x IS NULL").groupBy("run").agg(F.first("sigs").alias("sigs"), F.sum("many").alias("many")), "jaccard-equal")
+    weak = (F.col("many") < COMMON) & (F.size("sigs") <= FEW)
+    later = lambda a, i: F.transform(F.slice("sigs", i + 2, F.size("sigs")), lambda b: F.concat(a, b))
+    pairs = equal.filter(weak).select(F.explode(F.flatten(F.transform("sigs", later))).alias("run"), "many")
+    pairs = pairs.groupBy("run").agg(F.sum("many").alias("many")).filter(F.col("many") >= COMMON)
+    pairs = pairs.select("run", F.array(F.substring("run", 1, 16), F.substring("run", 17, 16)).alias("sigs"))
+    few = equal.filter(~weak).select("run", "sigs").unionByName(pairs)
+    none = F.lit(None).cast("long")
+    out = save(few.select("run", none.alias("key"), none.alias("x"), "sigs").unionByName(runs.filter("x IS NOT NULL").drop("many")), "jaccard-shared")
+    release(equal)
+    release(runs)
+    return out
 
 
 class SignatureTree:
@@ -436,14 +470,14 @@ def exact_pairs(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
 
 
 def second_keys(sets_: DataFrame, order) -> DataFrame:
-    """(run, sig, outside) of sets (sig, tokens, xs, outside): two linked sets whose first common shingle is one of xs have a second one in the first
-    n - ceil(0.8 n) + 2 of each; a run is named by the two."""
+    """(run, sig, outside) of sets (sig, tokens, xs, outside): of two linked sets, where one of the first COMMON common shingles is one of xs, the
+    next is in the first n - ceil(0.8 n) + COMMON + 1 of each; a run is named by the two."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         logs, _ = order.value
         for b in batches:
             for sig, tokens, xs, outside in zip(b["sig"], b["tokens"], b["xs"], b["outside"], strict=True):
-                keys = np.sort(ordered_keys(np.frombuffer(bytes(tokens), dtype=np.uint64), logs))[: prefix_length(len(tokens) // 8) + 1]
+                keys = np.sort(ordered_keys(np.frombuffer(bytes(tokens), dtype=np.uint64), logs))[: prefix_length(len(tokens) // 8) + COMMON]
                 out = [np.empty(0, dtype=np.uint64)]
                 for x in np.array(xs, dtype=np.int64).view(np.uint64):
                     out.append(mix(keys[np.searchsorted(keys, x) + 1 :] ^ mix(x[None])))
@@ -578,7 +612,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = sketch_classes(table)
     order = spark.sparkContext.broadcast(classes)
     buckets = max(12, -(-(shingles or 0) // 5 // BUCKET))
-    found = save(_runs(_prefix_entries(source, order, buckets, words), buckets, classes[1]), "jaccard-runs")
+    found = shared_runs(save(_runs(_prefix_entries(source, order, buckets, words), buckets, classes[1]), "jaccard-runs"))
 
     def star(x: DataFrame) -> DataFrame:
         return x.select(F.array_min("sigs").alias("a"), F.explode("sigs").alias("b")).filter("a <> b")

@@ -194,3 +194,14 @@ def test_without_is_exact(spark, monkeypatch, least):
         assert left.columns == docs.columns
         assert sorted(r.text for r in left.collect()) == sorted(f"text {i}" for i in range(600) if i % share != 1)
     assert common.without(docs, docs.limit(0).select(key.alias("row_key")), key).count() == 600
+
+
+def test_pairs_that_meet_by_chance_end_as_keys(spark, monkeypatch):
+    """Where the sketch tells no rare shingle from others, as on large inputs, unlike sets meet in a prefix shingle: no bitmap is sent for them."""
+    monkeypatch.setattr(jaccard, "sketch_classes", lambda table: (np.zeros(1 << jaccard.SKETCH, dtype=np.uint8), 0))
+    own = lambda i: " ".join(f"u{i}x{k}" for k in range(12))
+    rows = [(i, f"{own(i)} five words of group{i // 4} alone {own(-i - 1)}") for i in range(400)] + [(5000, f"{own(17)} five words of group4 alone {own(-18)} tail")]
+    c = jaccard.candidates(brute.documents(spark, rows))
+    assert {frozenset(bytes(s) for s in r.sigs) for r in c.found.collect()} == {frozenset(bytes(r.sig) for r in c.rows.filter("doc_id IN (17, 5000)").collect())}
+    rows = random_corpus(4)
+    assert found(jaccard.similar_components(brute.documents(spark, rows))) == brute.jaccard_components(rows)
