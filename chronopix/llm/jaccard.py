@@ -21,6 +21,7 @@ document's component. The steps:
    itself and with block 0. The tree proposes pairs not connected yet, and the sets decide exactly. What is then outside the
    cluster's largest component is checked by pairs (`linked_pairs`): those that share a run, and in runs of over BIG also a
    second prefix shingle, as far as the trees leave them, so unlike classes that have one shingle in common cost no pairs.
+   Where over BIG classes share both, blocks of those outside meet blocks of all (`dense_blocks`).
 5. Components of the verified links, as min-label stars in joins; each document gets its component's smallest doc_id.
 
 Defined cases: null and empty texts and texts without words have no shingles, no links and themselves as component;
@@ -487,11 +488,46 @@ def second_keys(sets_: DataFrame, order) -> DataFrame:
     return sets_.mapInPandas(run, "run long, sig binary, outside boolean")
 
 
-def linked_pairs(known: DataFrame, bits: DataFrame, found: DataFrame, order) -> DataFrame:
+def dense_blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, sig, outside, i, j, left, right) of members (run, sig, outside), classes of runs in which outside ones meet all: blocks that send
+    few copies of a set. A class is in block i of `left` blocks of outside classes, and in block j of `right` blocks of all.
+
+    Only outside classes go to every block of all, and all only to the blocks of outside ones. Runs of a cluster (roots: sig, root)
+    that have most classes in common are taken together if that sends fewer copies than run by run; no pair of a run is lost.
+    """
+
+    def sizes(rows: DataFrame, by: str) -> DataFrame:
+        counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("outside").cast("int")).alias("o"))
+        return counts.withColumn("right", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("left", F.ceil(F.col("o") / BLOCK).cast("int"))
+
+    sent = F.sum(F.col("o") * F.col("right") + F.col("c") * F.col("left")).alias("sent")
+    of_run = save(members.groupBy("run").agg(F.min("sig").alias("sig")).join(roots.select("sig", F.hex("root").alias("cluster")), "sig").select("run", "cluster"), "jaccard-run-clusters")
+    rows = members.join(small(of_run), "run")
+    apart = sizes(members, "run").join(of_run, "run").groupBy("cluster").agg(sent)
+    whole = rows.groupBy("cluster", "sig").agg(F.max("outside").alias("outside"))
+    both = apart.join(sizes(whole, "cluster").groupBy("cluster").agg(sent.alias("together")), "cluster")
+    together = save(both.select("cluster", (F.col("together") < F.col("sent")).alias("whole")), "jaccard-run-choice")
+    rows = rows.join(small(together), "cluster").withColumn("root", F.when(F.col("whole"), F.col("cluster")).otherwise(F.hex("run")))
+    rows = save(rows.groupBy("root", "sig").agg(F.max("outside").alias("outside")), "jaccard-dense-members")
+    block = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+    return rows.join(small(sizes(rows, "root").drop("c", "o")), "root").withColumn("i", block("left")).withColumn("j", block("right"))
+
+
+def dense_tasks(rows: DataFrame) -> DataFrame:
+    """Rows of dense_blocks() with tokens and label as rows of tasks: each block of outside classes with each block of all."""
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("outside").withColumn("j", numbers("right")).withColumn("part", F.lit(1))
+    right = rows.withColumn("i", numbers("left")).withColumn("part", F.lit(0))
+    keep = ["root", "i", "j", "sig", "tokens", "part", "label"]
+    return left.select(*keep).unionByName(right.select(*keep))
+
+
+def linked_pairs(known: DataFrame, bits: DataFrame, found: DataFrame, order, roots: DataFrame) -> DataFrame:
     """All links (a, b) between classes of known (sig, tokens, label, outside), but those within a label and those with no outside class.
 
     Candidates are the pairs that share a run of BIG classes at most, and in larger ones those that share a second prefix shingle
-    too, as far as the trees leave them. Where still more than BIG classes share both shingles, they are compared in blocks.
+    too, as far as the trees leave them. Where still more than BIG classes share both shingles, they are compared in blocks. roots (sig, root)
+    names the classes' clusters.
     """
     spark = known.sparkSession
     marks = save(known.select("sig", "label", "outside").join(bits, "sig"), "jaccard-marks")
@@ -508,13 +544,9 @@ def linked_pairs(known: DataFrame, bits: DataFrame, found: DataFrame, order) ->
     dense = counts.filter(F.col("c") > BIG)
     if not dense.limit(1).count():
         return links
-    rows = spread_lookup(seconds.drop("outside").join(small(dense.select("run", "c")), "run"), known.select("sig", "tokens", "label", "outside"), "sig", F.xxhash64("run"))
-    nb = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = save(rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")).withColumnRenamed("run", "root"), "jaccard-dense", "lz4")
-    left = rows.filter("outside").withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("part", F.lit(1))
-    right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("j", F.col("block")).withColumn("part", F.lit(0))
-    keep = ["root", "i", "j", "sig", "tokens", "part", "label"]
-    return links.unionByName(verified(_gather(left.select(*keep).unionByName(right.select(*keep))), every=True)).distinct()
+    rows = dense_blocks(seconds.join(small(dense.select("run")), "run"), roots)
+    rows = spread_lookup(rows, known.select("sig", "tokens", "label"), "sig", F.xxhash64("root"))
+    return links.unionByName(verified(_gather(dense_tasks(save(rows, "jaccard-dense", "lz4"))), every=True)).distinct()
 
 
 def verified(tasks: DataFrame, every: bool = False) -> DataFrame:
@@ -663,7 +695,7 @@ def _rest(held: DataFrame, links: DataFrame, c: Candidates) -> DataFrame:
     top = counts.groupBy("root").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter(F.col("all") > F.col("top.c"))
     known = known.join(small(top.select("root", F.col("top.label").alias("largest"))), "root").select("sig", "tokens", "label", (F.col("label") != F.col("largest")).alias("outside"))
     known = save(known, "jaccard-known", "lz4")
-    return linked_pairs(known, c.bits, c.found, c.order)
+    return linked_pairs(known, c.bits, c.found, c.order, c.clusters)
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -673,7 +705,7 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     c = candidates(docs, id_col, text_col, words)
     known = save(_member_sets(c.source, c.clusters, words).select("sig", "tokens", F.lit(None).cast("binary").alias("label"), F.lit(True).alias("outside")), "jaccard-known", "lz4")
-    links = save(linked_pairs(known, c.bits, c.found, c.order), "jaccard-all-links", rows=20)
+    links = save(linked_pairs(known, c.bits, c.found, c.order, c.clusters), "jaccard-all-links", rows=20)
     return links, c.rows.select("doc_id", "row_key", "sig", F.col("n").alias("n_shingles"))
 
 

@@ -205,3 +205,44 @@ def test_pairs_that_meet_by_chance_end_as_keys(spark, monkeypatch):
     assert {frozenset(bytes(s) for s in r.sigs) for r in c.found.collect()} == {frozenset(bytes(r.sig) for r in c.rows.filter("doc_id IN (17, 5000)").collect())}
     rows = random_corpus(4)
     assert found(jaccard.similar_components(brute.documents(spark, rows))) == brute.jaccard_components(rows)
+
+
+def test_dense_runs_send_few_copies(spark, monkeypatch):
+    """Runs of a cluster with nearly the same classes, of which few are outside, are taken together; runs with none in common one by one. No pair is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    name = lambda k: k.to_bytes(16, "big")
+    alike = [(run, name(k), k < 6) for run in range(20) for k in range(200) if (k + run) % 10]
+    unlike = [(100 + run, name(1000 + 200 * run + k), k < 20) for run in range(6) for k in range(100)]
+    roots = [(s, name(1000) if int.from_bytes(s, "big") >= 1000 else name(0)) for s in {x[1] for x in alike + unlike}]
+    members = spark.createDataFrame(alike + unlike, "run long, sig binary, outside boolean")
+    blocks = jaccard.dense_blocks(members, spark.createDataFrame(roots, "sig binary, root binary"))
+    tasks = {}
+    sent = Counter()
+    for r in jaccard.dense_tasks(blocks.selectExpr("*", "sig AS tokens", "sig AS label")).collect():
+        tasks.setdefault((r.root, r.i, r.j), ([], []))[r.part].append(bytes(r.sig))
+        sent[int.from_bytes(r.sig, "big") >= 1000] += 1
+    met = {frozenset((a, b)) for every, outside in tasks.values() for a in outside for b in every + outside}
+    for run in {x[0] for x in alike + unlike}:
+        own = [x for x in alike + unlike if x[0] == run]
+        assert all(frozenset((bytes(a[1]), bytes(b[1]))) in met for a in own if a[2] for b in own)
+    # together 200 classes for one block of outside ones and 6 for 13 blocks; apart 6 runs, each 100 for two blocks and 20 for 7
+    assert sent[False] == 200 + 6 * 13
+    assert sent[True] == 6 * (100 * 2 + 20 * 7)
+    assert max(len(every) + len(outside) for every, outside in tasks.values()) < 80
+
+
+def test_dense_runs_end_to_end(spark, monkeypatch):
+    """A large cluster whose runs share most classes: links are exact, and sets are sent a few times, not once for each block of each run."""
+    for k, v in (("BIG", 8), ("CLUSTER", 6), ("BLOCK", 4)):
+        monkeypatch.setattr(jaccard, k, v)
+    sent, gather = [], jaccard._gather
+    monkeypatch.setattr(jaccard, "_gather", lambda tasks: sent.append(tasks.count()) or gather(tasks))
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        own = [f"h{k}" for k in range(80)]
+        for _ in range(rng.randrange(0, 4)):
+            own[rng.randrange(80)] = f"z{rng.randrange(1000)}"
+        rows.append((i, " ".join(own)))
+    assert found(jaccard.similar_components(brute.documents(spark, rows))) == brute.jaccard_components(rows)
+    assert len(sent) == 2 and sent[1] <= 1000
